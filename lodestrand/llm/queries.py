@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrand.llm import sql
 from lodestrand.llm.decontam import decontaminate
+from lodestrand.llm.mixing import mix
 from lodestrand.llm.near_dup import near_duplicates
 from lodestrand.llm.quality import quality_rules
 from lodestrand.llm.token_counts import token_counts
+from lodestrand.llm.token_shards import token_shards
+from lodestrand.llm.toxicity import toxicity
 from lodestrand.llm.warc import archive_pages
 
 
@@ -34,11 +37,23 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_minhash_near_dedup, op6_benchmark_decontamination, op8_warc)
+    f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_minhash_near_dedup, op6_benchmark_decontamination, op7_mixing, op8_warc, op9_token_shards, op10_toxicity)
 }
 ORACLE_SQL: dict[str, str] = {name: text for name, text in sql.ORACLE.items() if name in QUERIES}
