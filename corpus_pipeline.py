@@ -1,10 +1,69 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir); its result is written and read again."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, mixing, token shards.
+
+Each stage takes ``(spark, docs, sf_dir)``. Its result is written as Parquet and read again as the
+next one's ``docs``; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrand.llm.common import cut
+from lodestrand.llm.decontam import decontaminate
+from lodestrand.llm.mixing import mixed_rows
+from lodestrand.llm.near_dup import near_duplicates
+from lodestrand.llm.quality import quality_rules
+from lodestrand.llm.token_shards import token_shards
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``ids``, one row for each id: repeated rows are copies."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return _only(docs, quality_rules(docs).where("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component; rows that repeat a doc_id are one document."""
+    return _only(docs, near_duplicates(docs).where("kept")).dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _only(docs, decontaminate(docs, benchmark).where("not contaminated"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents to the target weights, one row for each epoch."""
+    return mixed_rows(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards in training order, a row for each sequence."""
+    return token_shards(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_shards", shards),
+]
+#: SQL cannot encode token ids; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
