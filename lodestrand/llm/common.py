@@ -92,3 +92,28 @@ def components(edges: DataFrame) -> DataFrame:
         if step.where("comp != old").isEmpty():
             return step.select("node", "comp")
         labels = step.select("node", "comp")
+
+
+#: A bitmap of ids has at most this many bits (16 MB).
+MOST_BITS = 1 << 27
+
+
+def bitmap(values: DataFrame, column: str, most_bits: int = MOST_BITS) -> tuple[int, np.ndarray]:
+    """A bitmap of the low bits of hashes, about 16 bits a value and at most ``most_bits``.
+
+    Only its words come to the driver, a bounded number. A set that outgrows the bound lets more
+    through; whoever uses it decides exactly afterwards.
+    """
+    n = values.count()
+    bits = 1 << min(max(16, int(16 * n).bit_length()), most_bits.bit_length() - 1)
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    rows = values.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return bits, out.view(np.uint64)
+
+
+def in_bitmap(hashes: np.ndarray, bits: int, words: np.ndarray) -> np.ndarray:
+    slot = hashes.view(np.uint64) & np.uint64(bits - 1)
+    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

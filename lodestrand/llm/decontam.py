@@ -10,10 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import WordHashes, alnum_words_of, as_bytes, cut, shingles
-
-#: The filter of item shingles has at most this many bits (16 MB), however large the benchmark.
-MOST_FILTER_BITS = 1 << 27
+from lodestrand.llm.common import WordHashes, alnum_words_of, as_bytes, bitmap, cut, in_bitmap, shingles
 
 
 def _windows(width: int, k: int):
@@ -43,7 +40,6 @@ def _hits(width: int, sizes: list[int], bits: int, words_of_filter: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        mask = np.uint64(bits - 1)
         for batch in batches:
             ids, keys, counts, found = [], [], [], []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -54,9 +50,7 @@ def _hits(width: int, sizes: list[int], bits: int, words_of_filter: np.ndarray):
                     if len(words) < k:
                         continue
                     s = shingles(h, k)
-                    slot = s & mask
-                    on = (words_of_filter[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
-                    for p in np.flatnonzero(on).tolist():
+                    for p in np.flatnonzero(in_bitmap(s, bits, words_of_filter)).tolist():
                         start = max(0, p - width + 1)
                         hits.append({"k": k, "token": int(s[p : p + 1].view(np.int64)[0]), "place": p, "start": start, "around": words[start : p + width]})
                 ids.append(doc_id.as_py()), keys.append(xxhash.xxh3_128_digest(b" ".join(words))), counts.append(len(words)), found.append(hits)
@@ -71,25 +65,6 @@ def _hits(width: int, sizes: list[int], bits: int, words_of_filter: np.ndarray):
 HIT = pa.list_(pa.struct([("k", pa.int32()), ("token", pa.int64()), ("place", pa.int32()), ("start", pa.int32()), ("around", pa.list_(pa.binary()))]))
 
 
-def _token_filter(tokens: DataFrame) -> tuple[int, np.ndarray]:
-    """A bitmap of the tokens' hashes with about 16 bits a token, at most MOST_FILTER_BITS.
-
-    Only the bitmap's words come to the driver; their number is bounded. Where the benchmark
-    outgrows the bound the bitmap lets more through, and the join behind it still decides.
-    """
-    n = tokens.count()
-    bits = 1 << min(max(16, int(16 * n).bit_length()), MOST_FILTER_BITS.bit_length() - 1)
-    slot = F.col("token").bitwiseAND(F.lit(bits - 1))
-    rows = (
-        tokens.groupBy(F.shiftright(slot, 6).alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-        .toPandas()
-    )
-    out = np.zeros(bits >> 6, np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
-    return bits, out.view(np.uint64)
-
-
 def _covered(spans: Column) -> Column:
     """Length of the union of ``(start, end)`` spans."""
     zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("end"))
@@ -128,13 +103,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, k: int
         items.mapInArrow(_windows(width, k), "item_id string, window binary, size int, k int, tokens array<long>"), "windows"
     )
     distinct = windows.dropDuplicates(["window"]).select("window", "size", "k", F.posexplode("tokens").alias("offset", "token"))
-    bits, bitmap = _token_filter(distinct.select("token").distinct())
+    bits, held = bitmap(distinct.select("token").distinct(), "token")
     sizes = [r[0] for r in distinct.select("k").distinct().collect()]  # at most the numbers up to k
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = cut(
         docs.select("doc_id", as_bytes().alias("text")).mapInArrow(
-            _hits(width, sorted(sizes), bits, bitmap),
+            _hits(width, sorted(sizes), bits, held),
             f"doc_id {kind}, tkey binary, n_words long, hits array<struct<k:int,token:long,place:int,start:int,around:array<binary>>>",
         ),
         "hits",

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrand.llm import sql
 from lodestrand.llm.decontam import decontaminate
+from lodestrand.llm.licenses import license_scan
 from lodestrand.llm.mixing import mix
 from lodestrand.llm.near_dup import near_duplicates
+from lodestrand.llm.passages import shared_passages
 from lodestrand.llm.quality import quality_rules
 from lodestrand.llm.token_counts import token_counts
 from lodestrand.llm.token_shards import token_shards
@@ -25,10 +27,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op3_quality_rules, op5_minhash_near_dedup, op6_benchmark_decontamination, op7_mixing, op8_warc, op9_token_shards, op10_toxicity)
-}
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_license_scans, op5_minhash_near_dedup,
+        op6_benchmark_decontamination, op7_mixing, op8_warc, op9_token_shards, op10_toxicity,
+    )
+}
 ORACLE_SQL: dict[str, str] = {name: text for name, text in sql.ORACLE.items() if name in QUERIES}
