@@ -9,35 +9,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestrand.llm.common import cut
 from lodestrand.llm.decontam import decontaminate
 from lodestrand.llm.mixing import mixed_rows
 from lodestrand.llm.near_dup import near_duplicates
-from lodestrand.llm.quality import quality_rules
+from lodestrand.llm.quality import quality_filter
 from lodestrand.llm.token_shards import token_shards
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids``, one row for each id: repeated rows are copies."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids``; the texts stay where they are if the ids are few."""
+    return docs.join(cut(ids.select("doc_id").distinct(), "removed"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _only(docs, quality_rules(docs).where("kept"))
+    """Documents that the quality rules keep; a row without doc_id cannot be followed and goes."""
+    return quality_filter(docs.where("doc_id is not null"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component; rows that repeat a doc_id are one document."""
-    return _only(docs, near_duplicates(docs).where("kept")).dropDuplicates(["doc_id"])
+    """One document of each component; of rows that repeat a doc_id and its text one stays."""
+    found = cut(near_duplicates(docs), "components")
+    kept = _without(docs, found.where("not kept"))
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _only(docs, decontaminate(docs, benchmark).where("not contaminated"))
+    return _without(docs, decontaminate(docs, benchmark).where("contaminated"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
