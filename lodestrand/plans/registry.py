@@ -5,6 +5,592 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lodestrand.functions import text as tx
+from lodestrand.operators import chunking, evaluation, ingest, lookup, qa, retrieval, sessions
+from lodestrand.plans import inputs
+from lodestrand.session import cut
+from lodestrand.plans.inputs import BM25, CHUNKS, FILTERS, MESSAGES, QUESTIONS, SNAPSHOTS, tok
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _hits(s: SparkSession, d: str, k: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks, questions = inputs.chunks(s, d), inputs.questions(s, d)
+    return questions, chunks, cut(retrieval.bm25_search(questions, chunks, cut(retrieval.build_postings(chunks), "postings"), inputs.filters(s, d), k), "hits")
+
+
+def _alts(pairs) -> str:
+    return "CASE " + " ".join(f"WHEN contains(content, '{k}') THEN '{v}'" for k, v in pairs) + " END"
+
+
+def _any(column: str, words) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+# --- text functions ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn, len({tok('content')}) AS n, array_to_string({tok('content')}, ' ') AS tokens FROM messages")
+def d1_tokenize(s, d):
+    t = tx.tokenize(F.col("content"))
+    return inputs.messages(s, d).select("session_id", "turn", t.alias("t")).select("session_id", "turn", F.size("t").alias("n"), F.array_join("t", " ").alias("tokens"))
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn, array_to_string(list_sort(list_distinct(list_filter({tok('content')}, lambda t: {inputs.informative('t')}))), ' ') AS terms FROM messages")
+def d2_informative_terms(s, d):
+    return inputs.messages(s, d).select("session_id", "turn", F.array_join(F.array_sort(tx.informative_terms(tx.tokenize(F.col("content")))), " ").alias("terms"))
+
+
+@query(
+    "SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*'),"
+    " lambda x: regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]')), regexp_extract_all(text, '\\b(?:[01]?[0-9]|2[0-3]):[0-5][0-9]\\b')), lambda x: lower(x)))), ' ') AS facts FROM documents"
+)
+def d3_exact_facts(s, d):
+    return inputs.table(s, d, "documents").select("doc_id", F.array_join(tx.exact_facts(F.col("text")), " ").alias("facts"))
+
+
+def _rewrite_sql() -> str:
+    out = "regexp_replace(content, '^\\s+|\\s+$', '', 'g')"
+    for p in tx.POLITE_PREFIXES:
+        out = f"(SELECT CASE WHEN starts_with(x, '{p}') THEN regexp_replace(substr(x, {len(p) + 1}), '^[，,：: ]+', '') ELSE x END FROM (SELECT {out} AS x))"
+    for a, b in tx.ALIASES:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"regexp_replace(regexp_replace({out}, '\\s+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query(f"WITH {MESSAGES}, r AS (SELECT session_id, turn, content, {_rewrite_sql()} AS query FROM messages) SELECT session_id, turn, query, query <> regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS changed FROM r")
+def d4_rewrite_query(s, d):
+    return inputs.messages(s, d).select("session_id", "turn", tx.rewrite_query(F.col("content")).alias("r")).select("session_id", "turn", "r.query", "r.changed")
+
+
+@query(
+    f"WITH {MESSAGES}, p AS (SELECT session_id, turn, content, coalesce(lag(content) OVER (PARTITION BY session_id ORDER BY turn), '') AS evidence FROM messages)"
+    " SELECT session_id, turn, CASE " + " ".join(f"WHEN regexp_matches(content, '{q}', 's') AND NOT regexp_matches(evidence, '{e}') THEN '{label}'" for label, q, e in tx.FACT_RULES) + " END AS missing FROM p"
+)
+def d5_missing_precise_fact(s, d):
+    from pyspark.sql import Window as W
+
+    before = F.coalesce(F.lag("content").over(W.partitionBy("session_id").orderBy("turn")), F.lit(""))
+    return inputs.messages(s, d).withColumn("evidence", before).select("session_id", "turn", tx.missing_precise_fact(F.col("content"), F.col("evidence")).alias("missing"))
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '\\b[A-Z]{{2,}}(?:-[A-Z0-9]+)+\\b|\\b[0-9]{{1,2}}:[0-9]{{2}}\\b|\\b[0-9]+(?:\\.[0-9]+)?\\s*(?:元|万元|%|天|日|小时|分钟)'))), ' ') AS claims FROM messages")
+def d6_extract_claims(s, d):
+    return inputs.messages(s, d).select("session_id", "turn", F.array_join(tx.extract_claims(F.col("content")), " ").alias("claims"))
+
+
+_DAYS = sorted(((a, day) for day, names in tx.WEEKDAYS.items() for a in names), key=lambda p: -len(p[0]))
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn, {_alts(_DAYS).replace('contains(content', 'contains(lower(content)')} AS weekday FROM messages")
+def d7_extract_weekday(s, d):
+    return inputs.messages(s, d).select("session_id", "turn", tx.extract_weekday(F.col("content")).alias("weekday"))
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn, {_alts(tx.SERVICES)} AS service_code, coalesce({_alts(tx.CAMPUSES)}, 'main') AS campus FROM messages")
+def d8_extract_service_and_campus(s, d):
+    return inputs.messages(s, d).select("session_id", "turn", tx.extract_service_code(F.col("content")).alias("service_code"), tx.extract_campus(F.col("content")).alias("campus"))
+
+
+@query(
+    f"WITH {MESSAGES}, c AS (SELECT session_id, turn, content, list_filter(list_transform(regexp_split_to_array(content, '[，,。；;！？?!]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')),"
+    f" lambda x: x <> '' AND NOT {_any('x', tx.LIVE_WORDS)}) AS kept FROM messages) SELECT session_id, turn, CASE WHEN len(kept) > 0 THEN array_to_string(kept, '，') ELSE content END AS query FROM c"
+)
+def d9_static_clauses(s, d):
+    return inputs.messages(s, d).select("session_id", "turn", tx.static_clauses(F.col("content")).alias("query"))
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn, {_any('content', tx.ABSTENTION_MARKERS)} AND NOT contains(replace(lower(content), 'ß', 'ss'), 'the') AS safe FROM messages")
+def d10_is_safe_abstention(s, d):
+    return inputs.messages(s, d).select("session_id", "turn", tx.is_safe_abstention(F.col("content"), F.array(F.lit("The"))).alias("safe"))
+
+
+# --- ingest -----------------------------------------------------------------------------------------
+
+_NAME = "CASE page_id % 7 WHEN 0 THEN 'con.md' WHEN 1 THEN 'a/b' || page_id || '.md' WHEN 2 THEN 'note.md.txt' WHEN 3 THEN 'page ' || page_id || '.exe' ELSE 'page-' || page_id || '.txt' END"
+
+
+def _uploads(s, d):
+    name = _NAME
+    for x in ("a/b", "page ", "page-"):
+        for end in (".md", ".exe", ".txt"):
+            name = name.replace(f"'{x}' || page_id || '{end}'", f"concat('{x}', page_id, '{end}')")
+    return inputs.table(s, d, "pages").selectExpr(
+        "page_id arrival_seq", "concat('s', page_id % 3) store", f"{name} filename", "cast(html as binary) data", "case when page_id % 5 = 0 then 'text/html' else 'text/plain; charset=utf-8' end content_type",
+        "'web' domain", "case when page_id % 11 = 0 then '-bad' else 'page' end category", "'1' version",
+    )
+
+
+_NAME_ERROR = "CASE WHEN regexp_matches(name, '[/\\\\:<>\"|?*]') THEN 'name_illegal' WHEN NOT regexp_matches(lower(name), '\\.(md|txt|pdf)$') THEN 'unsupported_type' WHEN name = 'note.md.txt' THEN 'double_extension' WHEN name = 'con.md' THEN 'reserved_name' END"
+
+
+@query(f"SELECT page_id AS arrival_seq, {_NAME_ERROR} AS error FROM (SELECT page_id, {_NAME} AS name FROM pages)")
+def b1_validate_display_name(s, d):
+    return _uploads(s, d).select("arrival_seq", tx.display_name_error(tx.strip(tx.nfc("filename"))).alias("error"))
+
+
+@query(f"SELECT page_id AS arrival_seq, CASE WHEN page_id % 5 = 0 OR NOT regexp_matches(name, '\\.(md|txt)$') THEN 'content_type_mismatch' END AS error FROM (SELECT page_id, {_NAME} AS name FROM pages)")
+def b2_validate_content_type(s, d):
+    return _uploads(s, d).select("arrival_seq", tx.content_type_error(tx.extension(F.col("filename")), F.col("content_type")).alias("error"))
+
+
+@query("SELECT page_id, CASE WHEN NOT regexp_full_match(url[9:60], '[A-Za-z0-9][A-Za-z0-9_.-]{0,63}') THEN 'bad_metadata' END AS error FROM pages")
+def b3_validate_metadata_value(s, d):
+    return inputs.table(s, d, "pages").select("page_id", tx.metadata_value_error(F.substring("url", 9, 52)).alias("error"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_full_match(text, '\\s*') THEN 'empty_text' WHEN length(text) > 1000 THEN 'text_too_long' WHEN regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]') THEN 'control_characters' END AS error FROM documents")
+def b4_validate_text(s, d):
+    return inputs.table(s, d, "documents").select("doc_id", tx.text_error(F.col("text"), 1000).alias("error"))
+
+
+@query("SELECT doc_id, md5('# t' || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS digest, NULL::VARCHAR AS error FROM documents")
+def b5_decode_text(s, d):
+    r = tx.decode_text(F.col("text").cast("binary"), F.lit("txt"), F.lit("t"))
+    return inputs.table(s, d, "documents").select("doc_id", r.alias("r")).select("doc_id", F.md5("r.text").alias("digest"), "r.error")
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 OR sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'fr') AS duplicate FROM documents WHERE lang <> 'fr'")
+def b6_dedupe_by_content(s, d):
+    rows = inputs.table(s, d, "documents").select(F.col("doc_id").alias("arrival_seq"), F.sha2("text", 256).alias("sha256"), "lang")
+    return ingest.dedupe_by_content(rows.where("lang <> 'fr'"), rows.where("lang = 'fr'")).select(F.col("arrival_seq").alias("doc_id"), "duplicate")
+
+
+@query("""WITH RECURSIVE r AS (SELECT source AS store, doc_id, strlen(text) AS size, sha256(text) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+f AS (SELECT store, doc_id, n, CASE WHEN size > 60000 THEN 'store_full' END AS reason, CASE WHEN size > 60000 THEN 0 ELSE 1 END AS docs, CASE WHEN size > 60000 THEN 0 ELSE size END AS bytes, CASE WHEN size > 60000 THEN [] ELSE [h] END AS seen FROM r WHERE n = 1
+UNION ALL SELECT store, doc_id, n, reason, docs + (reason IS NULL)::INT, bytes + CASE WHEN reason IS NULL THEN size ELSE 0 END, CASE WHEN reason IS NULL THEN list_append(seen, h) ELSE seen END FROM
+ (SELECT r.store, r.doc_id, r.n, size, h, docs, bytes, seen, CASE WHEN docs >= 25 THEN 'too_many_documents' WHEN bytes + size > 60000 THEN 'store_full' WHEN list_contains(seen, h) THEN 'duplicate' END AS reason FROM f JOIN r ON r.store = f.store AND r.n = f.n + 1))
+SELECT store, doc_id, reason FROM f""")
+def b7_admit_with_quota(s, d):
+    rows = inputs.table(s, d, "documents").select(F.col("source").alias("store"), F.col("doc_id").alias("arrival_seq"), F.octet_length("text").cast("long").alias("size_bytes"), F.sha2("text", 256).alias("sha256"))
+    out = ingest.admit_with_quota(rows, rows.limit(0), 25, 60000)
+    return out.select("store", F.col("arrival_seq").alias("doc_id"), "reason")
+
+
+@query()
+def b8_ingest_uploads(s, d):
+    """Rejects with their reasons; accepted documents have none."""
+    none = s.createDataFrame([], "store string, document_id string, size_bytes long, sha256 string")
+    documents, rejects, _ = ingest.ingest_uploads(_uploads(s, d), none)
+    return documents.select("arrival_seq", F.lit("accepted").alias("reason")).unionByName(rejects.select("arrival_seq", "reason"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN domain = 'en' THEN 'builtin' ELSE 'upload' END AS origin FROM chunks")
+def b9_corpus_union(s, d):
+    c = inputs.chunks(s, d).drop("origin")
+    return ingest.corpus_union(c.where("domain = 'en'"), c.where("domain <> 'en'")).select("chunk_id", "origin")
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id FROM chunks WHERE document_id NOT IN (SELECT 'doc-' || doc_id FROM labels WHERE quality = 0)")
+def b10_delete_documents(s, d):
+    bad = inputs.table(s, d, "labels").where("quality = 0").select(F.concat(F.lit("doc-"), "doc_id").alias("document_id"))
+    return ingest.delete_documents(inputs.chunks(s, d), bad).select("chunk_id")
+
+
+@query("SELECT CASE WHEN lang = 'en' THEN 'builtin' ELSE 'upload' END AS origin, count(*) AS documents, count(*) AS chunks, sum(strlen(text))::BIGINT AS size_bytes FROM documents GROUP BY 1")
+def b11_corpus_stats(s, d):
+    c = inputs.chunks(s, d).withColumn("origin", F.when(F.col("domain") == "en", "builtin").otherwise("upload"))
+    return ingest.corpus_stats(c, c.select("document_id", F.octet_length("content").cast("long").alias("size_bytes")))
+
+
+# --- chunking ---------------------------------------------------------------------------------------
+
+_MARKED = "concat('# ', source, '\\n## ', lang, '\\n', text, '\\n# End\\n', lang)"
+
+
+def _markdown(s, d):
+    return inputs.table(s, d, "documents").selectExpr("cast(doc_id as string) document_id", "source source_name", "source title", f"{_MARKED} text")
+
+
+@query("""WITH clean AS (SELECT doc_id, source, lang, regexp_replace(regexp_replace(text, '[\\r\\x0b\\x0c]', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, 1 AS section, source || ' - ' || lang AS title, md5(text) AS digest FROM clean WHERE text <> ''
+UNION ALL SELECT CAST(doc_id AS VARCHAR), CASE WHEN regexp_full_match(text, '\\s*') THEN 1 ELSE 2 END, 'End', md5(lang) FROM documents""")
+def c1_split_sections(s, d):
+    out = chunking.split_sections(_markdown(s, d))
+    return out.select("document_id", F.col("section").cast("int").alias("section"), "title", F.md5("content").alias("digest"))
+
+
+@query("""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents),
+c AS (SELECT doc_id, x, 0 AS part, 0 AS first, 0 AS last FROM t WHERE length(x) > 1200
+UNION ALL SELECT doc_id, x, part + 1, start, CASE WHEN start + 1200 >= length(x) THEN length(x) WHEN cut > 0 THEN start + 600 + cut ELSE start + 1200 END FROM
+ (SELECT doc_id, x, part, start, 600 - length(regexp_extract(substr(x, start + 601, 600), '[^\\n。！？;；]*$')) AS cut FROM
+  (SELECT doc_id, x, part, CASE WHEN last = 0 THEN 0 ELSE greatest(first + 1, last - 120) END AS start FROM c WHERE last < length(x)))),
+p AS (SELECT doc_id, regexp_replace(substr(x, first + 1, last - first), '^\\s+|\\s+$', '', 'g') AS piece, part FROM c WHERE part > 0 UNION ALL SELECT doc_id, x, 1 FROM t WHERE length(x) <= 1200)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS part, md5(piece) AS digest FROM p WHERE piece <> ''""")
+def c2_split_long(s, d):
+    t = inputs.table(s, d, "documents").select("doc_id", tx.strip(F.col("text")).alias("x"))
+    return t.select("doc_id", F.posexplode(chunking.split_long()("x")).alias("part", "piece")).select("doc_id", F.col("part").cast("long").alias("part"), F.md5("piece").alias("digest"))
+
+
+@query()
+def c3_build_chunks(s, d):
+    return chunking.build_chunks(_markdown(s, d)).select("chunk_id", "title", "source", "chunk_index", F.md5("content").alias("digest"))
+
+
+# --- retrieval --------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'unknown:color' WHEN doc_id % 3 = 2 THEN 'blank' END AS error, CASE WHEN doc_id % 3 = 0 THEN lang END AS domain FROM documents")
+def e1_normalize_filters(s, d):
+    m = F.expr("case doc_id % 3 when 0 then map('domain', concat(' ', lang, ' ')) when 1 then map('color', lang) else map('version', ' ') end")
+    out = inputs.table(s, d, "documents").select("doc_id", retrieval.normalize_filters(m).alias("f"))
+    return out.select("doc_id", "f.error", F.element_at("f.filters", "domain").alias("domain"))
+
+
+@query(f"WITH {CHUNKS}, {FILTERS} SELECT filter_id, chunk_id FROM chunks c JOIN filters f ON visibility = 'public' AND (f.domain IS NULL OR f.domain = c.domain)")
+def e2_apply_filters(s, d):
+    return retrieval.apply_filters(inputs.chunks(s, d), inputs.filters(s, d))
+
+
+@query(f"WITH {BM25} SELECT term, count(*) AS chunks, sum(tf)::BIGINT AS tf FROM postings GROUP BY 1")
+def e3_build_postings(s, d):
+    return retrieval.build_postings(inputs.chunks(s, d)).groupBy("term").agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
+
+
+@query(f"WITH {BM25} SELECT filter_id, term, df, n, round(average, 6) AS average FROM (SELECT DISTINCT filter_id, term, df FROM dfs) JOIN sizes USING (filter_id)")
+def e4_corpus_term_stats(s, d):
+    c, f, q = inputs.chunks(s, d), inputs.filters(s, d), inputs.questions(s, d)
+    stats = retrieval.corpus_term_stats(retrieval.build_postings(c), f, retrieval.query_terms(q))
+    return stats.join(retrieval.corpus_size(c, f), "filter_id").select("filter_id", "term", "df", "n", F.round("average", 6).alias("average"))
+
+
+@query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 3")
+def e5_bm25_search(s, d):
+    return _hits(s, d)[2].select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def e6_hash_embed(s, d):
+    v = cut(inputs.table(s, d, "documents").select("doc_id", retrieval.hash_embed(512)("text").alias("v")))
+    return v.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).alias("nonzero"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+
+
+_UNIT = "list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
+
+
+@query("SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'wrong_length' WHEN list_sum(list_transform(embedding, lambda x: abs(x))) = 0 THEN 'zero' END AS error, list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)) > 0 AS normal FROM embeddings")
+def e7_validate_vectors(s, d):
+    e = inputs.table(s, d, "embeddings")
+    unit = F.aggregate(retrieval.l2_normalize(F.col("embedding")), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return e.select("vec_id", retrieval.vector_error(F.col("embedding"), 64).alias("error"), (F.abs(unit - 1) < 1e-5).alias("normal"))
+
+
+def _vectors(s, d):
+    v = inputs.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), retrieval.l2_normalize(F.col("embedding")).alias("vector"))
+    return v.where(F.col("chunk_id") % 20 == 0).withColumnRenamed("chunk_id", "query_id"), v
+
+
+_VEC = f"""u AS (SELECT vec_id, {_UNIT} AS v FROM embeddings),
+vr AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[]) AS score FROM u q, u c WHERE q.vec_id % 20 = 0),
+vranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vr WHERE score >= 0.22)"""
+
+
+@query(f"WITH {_VEC} SELECT query_id, chunk_id, rank, round(score, 3) AS score FROM vranked WHERE rank <= 5")
+def e8_vector_search(s, d):
+    q, v = _vectors(s, d)
+    return retrieval.vector_search(q, v, 5).select("query_id", "chunk_id", "rank", F.round("score", 3).alias("score"))
+
+
+@query(f"""WITH {_VEC}, lex AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(query_id - chunk_id), chunk_id) AS rank FROM (SELECT DISTINCT query_id FROM vr) JOIN (SELECT vec_id AS chunk_id FROM embeddings) ON abs(query_id - chunk_id) <= 30),
+l AS (SELECT * FROM lex WHERE rank <= 20), v AS (SELECT * FROM vranked WHERE rank <= 20),
+f AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.chunk_id, v.chunk_id) AS chunk_id, CASE WHEN l.rank IS NULL THEN 'vector' WHEN v.rank IS NULL THEN 'bm25' ELSE 'hybrid' END AS retrieval_method,
+ round((coalesce(0.55 / (60 + l.rank), 0) + coalesce(0.45 / (60 + v.rank), 0)) * 61, 9) AS score FROM l FULL JOIN v ON l.query_id = v.query_id AND l.chunk_id = v.chunk_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) SELECT query_id, chunk_id, retrieval_method, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def e9_rrf_fuse(s, d):
+    q, v = _vectors(s, d)
+    near = F.abs(F.col("query_id") - F.col("chunk_id"))
+    # candidates by id distance: an equi-join on the possible distances
+    grid = q.select("query_id", F.explode(F.sequence(F.col("query_id") - 30, F.col("query_id") + 30)).alias("chunk_id"))
+    lexical = retrieval.top_k(grid.join(v.select("chunk_id"), "chunk_id").withColumn("score", -near.cast("double")), 20)
+    return retrieval.rrf_fuse(lexical, retrieval.vector_search(q, v, 20), 5).select("query_id", "chunk_id", "retrieval_method", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {BM25}, f AS (SELECT query_id, chunk_id, regexp_extract_all(lower(query), '[a-z0-9]+') AS a, list_filter(regexp_extract_all(content, '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*'), lambda x: regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]')) AS b FROM ranked JOIN chunks USING (chunk_id) JOIN questions USING (query_id) WHERE rank <= 3) SELECT query_id, chunk_id, list_has_any(list_transform(b, lambda x: lower(x)), list_filter(a, lambda x: regexp_matches(x, '[a-z]') AND regexp_matches(x, '[0-9]'))) AS pinned FROM f")
+def e10_pin_exact_facts(s, d):
+    q, c, h = _hits(s, d)
+    return retrieval.pin_exact_facts(h.join(q, "query_id").join(c.select("chunk_id", F.lit("").alias("title"), "content"), "chunk_id")).select("query_id", "chunk_id", "pinned")
+
+
+def _embedded(s, d):
+    c, q = inputs.chunks(s, d), inputs.questions(s, d)
+    embed = retrieval.hash_embed(256)
+    vectors = c.select("chunk_id", embed(F.concat_ws("\n", "title", "title", "content")).alias("vector"))
+    return q.withColumn("vector", embed("query")), c, vectors
+
+
+@query()
+def e11_retrieve(s, d):
+    q, c, v = _embedded(s, d)
+    return retrieval.retrieve(q, c, cut(retrieval.build_postings(c), "postings"), inputs.filters(s, d), v, "hybrid", 3, dim=256).select("query_id", "chunk_id", "rank", "retrieval_method")
+
+
+_BEST = f"WITH {BM25}, h AS (SELECT * FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 3)"
+
+
+@query(f"{_BEST}, b AS (SELECT query_id, string_agg('[资料' || rank || '] ' || title || chr(10) || content || chr(10) || '来源：' || source, chr(10) || chr(10) ORDER BY rank) AS context FROM h GROUP BY 1) SELECT query_id, md5(coalesce(context, '{retrieval.NO_CONTEXT}')) AS digest FROM questions LEFT JOIN b USING (query_id)")
+def e12_build_context(s, d):
+    q, c, h = _hits(s, d)
+    return retrieval.build_context(q, h, c).select("query_id", F.md5("context").alias("digest"))
+
+
+@query(f"{_BEST} SELECT query_id, coalesce(title || '：' || content || chr(10) || '来源：' || source, '{retrieval.NO_ANSWER}') AS answer FROM questions LEFT JOIN (SELECT * FROM h WHERE rank = 1) USING (query_id)")
+def e13_answer(s, d):
+    q, c, h = _hits(s, d)
+    return retrieval.answer(q, h, c).select("query_id", "answer")
+
+
+@query(f"{_BEST} SELECT query_id, 'C1' AS citation_id, document_id, chunk_id, source_name AS source, title, round(score, 6) AS score, 'bm25' AS retrieval_method FROM h WHERE rank = 1")
+def e14_citations(s, d):
+    _, c, h = _hits(s, d)
+    return retrieval.citations(retrieval.as_hits(h, "bm25"), c).drop("snippet")
+
+
+def _cached(s, d):
+    t = inputs.table(s, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    known = t.where("key % 3 = 0").select(F.lit("v1").alias("fingerprint"), F.sha2("text", 256).alias("sha256")).distinct()
+    embed = retrieval.hash_embed(64)
+    cache = t.where("key % 3 = 0").select(F.lit("v1").alias("fingerprint"), F.sha2("text", 256).alias("sha256"), embed("text").alias("vector")).dropDuplicates(["sha256"])
+    return t, known, cache, embed
+
+
+@query()
+def e15_embed_incremental(s, d):
+    t, _, cache, embed = _cached(s, d)
+    rows, _, _ = retrieval.embed_incremental(t.where("key % 2 = 0"), cache, "v1", embed)
+    return rows.select("key", F.size("vector").alias("dim"))
+
+
+@query("WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0) SELECT count(*) AS total, count(*) FILTER (text IN (SELECT text FROM k)) AS hits, count(*) FILTER (text NOT IN (SELECT text FROM k)) AS misses FROM documents WHERE doc_id % 2 = 0")
+def e16_cache_stats(s, d):
+    t, known, _, _ = _cached(s, d)
+    return retrieval.cache_stats(t.where("key % 2 = 0").select(F.sha2("text", 256).alias("sha256")), known)
+
+
+@query("SELECT doc_id, length(text) % 7 + 1.0 AS first FROM documents")
+def e17_embed_with(s, d):
+    def encoder():
+        import numpy as np
+
+        return lambda texts: np.array([[len(t) % 7 + 1, 1] for t in texts], np.float32)
+
+    return inputs.table(s, d, "documents").select("doc_id", retrieval.embed_with(encoder, 2)("text").alias("v")).select("doc_id", F.get("v", F.lit(0)).cast("double").alias("first"))
+
+
+# --- answers in two passes ----------------------------------------------------------------------------
+
+_GRADE = f"""WITH {BM25}, g AS (SELECT r.query_id, len(list_intersect(list_distinct(list_filter({tok('query')}, lambda t: {inputs.informative('t')})), {tok("title || ' ' || content")})) >= 2 AS fine
+ FROM ranked r JOIN chunks USING (chunk_id) JOIN questions q ON q.query_id = r.query_id WHERE rank <= 3)"""
+
+
+@query(f"{_GRADE} SELECT query_id, CASE WHEN bool_or(fine) THEN 'relevant' ELSE 'insufficient' END AS status FROM questions LEFT JOIN g USING (query_id) GROUP BY 1")
+def f1_grade(s, d):
+    q, c, h = _hits(s, d)
+    return qa.grade(q, retrieval.as_hits(h, "bm25"), c).select("query_id", "status")
+
+
+def _passes(s, d):
+    q, c, _ = _hits(s, d)
+    posts, flt = cut(retrieval.build_postings(c), "postings"), inputs.filters(s, d)
+    # every third question is asked politely and under another name
+    asked = q.withColumn("query", F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("请问一卡通 "), "query")).otherwise(F.col("query")))
+    return asked, c, qa.retrieve_with_retry(asked, c, lambda x: retrieval.as_hits(retrieval.bm25_search(x, c, posts, flt), "bm25"))
+
+
+@query()
+def f2_retrieve_with_retry(s, d):
+    return _passes(s, d)[2][1]
+
+
+def _results(s, d):
+    """Two tool results for each question: its search, and a status message that fails now and then."""
+    q, c, h = _hits(s, d)
+    hit = F.struct("chunk_id", "title", "content")
+    found = h.join(c.select("chunk_id", "title", "content"), "chunk_id").groupBy("query_id").agg(F.collect_list(hit).alias("hits"))
+    text = retrieval.answer(q, h, c).select("query_id", F.col("answer").alias("output"))
+    none = F.lit(None).cast("array<struct<chunk_id:string,title:string,content:string>>")
+    search = text.join(found, "query_id", "left").selectExpr("query_id", "2 call_seq", f"'{qa.KNOWLEDGE}' tool_name", "true ok", "output", "cast(null as string) error", "hits")
+    status = q.select("query_id", F.lit(1).alias("call_seq"), F.lit("query_campus_service_status").alias("tool_name"), (F.col("query_id") % 4 != 0).alias("ok"), F.lit("窗口 20 元").alias("output"), F.lit("timeout").alias("error"), none.alias("hits"))
+    return q, c, h, search.unionByName(status)
+
+
+@query()
+def f3_verify(s, d):
+    q, c, h, results = _results(s, d)
+    answers = q.select("query_id", F.when(F.col("query_id") % 5 == 0, "费用 30 元").otherwise("费用 20 元").alias("answer"))
+    return qa.verify(answers, results, h.where("rank = 1").select("query_id", "chunk_id")).select("query_id", "status", F.array_join("claims", ",").alias("claims"))
+
+
+@query(f"{_BEST}, a AS (SELECT query_id, title || '：' || content || chr(10) || '来源：' || source AS answer FROM questions LEFT JOIN (SELECT * FROM h WHERE rank = 1) USING (query_id)) SELECT query_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN query_id % 4 <> 0 THEN '窗口 20 元' ELSE 'query_campus_service_status 未能完成：timeout' END, answer)) AS digest FROM a")
+def f4_compose(s, d):
+    return qa.compose(_results(s, d)[3]).select("query_id", F.md5("text").alias("digest"))
+
+
+@query(f"{_BEST}, c AS (SELECT query_id, chunk_id, rank AS seq FROM h UNION ALL SELECT query_id, chunk_id, rank + 10 FROM h), f AS (SELECT query_id, chunk_id, min(seq) AS seq FROM c GROUP BY ALL) SELECT query_id, chunk_id, 'C' || row_number() OVER (PARTITION BY query_id ORDER BY seq) AS citation_id FROM f")
+def f5_normalize_citations(s, d):
+    h = _hits(s, d)[2]
+    twice = h.select("query_id", "chunk_id", F.col("rank").alias("seq")).union(h.select("query_id", "chunk_id", F.col("rank") + 10))
+    return qa.normalize_citations(twice).select("query_id", "chunk_id", "citation_id")
+
+
+@query()
+def f6_verified_answer(s, d):
+    q, c, h, results = _results(s, d)
+    answers = q.select("query_id", F.when(F.col("query_id") % 5 == 0, "费用 30 元").otherwise("费用 20 元").alias("answer"))
+    return qa.verified_answer(answers, qa.verify(answers, results, h.where("rank = 1").select("query_id", "chunk_id")), qa.compose(results))
+
+
+@query()
+def f7_trace_events(s, d):
+    return qa.trace_events(_passes(s, d)[2][1]).select("query_id", F.array_join("events", ",").alias("events"), "retrievals")
+
+
+# --- conversations and snapshots -----------------------------------------------------------------------
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn, md5(content) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS n FROM messages) WHERE n <= 3")
+def g1_history_tail(s, d):
+    return sessions.history_tail(inputs.messages(s, d), 3).select("session_id", "turn", F.md5("content").alias("digest"))
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn FROM messages WHERE session_id IN (SELECT session_id FROM messages GROUP BY 1 ORDER BY max(sec) DESC, session_id LIMIT 20)")
+def g2_retain_recent_sessions(s, d):
+    return sessions.retain_recent_sessions(inputs.messages(s, d), 20).select("session_id", "turn")
+
+
+_PREVIOUS = "coalesce(array_to_string(list_filter(list(CASE WHEN role = 'user' THEN content END) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), ' '), '')"
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn, md5({_PREVIOUS}) AS digest FROM messages")
+def g3_previous_user_text(s, d):
+    return sessions.previous_user_text(inputs.messages(s, d)).select("session_id", "turn", F.md5("previous").alias("digest"))
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn, md5(coalesce(array_to_string(list(role || ': ' || substr(content, 1, 500)) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), chr(10)), '')) AS digest FROM messages")
+def g4_prompt_history(s, d):
+    return sessions.prompt_history(inputs.messages(s, d)).select("session_id", "turn", F.md5("history").alias("digest"))
+
+
+_DAY_OF = lambda x: _alts(_DAYS).replace("contains(content", f"contains(lower({x})")
+_CODE_OF = lambda x: _alts(tx.SERVICES).replace("contains(content", f"contains({x}")
+
+
+@query(f"""WITH {MESSAGES}, p AS (SELECT session_id, turn, role, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS q, {_PREVIOUS} AS prev FROM messages),
+r AS (SELECT *, {_DAY_OF('q')} AS own, {_any('q', sessions.COURSE_WORDS)} AS cw, {_any('q', tx.LIVE_WORDS)} AS live, {_any('q', (*sessions.PROCESS_WORDS, *sessions.ACTION_WORDS))} AS process FROM p WHERE role = 'user'),
+c AS (SELECT *, cw OR (own IS NOT NULL AND contains(q, '课')) OR ({_any('q', ('哪里', '几点'))} AND {_any('prev', (*sessions.COURSE_WORDS, '课程'))}) AS course FROM r),
+w AS (SELECT *, coalesce(own, CASE WHEN course THEN {_DAY_OF('prev')} END) AS weekday, coalesce({_CODE_OF('q')}, {_CODE_OF('prev')}) AS service,
+ process OR (NOT live AND ({_any('q', sessions.SUBJECT_WORDS)} OR (course AND {_any('q', sessions.MULTI_WORDS)}) OR NOT course)) AS knows FROM c),
+a AS (SELECT *, CASE WHEN q = '' THEN '{sessions.ASK_BLANK}' WHEN course AND weekday IS NULL THEN '{sessions.ASK_WEEKDAY}' WHEN live AND service IS NULL THEN '{sessions.ASK_SERVICE}' END AS direct_answer FROM w)
+SELECT session_id, turn, CASE WHEN direct_answer IS NULL THEN array_to_string(list_filter([CASE WHEN course THEN 'course' END, CASE WHEN live THEN 'status' END, CASE WHEN knows THEN 'knowledge' END], lambda x: x IS NOT NULL), ',') ELSE '' END AS tools,
+ CASE WHEN direct_answer IS NULL AND course THEN weekday END AS weekday, CASE WHEN direct_answer IS NULL AND live THEN service END AS service_code, direct_answer FROM a""")
+def g5_route_queries(s, d):
+    return sessions.route_queries(inputs.messages(s, d)).select("session_id", "turn", "tools", "weekday", "service_code", "direct_answer")
+
+
+@query(f"WITH {MESSAGES}, p AS (SELECT session_id, turn, role, lead(role) OVER w AS a, lag(role) OVER w AS b FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY turn)) SELECT session_id, turn, role FROM p WHERE (role = 'user' AND a = 'assistant') OR (role = 'assistant' AND b = 'user')")
+def g6_commit_turns(s, d):
+    return sessions.commit_turns(inputs.messages(s, d)).select("session_id", "turn", "role")
+
+
+@query(f"WITH {SNAPSHOTS} SELECT thread_id, max(checkpoint_id) AS checkpoint_id, max_by(parent_checkpoint_id, checkpoint_id) AS parent_checkpoint_id FROM snapshots GROUP BY 1")
+def g7_latest_snapshot(s, d):
+    return sessions.latest_snapshot(inputs.snapshots(s, d)).select("thread_id", "checkpoint_id", "parent_checkpoint_id")
+
+
+@query(f"WITH {SNAPSHOTS}, r AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY checkpoint_id DESC) AS n, count(*) OVER (PARTITION BY thread_id) AS c FROM snapshots) SELECT thread_id, checkpoint_id, CASE WHEN n < least(5, c) THEN parent_checkpoint_id END AS parent_checkpoint_id FROM r WHERE n <= 5")
+def g8_prune_snapshots(s, d):
+    return sessions.prune_snapshots(inputs.snapshots(s, d), 5).select("thread_id", "checkpoint_id", "parent_checkpoint_id")
+
+
+@query(f"WITH {SNAPSHOTS} SELECT thread_id, checkpoint_id FROM snapshots WHERE thread_id IN (SELECT thread_id FROM snapshots GROUP BY 1 ORDER BY max(checkpoint_id) DESC, thread_id LIMIT 10)")
+def g9_cap_threads(s, d):
+    return sessions.cap_threads(inputs.snapshots(s, d), 10).select("thread_id", "checkpoint_id")
+
+
+_KEEP = "SELECT thread_id, CASE WHEN thread_id::INT % 3 = 0 THEN NULL WHEN thread_id::INT % 3 = 1 THEN min(checkpoint_id) ELSE 'missing' END AS keep_id FROM snapshots GROUP BY 1"
+
+
+@query(f"WITH {SNAPSHOTS}, t AS ({_KEEP}) SELECT thread_id, checkpoint_id, CASE WHEN keep_id = 'missing' THEN 'broken_chain' END AS error FROM snapshots JOIN t USING (thread_id) WHERE keep_id IS NOT NULL AND (keep_id = 'missing' OR checkpoint_id = keep_id)")
+def g10_rollback_after(s, d):
+    snaps = inputs.snapshots(s, d)
+    third = F.col("thread_id").cast("int") % 3
+    keep = snaps.groupBy("thread_id", "checkpoint_ns").agg(F.min("checkpoint_id").alias("first")).select(
+        "thread_id", "checkpoint_ns", F.when(third == 1, F.col("first")).when(third == 2, "missing").alias("keep_id")
+    )
+    return sessions.rollback_after(snaps, keep).select("thread_id", "checkpoint_id", "error")
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, turn FROM messages WHERE session_id NOT IN (SELECT session_id FROM messages WHERE turn = 3)")
+def g11_clear_sessions(s, d):
+    m = inputs.messages(s, d)
+    return sessions.clear_sessions(m, m.where("turn = 3").select("session_id")).select("session_id", "turn")
+
+
+# --- lookups ----------------------------------------------------------------------------------------
+
+
+def _courses(s, d):
+    return inputs.table(s, d, "part").selectExpr("p_partkey seq", "p_name name", "case p_partkey % 3 when 0 then '周一' when 1 then '周三' else '周五' end weekday", "concat('0', p_partkey % 10, ':00') start_time", "p_brand location")
+
+
+_DAY_TEXT = "CASE c_custkey % 4 WHEN 0 THEN '周一' WHEN 1 THEN '周三' WHEN 2 THEN '周五' END"
+
+
+@query(f"""WITH r AS (SELECT c_custkey AS request_id, {_DAY_TEXT} AS day, CASE WHEN c_custkey % 2 = 0 THEN 'green' ELSE 'zzz' END AS word FROM customer WHERE c_custkey % 20 = 0 OR c_custkey % 20 = 3 OR c_custkey % 20 = 1),
+c AS (SELECT p_partkey AS seq, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN '周一' WHEN 1 THEN '周三' ELSE '周五' END AS weekday, '0' || (p_partkey % 10) || ':00' AS start_time, p_brand AS location FROM part),
+j AS (SELECT request_id, day, word, count(name) AS n, string_agg('- ' || start_time || ' ' || name || '，地点：' || location, chr(10) ORDER BY seq) AS lines FROM r LEFT JOIN c ON day = weekday AND contains(lower(name), word) GROUP BY ALL)
+SELECT request_id, n, md5(CASE WHEN day IS NULL THEN 'invalid_weekday' WHEN n = 0 THEN day || '，关键字“' || replace(word, 'green', 'GREEN') || '”没有找到课程。' ELSE day || '共找到' || n || '门课程：' || chr(10) || lines END) AS digest FROM j""")
+def h1_course_lookup(s, d):
+    r = inputs.table(s, d, "customer").where("c_custkey % 20 in (0, 1, 3)").selectExpr("c_custkey request_id", "case c_custkey % 4 when 0 then 'Monday ' when 1 then '星期三' when 2 then '周五' else 'x' end weekday", "case when c_custkey % 2 = 0 then ' GREEN' else 'zzz' end keyword")
+    return lookup.course_lookup(r, _courses(s, d)).select("request_id", "n", F.md5("text").alias("digest"))
+
+
+_STATUS = """SELECT ['campus_card', 'registrar', 'library', 'student_affairs'][n_nationkey % 4 + 1] AS service_code, ['main', 'east', 'west'][n_nationkey % 3 + 1] AS campus, n_name AS service_name,
+ n_nationkey AS queue FROM nation WHERE n_nationkey < 12"""
+
+
+@query(f"""WITH st AS ({_STATUS}), r AS (SELECT c_custkey AS request_id, ['campus_card', 'registrar', 'library', 'student_affairs', 'gym'][c_custkey % 5 + 1] AS service_code, ['main', 'east', 'west'][c_custkey % 3 + 1] AS campus FROM customer)
+SELECT request_id, CASE WHEN service_code = 'gym' THEN 'invalid_argument' WHEN service_name IS NULL THEN 'not_found' END AS error,
+ '[模拟数据] ' || service_name || '当前状态：开放；地点：A；今日时间：8-17；排队 ' || queue || ' 人；更新时间：t。' AS text FROM r LEFT JOIN st USING (service_code, campus)""")
+def h2_status_lookup(s, d):
+    st = inputs.table(s, d, "nation").where("n_nationkey < 12").selectExpr(
+        "get(array('campus_card', 'registrar', 'library', 'student_affairs'), cast(n_nationkey % 4 as int)) service_code", "get(array('main', 'east', 'west'), cast(n_nationkey % 3 as int)) campus", "n_name service_name", "'open' status",
+        "'A' location", "'8-17' today_hours", "n_nationkey queue_count", "cast(null as int) estimated_wait_minutes", "'t' updated_at", "'mock' provider",
+    )
+    r = inputs.table(s, d, "customer").selectExpr("c_custkey request_id", "get(array('campus_card', 'registrar', 'library', 'student_affairs', 'gym'), cast(c_custkey % 5 as int)) service_code", "get(array('main', 'east', 'west'), cast(c_custkey % 3 as int)) campus")
+    return lookup.status_lookup(r, st)
+
+
+@query("""WITH r AS (SELECT * FROM events WHERE event_type = (SELECT min(event_type) FROM events)), f AS (SELECT user_id, ts, max(event_type) AS status FROM events WHERE event_type <> (SELECT min(event_type) FROM events) GROUP BY ALL)
+SELECT r.event_id AS request_id, f.status, CASE WHEN f.ts IS NULL THEN 'missing' WHEN r.ts - f.ts <= INTERVAL 1 HOUR THEN 'fresh' WHEN r.ts - f.ts <= INTERVAL 6 HOUR THEN 'stale' ELSE 'expired' END AS freshness
+FROM r ASOF LEFT JOIN f ON r.user_id = f.user_id AND r.ts >= f.ts""")
+def h3_status_asof(s, d):
+    e = inputs.table(s, d, "events")
+    least = e.agg(F.min("event_type").alias("least"))
+    marked = e.crossJoin(F.broadcast(least))  # one row
+    r = marked.where("event_type = least").select(F.col("event_id").alias("request_id"), "user_id", "ts")
+    f = marked.where("event_type <> least").select("user_id", "ts", F.col("event_type").alias("status"))
+    return lookup.status_asof(r, f, ["user_id"], ttl=3600, stale=21600).select("request_id", "status", "freshness")
+
+
+_PAYLOAD = """'{"service_code":"library","campus":"main","status":"' || CASE WHEN s_suppkey % 5 = 0 THEN 'gone' ELSE 'open' END || '","service_name":"' || CASE WHEN s_suppkey % 5 = 1 THEN ' ' ELSE s_name END || '","location":"A","today_hours":"8-17","queue_count":' ||
+ CASE WHEN s_suppkey % 5 = 2 THEN 'true' ELSE '3' END || ',"updated_at":"2024-05-01T08:00:00' || CASE WHEN s_suppkey % 5 = 3 THEN '' ELSE 'Z' END || '"}'"""
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 6 THEN 'identity_mismatch' WHEN s_suppkey % 5 = 0 THEN 'bad_status' WHEN s_suppkey % 5 = 1 THEN 'bad_text' WHEN s_suppkey % 5 = 2 THEN 'bad_count' WHEN s_suppkey % 5 = 3 THEN 'bad_time' END AS error FROM supplier")
+def h4_validate_status_payload(s, d):
+    rows = inputs.table(s, d, "supplier").select("s_suppkey", F.expr(_PAYLOAD).alias("payload"), F.expr("case when s_suppkey % 7 = 6 then 'registrar' else 'library' end").alias("service"))
+    return rows.select("s_suppkey", lookup.payload_error(F.col("payload"), F.col("service"), F.lit("main")).alias("error"))
