@@ -594,3 +594,210 @@ _PAYLOAD = """'{"service_code":"library","campus":"main","status":"' || CASE WHE
 def h4_validate_status_payload(s, d):
     rows = inputs.table(s, d, "supplier").select("s_suppkey", F.expr(_PAYLOAD).alias("payload"), F.expr("case when s_suppkey % 7 = 6 then 'registrar' else 'library' end").alias("service"))
     return rows.select("s_suppkey", lookup.payload_error(F.col("payload"), F.col("service"), F.lit("main")).alias("error"))
+
+
+# --- evaluation -------------------------------------------------------------------------------------
+
+
+def _case_results(s, d):
+    """Orders as cases: their lines are what was retrieved, in order; large quantities are what was expected."""
+    line = F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("part"), F.col("l_suppkey").cast("string").alias("supp"), (F.col("l_quantity") > 25).alias("wanted"))
+    rows = inputs.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("l"), F.collect_set(F.col("l_returnflag")).alias("tags"), F.sum("l_linenumber").alias("n"))
+    named = lambda c, only=False: F.transform(F.filter("l", lambda x: x["wanted"]) if only else F.col("l"), lambda x: x[c])
+    orders = inputs.table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_custkey")
+    key = F.col("l_orderkey")
+    kind = F.when(key % 5 == 0, "no_hit").when(key % 5 == 1, "topic_hit_allowed").otherwise("hit")
+    empty = F.array().cast("array<string>")
+    got = lambda c: F.when(key % 7 == 0, empty).otherwise(named(c))
+    return rows.join(orders, "l_orderkey").select(
+        key.alias("case_id"), F.get(F.array(F.lit("bm25"), F.lit("vector"), F.lit("hybrid")), (key % 3).cast("int")).alias("strategy"), (F.col("o_custkey") % 5).cast("string").alias("task"), F.col("o_orderstatus").alias("split"),
+        "tags", F.when(key % 2 == 0, "easy").otherwise("hard").alias("difficulty"), F.when(key % 4 > 0, F.concat(F.lit("d"), (key % 4).cast("string"))).alias("expected_domain"), kind.alias("retrieval_expectation"),
+        named("part", True).alias("expected_chunk_ids"), named("supp", True).alias("expected_document_ids"), got("part").alias("retrieved_chunk_ids"), got("supp").alias("retrieved_document_ids"),
+        (F.col("n") * 1.5).cast("double").alias("duration_ms"), (key % 2).cast("int").alias("filter_leakage_count"), F.lit(3).alias("required_fact_total"), (key % 4).cast("int").alias("required_fact_matches"),
+        F.when(key % 9 == 0, F.array(F.lit("x"))).otherwise(empty).alias("forbidden_fact_violations"), (key % 2 == 0).alias("safe_abstained"), F.when(key % 3 == 0, F.array(F.lit("leakage"))).otherwise(empty).alias("failures"),
+    )
+
+
+_RESULTS = """res AS (SELECT l_orderkey AS k, ['bm25', 'vector', 'hybrid'][l_orderkey % 3 + 1] AS strategy, any_value(o_custkey % 5)::VARCHAR AS task, any_value(o_orderstatus) AS split, list_distinct(list(l_returnflag)) AS tags,
+ CASE WHEN l_orderkey % 2 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, CASE WHEN l_orderkey % 4 > 0 THEN 'd' || (l_orderkey % 4) END AS domain, CASE l_orderkey % 5 WHEN 0 THEN 'no_hit' WHEN 1 THEN 'topic' ELSE 'hit' END AS kind,
+ coalesce(list(l_partkey) FILTER (l_quantity > 25), []) AS want, coalesce(list(l_suppkey) FILTER (l_quantity > 25), []) AS wdoc, CASE WHEN l_orderkey % 7 = 0 THEN [] ELSE list(l_partkey ORDER BY l_linenumber) END AS got,
+ CASE WHEN l_orderkey % 7 = 0 THEN [] ELSE list(l_suppkey ORDER BY l_linenumber) END AS gdoc, sum(l_linenumber) * 1.5 AS ms, l_orderkey % 2 = 0 AS safe FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+m AS (SELECT *, kind = 'hit' AS h, list_min(list_filter(list_transform(range(1, 4), lambda i: CASE WHEN list_contains(want, got[i]) THEN i END), lambda i: i IS NOT NULL)) AS first FROM res)"""
+_METRICS = """count(*) AS cases, count(*) FILTER (k % 3 = 0) AS failed_cases, round(avg(CASE WHEN h THEN (first IS NOT NULL AND first = 1)::INT END), 6) AS hit_at_1, round(avg(CASE WHEN h THEN (first IS NOT NULL)::INT END), 6) AS hit_at_3,
+ round(avg(CASE WHEN h THEN list_has_any(wdoc, gdoc[1:3])::INT END), 6) AS document_hit_at_3, round(sum(CASE WHEN h THEN len(list_intersect(want, got[1:3])) END) / sum(CASE WHEN h THEN len(list_distinct(want)) END), 6) AS recall_at_3,
+ round(avg(CASE WHEN h THEN coalesce(1.0 / first, 0) END), 6) AS mrr_at_3, round(avg(CASE WHEN kind = 'no_hit' THEN (len(got) = 0)::INT END), 6) AS no_hit_accuracy, round(avg(CASE WHEN kind = 'no_hit' THEN (len(got) > 0)::INT END), 6) AS false_positive_rate,
+ round(avg(CASE WHEN kind = 'topic' THEN safe::INT END), 6) AS hard_negative_safe_abstention_rate, round(sum(k % 4) / (3.0 * count(*)), 6) AS required_fact_coverage, round(sum(k % 2) / nullif(sum(len(got)), 0), 6) AS filter_leakage_rate"""
+_METRIC_NAMES = ("hit_at_1", "hit_at_3", "document_hit_at_3", "recall_at_3", "mrr_at_3", "no_hit_accuracy", "false_positive_rate", "hard_negative_safe_abstention_rate", "required_fact_coverage", "filter_leakage_rate")
+
+
+def _rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "cases", "failed_cases", *(F.round(c, 6).alias(c) for c in _METRIC_NAMES))
+
+
+_ANSWERABLE = "o_orderkey % 4 <> 0"
+_JSON = """'{"id":"' || o_orderkey || '","schema_version":"1","task":"' || CASE WHEN o_orderkey % 9 = 1 THEN 'other' ELSE 'retrieval' END || '","split":"dev","query":"' || CASE WHEN o_orderkey % 9 = 2 THEN ' ' ELSE o_orderstatus END ||
+ '","request":{"top_k":' || (o_orderkey % 25) || ',"filters":{}},"expected":{"answerable":true,"relevant_document_ids":["a"],"relevant_chunk_ids":["a","' || CASE WHEN o_orderkey % 9 = 3 THEN 'a' ELSE 'b' END || '"],"domain":"","category":"","required_facts":[],"forbidden_facts":[]},"tags":["t"],"difficulty":"easy","review_status":"ok"' ||
+ CASE WHEN o_orderkey % 9 = 4 THEN ',"color":1' ELSE '' END || CASE WHEN o_orderkey % 9 = 5 THEN ',"retrieval_expectation":"no_hit"' ELSE '' END || '}'"""
+
+
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 9 WHEN 4 THEN 'unknown_key' WHEN 2 THEN 'blank_field' WHEN 1 THEN 'bad_choice' ELSE CASE WHEN o_orderkey % 25 NOT BETWEEN 1 AND 20 THEN 'bad_top_k' WHEN o_orderkey % 9 = 3 THEN 'bad_list' WHEN o_orderkey % 9 = 5 THEN 'expectation_mismatch' END END AS error FROM orders"
+)
+def i1_parse_cases(s, d):
+    lines = inputs.table(s, d, "orders").select(F.lit("orders").alias("source_file"), F.col("o_orderkey").alias("source_line"), F.expr(_JSON).alias("json"))
+    return evaluation.parse_cases(lines).select(F.col("source_line").alias("o_orderkey"), "error")
+
+
+def _cases(s, d):
+    """Questions as parsed cases with a chunk label and some planted mistakes."""
+    rows = inputs.questions(s, d).selectExpr(
+        "cast(case when query_id % 10 = 9 then query_id - 1 else query_id end as string) id", "'q' source_file", "query_id source_line", "'retrieval' task", "'dev' split", "query",
+        "named_struct('top_k', 3, 'filters', case when query_id % 6 = 1 then map('color', 'x') else map('domain', 'en') end) request",
+        "named_struct('answerable', query_id % 4 <> 3, 'relevant_document_ids', array(concat('doc-', query_id)), 'relevant_chunk_ids', array(concat('d', query_id * 3)), 'domain', 'en', 'category', '', 'required_facts', array('THE'), 'forbidden_facts', case when query_id % 8 = 0 then array('the') else array('zz') end) expected",
+        "case when query_id % 5 = 0 then cast(array() as array<string>) else array('t') end tags", "'easy' difficulty", "cast(null as struct<rewrite_expected:string,rewritten_query_contains:array<string>,max_retrieval_attempts:int>) agentic",
+    )
+    return rows
+
+
+@query(f"""WITH {CHUNKS}, {QUESTIONS}, e AS (SELECT CASE WHEN query_id % 10 = 9 THEN query_id - 1 ELSE query_id END AS id, query_id AS line, query_id % 4 <> 3 AS answerable, 'd' || (query_id * 3) AS chunk, 'doc-' || query_id AS doc, query_id AS q FROM questions),
+l AS (SELECT e.*, c.chunk_id, c.document_id, c.domain, c.visibility, c.title || chr(10) || c.content AS text FROM e LEFT JOIN chunks c ON c.chunk_id = e.chunk)
+SELECT CAST(id AS VARCHAR) AS case_id, message FROM (
+SELECT id, 'duplicate_id' AS message FROM e WHERE q % 10 = 9
+UNION ALL SELECT id, 'labels_on_unanswerable' FROM e WHERE NOT answerable UNION ALL SELECT id, 'negative_mode' FROM e WHERE NOT answerable
+UNION ALL SELECT id, 'unknown_chunk:' || chunk FROM l WHERE chunk_id IS NULL UNION ALL SELECT id, 'unknown_document:' || doc FROM e WHERE doc NOT IN (SELECT document_id FROM chunks)
+UNION ALL SELECT DISTINCT id, 'chunk_document_mismatch' FROM l WHERE chunk_id IS NOT NULL AND document_id <> doc UNION ALL SELECT id, 'bad_filter:unknown:color' FROM e WHERE q % 6 = 1
+UNION ALL SELECT id, 'filtered_out:' || chunk FROM l WHERE chunk_id IS NOT NULL AND (visibility <> 'public' OR (q % 6 <> 1 AND domain <> 'en'))
+UNION ALL SELECT id, 'domain_mismatch:' || chunk FROM l WHERE chunk_id IS NOT NULL AND domain <> 'en'
+UNION ALL SELECT DISTINCT e.id, 'fact_not_in_truth:THE' FROM e WHERE e.id NOT IN (SELECT id FROM l WHERE chunk_id IS NOT NULL AND contains(replace(lower(text), 'ß', 'ss'), 'the'))
+UNION ALL SELECT id, 'fact_conflict:the' FROM e WHERE q % 8 = 0 UNION ALL SELECT id, 'no_tags' FROM e WHERE q % 5 = 0)""")
+def i2_validate_cases(s, d):
+    return evaluation.validate_cases(_cases(s, d), inputs.chunks(s, d)).distinct()
+
+
+ORACLE_SQL["i2_validate_cases"] = ORACLE_SQL["i2_validate_cases"].replace("SELECT CAST(id AS VARCHAR) AS case_id", "SELECT DISTINCT CAST(id AS VARCHAR) AS case_id")
+
+
+def _eval_cases(s, d):
+    top = inputs.questions(s, d)
+    return top.selectExpr(
+        "query_id case_id", "'retrieval' task", "case when query_id % 2 = 0 then 'dev' else 'test' end split", "query", "array('t') tags", "'easy' difficulty", "3 top_k", "filter_id", "query_id % 4 <> 0 answerable",
+        "'en' expected_domain", "array(concat('d', query_id)) expected_chunk_ids", "array(concat('doc-', query_id)) expected_document_ids", "array('the') required_facts", "array('zzz') forbidden_facts",
+    )
+
+
+@query(f"""WITH {BM25}, h AS (SELECT query_id, list('d' || substr(chunk_id, 2) ORDER BY rank) AS got, string_agg(title || chr(10) || content, chr(10) ORDER BY rank) AS text FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 3 GROUP BY 1)
+SELECT query_id AS case_id, array_to_string(coalesce(got, []), ',') AS got, coalesce(contains(replace(lower(text), 'ß', 'ss'), 'the'), false)::INT AS required_fact_matches,
+ CASE WHEN query_id % 4 = 0 THEN got IS NULL END AS safe_abstained FROM questions LEFT JOIN h USING (query_id)""")
+def i3_score_cases(s, d):
+    q, c, h = _hits(s, d)
+    answers = retrieval.answer(q, h, c).select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "answer", F.lit(0.0).alias("duration_ms"))
+    hits = h.select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "chunk_id", "rank")
+    out = evaluation.score_cases(_eval_cases(s, d), hits, c, answers, inputs.filters(s, d))
+    return out.select("case_id", F.array_join("retrieved_chunk_ids", ",").alias("got"), "required_fact_matches", "safe_abstained")
+
+
+@query()
+def i4_score_agentic(s, d):
+    asked, c, (hits, passes) = _passes(s, d)
+    answers = retrieval.answer(asked, hits, c).select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "answer", F.lit(0.0).alias("duration_ms"))
+    found = hits.select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "chunk_id", "rank")
+    results = evaluation.score_cases(_eval_cases(s, d), found, c, answers, inputs.filters(s, d))
+    expected = asked.selectExpr("query_id case_id", "case when query_id % 2 = 0 then 'if_initial_insufficient' else 'false' end rewrite_expected", "array('校园卡') rewritten_query_contains", "'relevant' grade_expected", "'grounded' verification_expected", "1 max_retrieval_attempts", "array('retrieve', 'verify') required_events")
+    went = passes.join(qa.trace_events(passes), "query_id").select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "final_query", "rewritten", "initial_status", "status", F.lit("grounded").alias("verification"), "attempts", "events")
+    return evaluation.score_agentic(results, expected, went).select("case_id", "rewrite_expected", "rewrite_actual", "trace_conformant", F.array_join("failures", ",").alias("failures"))
+
+
+@query(f"WITH {_RESULTS} SELECT strategy, {_METRICS} FROM m GROUP BY 1")
+def i5_aggregate_metrics(s, d):
+    return _rounded(evaluation.aggregate_metrics(_case_results(s, d), 3, ("strategy",)), "strategy")
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 3) AS latency_ms_p50, round(quantile_cont(value, 0.95), 3) AS latency_ms_p95 FROM events GROUP BY 1")
+def i6_latency_quantiles(s, d):
+    return inputs.table(s, d, "events").groupBy("event_type").agg(*evaluation.latency_quantiles("value"))
+
+
+@query(f"WITH {_RESULTS} SELECT strategy, 'overall' AS scope, '' AS value, {_METRICS} FROM m GROUP BY 1" + "".join(f" UNION ALL SELECT strategy, 'by_{c}', {c}, {_METRICS} FROM m WHERE {c} IS NOT NULL GROUP BY 1, 3" for c in ("split", "task", "domain", "difficulty")) + f" UNION ALL SELECT strategy, 'by_tag', tag, {_METRICS} FROM (SELECT *, unnest(tags) AS tag FROM m) GROUP BY 1, 3")
+def i7_summarize(s, d):
+    return _rounded(evaluation.summarize(_case_results(s, d)), "strategy", "scope", "value")
+
+
+@query()
+def i8_run_evaluation(s, d):
+    q, c, v = _embedded(s, d)
+    q = cut(q, "queries")
+    out = evaluation.run_evaluation(_eval_cases(s, d), q, c, cut(retrieval.build_postings(c), "postings"), inputs.filters(s, d), cut(v, "vectors"), dim=256)
+    return out.select("strategy", "case_id", F.array_join("retrieved_chunk_ids", ",").alias("got"), F.array_join("failures", ",").alias("failures"))
+
+
+@query(f"WITH {_RESULTS} SELECT 'task' AS \"column\", task AS value, count(*) AS n FROM res GROUP BY 2 UNION ALL SELECT 'split', split, count(*) FROM res GROUP BY 2 UNION ALL SELECT 'difficulty', difficulty, count(*) FROM res GROUP BY 2 UNION ALL SELECT 'retrieval_expectation', CASE kind WHEN 'topic' THEN 'topic_hit_allowed' ELSE kind END, count(*) FROM res GROUP BY 2")
+def i9_dataset_profile(s, d):
+    return evaluation.dataset_profile(_case_results(s, d), ("task", "split", "difficulty", "retrieval_expectation"))
+
+
+@query()
+def i10_fingerprint(s, d):
+    return evaluation.fingerprint(inputs.table(s, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+@query(f"WITH {_VEC}, t AS (SELECT unnest([0.25, 0.3, 0.4, 0.5]) AS threshold) SELECT threshold::DOUBLE AS threshold, query_id, chunk_id, rank FROM vranked JOIN t ON score >= threshold WHERE rank <= 3")
+def i11_threshold_sweep(s, d):
+    q, v = _vectors(s, d)
+    return evaluation.threshold_sweep(retrieval.vector_search(q, v, 3), [0.25, 0.3, 0.4, 0.5]).select("threshold", "query_id", "chunk_id", "rank")
+
+
+_ROWS = "r AS (SELECT l_discount::DOUBLE AS threshold, avg((l_quantity > 20)::INT) AS hit_at_3, avg((l_quantity > 30)::INT) AS hit_at_1, avg((l_linenumber > 1)::INT) AS no_hit_accuracy, avg((l_linenumber = 1)::INT) AS false_positive_rate FROM lineitem GROUP BY 1)"
+
+
+@query(f"WITH {_ROWS}, a AS (SELECT threshold FROM r WHERE no_hit_accuracy >= 0.75 ORDER BY hit_at_3 DESC, hit_at_1 DESC, no_hit_accuracy DESC, false_positive_rate, threshold DESC LIMIT 1), b AS (SELECT threshold FROM r ORDER BY no_hit_accuracy DESC, false_positive_rate, hit_at_3 DESC, hit_at_1 DESC, threshold DESC LIMIT 1) SELECT coalesce((SELECT threshold FROM a), (SELECT threshold FROM b)) AS recommended_threshold, EXISTS (SELECT 1 FROM a) AS production_gate_passed, CASE WHEN EXISTS (SELECT 1 FROM a) THEN 'meets_safety_gate' ELSE 'best_observed_gate_not_met' END AS mode")
+def i12_recommend_threshold(s, d):
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    rows = inputs.table(s, d, "lineitem").groupBy(F.col("l_discount").cast("double").alias("threshold")).agg(
+        F.lit("hybrid").alias("strategy"), share(F.col("l_quantity") > 20).alias("hit_at_3"), share(F.col("l_quantity") > 30).alias("hit_at_1"), share(F.col("l_linenumber") > 1).alias("no_hit_accuracy"), share(F.col("l_linenumber") == 1).alias("false_positive_rate")
+    )
+    return evaluation.recommend_threshold(rows, 0.75)
+
+
+@query(f"WITH {_RESULTS}, s AS (SELECT strategy, task, {_METRICS} FROM m GROUP BY 1, 2) SELECT 'by_task' AS scope, task AS value, max(hit_at_1) FILTER (strategy = 'bm25') AS bm25, max(hit_at_1) FILTER (strategy = 'vector') AS vector, max(hit_at_1) FILTER (strategy = 'hybrid') AS hybrid FROM s GROUP BY task")
+def i13_strategy_table(s, d):
+    return evaluation.strategy_table(_rounded(evaluation.summarize(_case_results(s, d)), "strategy", "scope", "value").where("scope = 'by_task'"))
+
+
+@query("SELECT event_type AS planner, count(*) AS calls, (count(*) + sum(user_id % 3))::BIGINT AS attempts, count(*) FILTER (event_id % 5 <> 0) AS successes, count(*) FILTER (event_id % 5 = 0) AS failures, sum(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 100 END)::BIGINT AS prompt_tokens, sum(user_id)::BIGINT AS completion_tokens, 0::BIGINT AS total_tokens, round(sum(event_id % 50), 3)::DOUBLE AS latency_ms FROM events GROUP BY 1")
+def i14_usage_rollup(s, d):
+    calls = inputs.table(s, d, "events").selectExpr("event_type planner", "event_id % 5 <> 0 ok", "user_id % 3 retries", "case when event_id % 4 = 0 then 'many' else cast(event_id % 100 as string) end prompt_tokens", "user_id completion_tokens", "-user_id total_tokens", "cast(event_id % 50 as double) latency_ms")
+    return evaluation.usage_rollup(calls)
+
+
+# --- streams ----------------------------------------------------------------------------------------
+
+
+@query()
+def k1_stream_ingest(s, d):
+    """Uploads as a file stream, ingested until it is used up; rows of what was written."""
+    from lodestrand.session import fresh_path
+    from lodestrand.streaming.jobs import stream_ingest
+
+    source, out = fresh_path(s, "uploads"), fresh_path(s, "ingested")
+    uploads = _uploads(s, d)
+    uploads.write.parquet(source)
+    stream_ingest(s.readStream.schema(uploads.schema).parquet(source), out, fresh_path(s, "stream")).awaitTermination()
+    return s.read.parquet(f"{out}/documents").select("arrival_seq", F.lit("accepted").alias("reason")).unionByName(s.read.parquet(f"{out}/rejects").select("arrival_seq", "reason"))
+
+
+@query(f"WITH {MESSAGES} SELECT session_id, array_to_string(list(turn ORDER BY turn), ',') AS turns FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS n FROM messages) WHERE n <= 3 GROUP BY 1")
+def k2_stream_session_memory(s, d):
+    from lodestrand.session import fresh_path
+    from lodestrand.streaming.jobs import stream_session_memory
+
+    source, out = fresh_path(s, "messages"), fresh_path(s, "memory")
+    messages = inputs.messages(s, d)
+    messages.write.parquet(source)
+    stream = stream_session_memory(s.readStream.schema(messages.schema).parquet(source), 3)
+
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", fresh_path(s, "stream")).trigger(availableNow=True).start().awaitTermination()
+    last = s.read.parquet(out).groupBy("session_id").agg(F.max_by("turns", "batch").alias("turns"))
+    return last.select("session_id", F.array_join(F.col("turns").cast("array<string>"), ",").alias("turns"))

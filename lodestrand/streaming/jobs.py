@@ -42,25 +42,29 @@ MEMORY = "session_id string, turns array<bigint>, roles array<string>, texts arr
 
 
 def keep_last(n: int, idle_ms: int) -> Callable:
-    """State function: the last ``n`` messages of a session, dropped after ``idle_ms`` without one."""
+    """State function: the last ``n`` messages of a session, dropped when the watermark is ``idle_ms`` past its latest."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         old = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = {r[0]: tuple(r) for r in old}
+        rows, latest = {r[0]: tuple(r) for r in old}, 0
         for frame in frames:
+            latest = max(latest, int(frame["ts"].max().timestamp() * 1000))
             rows |= {t: (int(t), r, x) for t, r, x in zip(frame["turn"], frame["role"], frame["content"], strict=True)}
         last = [rows[t] for t in sorted(rows)[-n:]]
         columns = [list(c) for c in zip(*last, strict=True)]
         state.update(tuple(columns))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"session_id": [key[0]], "turns": [columns[0]], "roles": [columns[1]], "texts": [columns[2]]})
 
     return update
 
 
 def stream_session_memory(messages: DataFrame, n: int = 20, idle_ms: int = 3_600_000) -> DataFrame:
-    """Per micro-batch the last ``n`` messages of every session it touched; at most n are kept for each key."""
-    return messages.groupBy("session_id").applyInPandasWithState(keep_last(n, idle_ms), MEMORY, STATE, "update", "ProcessingTimeTimeout")
+    """Per micro-batch the last ``n`` messages of every session it touched; at most n are kept for each key.
+
+    ``messages (session_id, turn, ts, role, content)``; idle sessions leave the state by the watermark on ``ts``.
+    """
+    return messages.withWatermark("ts", "1 hour").groupBy("session_id").applyInPandasWithState(keep_last(n, idle_ms), MEMORY, STATE, "update", "EventTimeTimeout")
