@@ -620,8 +620,8 @@ def _case_results(s, d):
 
 _RESULTS = """res AS (SELECT l_orderkey AS k, ['bm25', 'vector', 'hybrid'][l_orderkey % 3 + 1] AS strategy, any_value(o_custkey % 5)::VARCHAR AS task, any_value(o_orderstatus) AS split, list_distinct(list(l_returnflag)) AS tags,
  CASE WHEN l_orderkey % 2 = 0 THEN 'easy' ELSE 'hard' END AS difficulty, CASE WHEN l_orderkey % 4 > 0 THEN 'd' || (l_orderkey % 4) END AS domain, CASE l_orderkey % 5 WHEN 0 THEN 'no_hit' WHEN 1 THEN 'topic' ELSE 'hit' END AS kind,
- coalesce(list(l_partkey) FILTER (l_quantity > 25), []) AS want, coalesce(list(l_suppkey) FILTER (l_quantity > 25), []) AS wdoc, CASE WHEN l_orderkey % 7 = 0 THEN [] ELSE list(l_partkey ORDER BY l_linenumber) END AS got,
- CASE WHEN l_orderkey % 7 = 0 THEN [] ELSE list(l_suppkey ORDER BY l_linenumber) END AS gdoc, sum(l_linenumber) * 1.5 AS ms, l_orderkey % 2 = 0 AS safe FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
+ coalesce(list(l_partkey) FILTER (l_quantity > 25), []) AS want, coalesce(list(l_suppkey) FILTER (l_quantity > 25), []) AS wdoc, CASE WHEN l_orderkey % 7 = 0 THEN [] ELSE list(l_partkey ORDER BY l_linenumber, l_partkey::VARCHAR, l_suppkey::VARCHAR) END AS got,
+ CASE WHEN l_orderkey % 7 = 0 THEN [] ELSE list(l_suppkey ORDER BY l_linenumber, l_partkey::VARCHAR, l_suppkey::VARCHAR) END AS gdoc, sum(l_linenumber) * 1.5 AS ms, l_orderkey % 2 = 0 AS safe FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1),
 m AS (SELECT *, kind = 'hit' AS h, list_min(list_filter(list_transform(range(1, 4), lambda i: CASE WHEN list_contains(want, got[i]) THEN i END), lambda i: i IS NOT NULL)) AS first FROM res)"""
 _METRICS = """count(*) AS cases, count(*) FILTER (k % 3 = 0) AS failed_cases, round(avg(CASE WHEN h THEN (first IS NOT NULL AND first = 1)::INT END), 6) AS hit_at_1, round(avg(CASE WHEN h THEN (first IS NOT NULL)::INT END), 6) AS hit_at_3,
  round(avg(CASE WHEN h THEN list_has_any(wdoc, gdoc[1:3])::INT END), 6) AS document_hit_at_3, round(sum(CASE WHEN h THEN len(list_intersect(want, got[1:3])) END) / sum(CASE WHEN h THEN len(list_distinct(want)) END), 6) AS recall_at_3,
