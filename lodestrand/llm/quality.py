@@ -158,10 +158,19 @@ def quality_rules(
     broken, passed = verdict(rules)
     measured = quality_metrics(docs.select("doc_id", F.col("text").cast("string").alias("text")), stop_words).drop("text")
     failed = base_failure(least_words, most_repeated_percent)
-    return measured.select("*", failed.alias("base_failed"), broken.alias("broken_rules"), (~failed & passed).alias("kept"))
+    return _settled(measured.select("*", failed.alias("base_failed"), broken.alias("broken_rules"), (~failed & passed).alias("kept")))
 
 
 def quality_filter(docs: DataFrame, rules: Mapping[str, Sequence[float | None]] = RULES) -> DataFrame:
     """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns, in the same one pass."""
     measured = quality_metrics(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")))
-    return measured.where(~base_failure() & verdict(rules)[1]).select("row.*")
+    kept = ~base_failure() & verdict(rules)[1]
+    return _settled(measured.select("row", kept.alias("kept"))).where("kept").select("row.*")
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """The same rows; filters on them stay above.
+
+    A filter pushed below the steps that hash windows would repeat those steps for every word.
+    """
+    return df.select(F.explode_outer(F.array(F.struct(*df.columns))).alias("_s")).select("_s.*")
