@@ -18,7 +18,8 @@ NUMBER = "decimal(19,0)"
 
 def domain_of(source: Column, domains: int = 4) -> Column:
     """A domain for tables that have none: sources dealt into ``domains`` groups."""
-    return F.concat(F.lit("d"), (F.crc32(F.coalesce(source, F.lit(""))) % domains).cast("string"))
+    digit = F.conv(F.substring(F.md5(F.coalesce(source, F.lit(""))), 1, 4), 16, 10).cast("int")
+    return F.concat(F.lit("d"), (digit % domains).cast("string"))
 
 
 def leaf_columns(docs: DataFrame) -> list[Column]:
