@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +55,13 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, where what is made of a row is much larger than the row."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words between ASCII blanks, A-Z in lower case."""
     return text.lower().split() if text else []

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import WordHashes, alnum_words_of, as_bytes, bitmap, cut, in_bitmap, shingles
+from lodestrand.llm.common import WordHashes, alnum_words_of, as_bytes, bitmap, cut, in_bitmap, shingles, small_batches
 
 
 def _windows(width: int, k: int):
@@ -40,7 +40,7 @@ def _hits(width: int, sizes: list[int], bits: int, words_of_filter: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches, 500):
             ids, keys, counts, found = [], [], [], []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = alnum_words_of(text.as_py())
@@ -52,7 +52,7 @@ def _hits(width: int, sizes: list[int], bits: int, words_of_filter: np.ndarray):
                     s = shingles(h, k)
                     for p in np.flatnonzero(in_bitmap(s, bits, words_of_filter)).tolist():
                         start = max(0, p - width + 1)
-                        hits.append({"k": k, "token": int(s[p : p + 1].view(np.int64)[0]), "place": p, "start": start, "around": words[start : p + width]})
+                        hits.append({"k": k, "token": int(s[p : p + 1].view(np.int64)[0]), "place": p, "start": start, "around": b" ".join(words[start : p + width])})
                 ids.append(doc_id.as_py()), keys.append(xxhash.xxh3_128_digest(b" ".join(words))), counts.append(len(words)), found.append(hits)
             yield pa.record_batch(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, HIT)],
@@ -62,7 +62,7 @@ def _hits(width: int, sizes: list[int], bits: int, words_of_filter: np.ndarray):
     return run
 
 
-HIT = pa.list_(pa.struct([("k", pa.int32()), ("token", pa.int64()), ("place", pa.int32()), ("start", pa.int32()), ("around", pa.list_(pa.binary()))]))
+HIT = pa.list_(pa.struct([("k", pa.int32()), ("token", pa.int64()), ("place", pa.int32()), ("start", pa.int32()), ("around", pa.binary())]))
 
 
 def _covered(spans: Column) -> Column:
@@ -110,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, k: int
     base = cut(
         docs.select("doc_id", as_bytes().alias("text")).mapInArrow(
             _hits(width, sorted(sizes), bits, held),
-            f"doc_id {kind}, tkey binary, n_words long, hits array<struct<k:int,token:long,place:int,start:int,around:array<binary>>>",
+            f"doc_id {kind}, tkey binary, n_words long, hits array<struct<k:int,token:long,place:int,start:int,around:binary>>",
         ),
         "hits",
     )
@@ -130,7 +130,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, k: int
         hits.withColumns({"k": F.col("h.k"), "token": F.col("h.token")})
         .join(prefix, ["k", "token"])
         .where((at >= 0) & (at + F.col("size") <= F.col("n_words")))
-        .where(F.array_join(F.slice("h.around", at - F.col("h.start") + 1, F.col("size")).cast("array<string>"), " ") == F.col("window").cast("string"))
+        .where(F.array_join(F.slice(F.split(F.col("h.around").cast("string"), " "), at - F.col("h.start") + 1, F.col("size")), " ") == F.col("window").cast("string"))
         .select("doc_id", "tkey", "window", at.alias("start"), (at + F.col("size")).alias("end"))
         .distinct()
     )
