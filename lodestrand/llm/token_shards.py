@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,7 @@ from lodestrand.llm.warc import open_folder
 TOKENIZER = "byte_bpe_50k.tiktoken"
 END = 50256  # free in the vocabulary; ends each document and fills the last sequence
 UNIT = "<u2"
+_RUN = re.compile(r" (?=\s|\Z)")
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,10 +68,10 @@ class Chunks(dict):
         that is none, so a text can be encoded piecewise there, and each piece only once. Texts
         with runs of white space are encoded as a whole.
         """
-        words = text.split(" ")
         # a piece that starts with white space (or is empty) would share a run with its neighbour
-        if any(not w or w[0].isspace() for w in words[1:]):
+        if _RUN.search(text):
             return self.encode(text)
+        words = text.split(" ")
         return self.encode(words[0]) + b"".join(map(self.__getitem__, words[1:]))
 
 
