@@ -82,26 +82,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``comp`` is the smallest node that can be reached. Labels are exchanged along edges and then
     shortened (the label of the label), so the number of rounds grows with the logarithm of the
-    longest path. Each round is written to the shared folder; nothing passes through the driver
-    but the count of changed labels.
+    longest path; it ends when no edge joins two labels. Each round is written to the shared folder
+    and nothing passes through the driver.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    one_way = cut(edges.select("a", "b"), "edges")
+    both = one_way.union(one_way.select("b", "a"))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
     while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("comp").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", F.least("comp", "near").alias("next"), F.col("comp").alias("old"))
+        ends = [labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+        if one_way.join(ends[0], "a").join(ends[1], "b").where("ca != cb").isEmpty():
+            return labels
+        near = both.join(ends[1], "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("near"))
+        step = labels.join(near, "node").select("node", F.least("comp", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("comp").alias("far"))
-        step = cut(
-            step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("comp"), "old"),
-            "labels",
-        )
-        if step.where("comp != old").isEmpty():
-            return step.select("node", "comp")
-        labels = step.select("node", "comp")
+        labels = cut(step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("comp")), "labels")
 
 
 #: A bitmap of ids has at most this many bits (16 MB).

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import WordHashes, as_bytes, components, cut, mix, shingles, words_of
+from lodestrand.llm.common import WordHashes, as_bytes, bitmap, components, cut, in_bitmap, mix, shingles, words_of
 
 SAMPLES, BANDS, ROWS, BITS = 128, 28, 3, 512
 _rng = np.random.default_rng(20240501)
@@ -106,7 +106,6 @@ def _forest(k: int, threshold: int, least_estimate: float):
                 i = parent[i]
             return i
 
-        out = []
         pairs = []
         for i in range(len(rows) - 1):
             rest = slice(i + 1, None)
@@ -126,7 +125,11 @@ def _forest(k: int, threshold: int, least_estimate: float):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if both and 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both):
                     parent[b] = a
-                    out.append((nodes[i], nodes[j]))
+        # each linked node with the smallest of its component in the block: stars, which need no rounds
+        least: dict[int, int] = {}
+        for i in range(len(rows)):
+            least.setdefault(root(i), i)
+        out = [(nodes[least[root(i)]], nodes[i]) for i in range(len(rows)) if least[root(i)] != i and (nodes[least[root(i)]] != nodes[i])]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -138,8 +141,24 @@ def odd_estimate(differ: np.ndarray) -> np.ndarray:
     return 1 + BITS / 2 * np.log(x) / (2 * SAMPLES)
 
 
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, text)`` of the given nodes and of few others: a bitmap of bounded size spares the rest the shuffle."""
+    bits, words = bitmap(nodes.select(F.xxhash64("node").alias("h")), "h")
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = in_bitmap(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), bits, held.value)
+            if on.any():
+                yield batch.select([0, 1]).filter(pa.array(on))
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), as_bytes().alias("text"))
+    return rows.withColumn("h", F.xxhash64("node")).mapInArrow(run, "node long, text binary")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """Those of the pairs ``(a, b)`` that are links on whole sets."""
+    texts = texts.hint("merge")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
     )
@@ -206,26 +225,20 @@ def near_duplicates(
         .select("band", F.col("hub.node").alias("hub"))
     )
     met = (
-        slots.join(hubs, "band").where("node != hub")
+        slots.join(hubs.hint("merge"), "band").where("node != hub")
         .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     )
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"o{s}"))
     differ = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(BITS // 64)), F.lit(0))
     most = int(BITS / 2 * (1 - np.exp((least_estimate - 1) * 2 * SAMPLES * 2 / BITS)))
     near = cut(
-        met.join(side("a"), "a").join(side("b"), "b")
+        met.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
         .where((differ <= most) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
         .select("a", "b"),
         "near",
     )
     clusters = components(near).select("node", F.col("comp").alias("cluster"))
-    members = cut(
-        clusters.join(classes.select("node", "n", "odd"), "node"),
-        "members",
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), as_bytes().alias("text")).join(
-        members.select("node").distinct(), "node", "left_semi"
-    )
+    members = clusters.join(classes.select("node", "n", "odd"), "node")
     sizes = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("chunks")
     )
@@ -237,7 +250,7 @@ def near_duplicates(
     large = sized.where("chunks > 1")
     if not large.isEmpty():
         inside = near.join(large.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-        links = cut(_verified(inside, texts, k, threshold), "hub-links")
+        links = cut(_verified(inside, _texts(docs, large.select("node")), k, threshold), "hub-links")
         found = components(links) if not links.isEmpty() else None
         known = large.join(found, "node", "left") if found is not None else large.withColumn("comp", F.lit(None).cast("long"))
         known = known.withColumn("comp", F.coalesce("comp", "node"))
@@ -262,7 +275,7 @@ def near_duplicates(
         order = ["cluster", "i", "j", "node", "comp", "minor", "odd"]
         blocks = small.unionByName(row.select(order).union(column.select(order)).dropDuplicates(["cluster", "i", "j", "node"]))
     forest = (
-        blocks.join(texts, "node")
+        blocks.join(_texts(docs, sized.select("node")).hint("merge"), "node")
         .groupBy("cluster", "i", "j")
         .applyInPandas(_forest(k, threshold, least_estimate), "a long, b long")
     )
