@@ -338,3 +338,19 @@ def test_passages_of_exact_copies(spark):
     t = text(90, random.Random(9))
     got = ps.shared_passages(make(spark, [t, t, t], False)).collect()
     assert sorted((r.doc_id, r.start, r.end, r.source_id, r.identity) for r in got) == [(1, 0, 90, 0, 1.0), (2, 0, 90, 0, 1.0)]
+
+
+def test_passages_at_low_identity(spark):
+    rng = random.Random(21)
+    texts, least = [], {95: 1.0, 90: 1.0, 85: 0.95, 80: 0.85, 78: 0.75}
+    for identity in least:
+        for _ in range(40):
+            words = text(60, rng).split()
+            other = list(words)
+            for i in rng.sample(range(2, 58), round(60 * (100 - identity) / 100)):
+                other[i] = f"x{rng.randrange(10**6)}"
+            texts += [text(30, rng) + " " + " ".join(x) + " " + text(30, rng) for x in (words, other)]
+    got = {(r.source_id, r.doc_id) for r in ps.shared_passages(make(spark, texts, False)).collect()}
+    for n, (identity, share) in enumerate(least.items()):
+        pairs = {(i, i + 1) for i in range(80 * n, 80 * n + 80, 2)}
+        assert len(got & pairs) >= share * 40, (identity, len(got & pairs))
