@@ -354,3 +354,15 @@ def test_passages_at_low_identity(spark):
     for n, (identity, share) in enumerate(least.items()):
         pairs = {(i, i + 1) for i in range(80 * n, 80 * n + 80, 2)}
         assert len(got & pairs) >= share * 40, (identity, len(got & pairs))
+
+
+def test_passages_of_reused_parts(spark):
+    rng = random.Random(31)
+    words = text(70, rng).split()
+    parts = [words[:40], words[29:], words, words[:45], words[25:], words]
+    around = [text(20, rng) + " " + " ".join(p) + " " + text(20, rng) for p in parts]
+    near_in = lambda rows: {(r.doc_id, r.source_id) for r in ps.shared_passages(make(spark, rows, False)).collect()}
+    assert near_in([*around[:3], around[5]]) == {(3, 2)}
+    assert near_in(around) >= {(5, 2)}  # parts stand between both holders as well
+    d, s = ps.short_matches(np.array([3, 4]), np.array([1, 2]), np.array([50, 50]), 6)
+    assert ps.chains(d, s, 6, 1, 0.3) == [[(3, 1, 51)]]
