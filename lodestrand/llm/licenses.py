@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import alnum_words_of, as_bytes
+from lodestrand.llm.common import ALNUM, alnum_words_of, as_bytes
 
 # Public licence notices and texts, without copyright lines.
 _MIT_GRANT = (
@@ -73,6 +75,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+# the whole texts beside the notices; a text of the GNU licences does not say "or later"
+for _file in sorted((files("lodestrand.llm") / "license_texts").iterdir(), key=lambda x: x.name):
+    _name = _file.name.removesuffix(".txt")
+    TEMPLATES[_name] = (*TEMPLATES.get(_name, ()), _file.read_text("utf-8"))
+
 _BLANK_LINE = re.compile(rb"\n[ \t\r\x0b\x0c]*\n")
 MATCH = pa.struct([("license", pa.string()), ("dice", pa.float64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
@@ -106,13 +113,13 @@ class Matcher:
 
     def __init__(self, templates: Mapping[str, tuple[str, ...]], threshold: float):
         self.threshold = threshold
-        self.names, self.sizes, self.holders = [], [], {}
+        self.names, self.sizes, self.grams, self.holders = [], [], [], {}
         for name, texts in sorted(templates.items()):
             for text in texts:
                 grams = bigrams(text.encode())
                 for g in grams:
                     self.holders.setdefault(g, []).append(len(self.names))
-                self.names.append(name), self.sizes.append(len(grams))
+                self.names.append(name), self.sizes.append(len(grams)), self.grams.append(grams)
         # 2 * min(a, b) / (a + b) >= t bounds the sizes' ratio
         self.ratio = threshold / (2 - threshold)
         self.least, self.most = min(self.sizes) * self.ratio, max(self.sizes) / self.ratio
@@ -136,11 +143,71 @@ class Matcher:
                 best[self.names[t]] = max(dice, best.get(self.names[t], 0.0))
         yield from best.items()
 
+    def windows(self, text: bytes) -> Iterator[tuple[str, int, int]]:
+        """Runs of words anywhere in ``text`` that reach the threshold: the best that do not overlap, for each licence.
+
+        The best window begins and ends with bigrams of the template. One whose first bigram comes again
+        has no more in it than the next one, and one is too long when its bigrams bound Dice below the threshold.
+        """
+        words = alnum_words_of(text)
+        grams = list(zip(words, words[1:]))
+        hits = [i for i, g in enumerate(grams) if g in self.holders]
+        if len(hits) < self.least:
+            return
+        own = Counter(t for g in {grams[i] for i in hits} for t in self.holders[g])
+        found: dict[str, list[tuple[float, int, int]]] = {}
+        for t, c in own.items():
+            size, template = self.sizes[t], self.grams[t]
+            if c < self.ratio * size:
+                continue
+            most = size / self.ratio
+            starts = [i for i in hits if grams[i] in template]
+            for i in starts[: len(starts) + 1 - math.ceil(self.ratio * size)]:
+                seen, common, best = set(), 0, (0.0, i)
+                for j in range(i, len(grams)):
+                    g = grams[j]
+                    if g in seen:
+                        if g == grams[i]:
+                            break
+                        continue
+                    seen.add(g)
+                    if len(seen) > most:
+                        break
+                    if g in template:
+                        common += 1
+                        best = max(best, (2 * common / (len(seen) + size), j))
+                if best[0] >= self.threshold:
+                    found.setdefault(self.names[t], []).append((best[0], i, best[1]))
+        if not found:
+            return
+        spans = [m.span() for m in re.finditer(rb"\S+", text.translate(ALNUM))]
+        for name, all_of in found.items():
+            taken: list[tuple[int, int]] = []
+            for _, i, j in sorted(all_of, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+                if all(j + 1 < a or i > b for a, b in taken):
+                    taken.append((i, j + 1))
+                    yield name, spans[i][0], spans[j + 1][1]
+
+
+def matches_of(matcher: Matcher, text: bytes) -> list[dict]:
+    """Segments that match, and windows that overlap none of their licence or are better than those they overlap."""
+    found = [
+        {"license": name, "dice": dice, "kind": kind, "start": start, "end": end}
+        for kind, start, end in segments(text)
+        for name, dice in matcher.match(text[start:end])
+    ]
+    more = []
+    for name, start, end in matcher.windows(text):
+        dice = dict(matcher.match(text[start:end]))[name]
+        if all(m["dice"] < dice for m in found if m["license"] == name and m["start"] < end and start < m["end"]):
+            more.append({"license": name, "dice": dice, "kind": "window", "start": start, "end": end})
+    return found + more
+
 
 def license_matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Licence texts in documents: ``(doc_id, matches)``, matches of (license, dice, kind, start, end) with UTF-8 byte spans.
 
-    A segment (line, paragraph or whole text) and a template are compared as sets of word bigrams
+    A segment (line, paragraph, whole text, or a window of words anywhere, see :meth:`Matcher.windows`) and a template are compared as sets of word bigrams
     (ASCII letters and digits and characters beyond ASCII, A-Z in lower case): Dice is
     ``2 * |A & B| / (|A| + |B|)``. Since the overlap is at most the smaller set, sizes whose ratio is
     below ``t / (2 - t)`` cannot match and are never compared. The templates are a fixed, small table
@@ -153,16 +220,7 @@ def license_matches(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                b = text.as_py() or b""
-                found.append(
-                    [
-                        {"license": name, "dice": dice, "kind": kind, "start": start, "end": end}
-                        for kind, start, end in segments(b)
-                        for name, dice in matcher.match(b[start:end])
-                    ]
-                )
+            found = [matches_of(matcher, text.as_py() or b"") for text in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(MATCH))], ["doc_id", "matches"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -366,3 +366,31 @@ def test_passages_of_reused_parts(spark):
     assert near_in(around) >= {(5, 2)}  # parts stand between both holders as well
     d, s = ps.short_matches(np.array([3, 4]), np.array([1, 2]), np.array([50, 50]), 6)
     assert ps.chains(d, s, 6, 1, 0.3) == [[(3, 1, 51)]]
+
+
+def test_license_inside_longer_lines(spark):
+    from lodestrand.llm.licenses import TEMPLATES
+
+    header = TEMPLATES["Apache-2.0"][1].split()
+    wrapped = "\n".join("# " + " ".join(header[i : i + 9]) for i in range(0, len(header), 9))
+    texts = [
+        "This project is released under the MIT License.",
+        "Copyright 2021 Example Corp. Licensed under the Apache License, Version 2.0. See the NOTICE file.",
+        wrapped + "\nimport os\n" + text(80),
+        text(40) + " Released under the MIT License. " + text(40) + " Licensed under the Apache License, Version 2.0. " + text(9),
+        "licensed under the terms of a contract, released under the sun",
+    ]
+    got = {r.doc_id: r.licenses for r in license_scan(make(spark, texts, False)).collect()}
+    assert got == {0: "MIT", 1: "Apache-2.0", 2: "Apache-2.0", 3: "Apache-2.0,MIT", 4: ""}
+    for r in license_matches(make(spark, texts, False)).collect():
+        for m in r.matches:
+            assert m.dice >= 0.8 and len(texts[r.doc_id][m.start : m.end].split()) < 50
+
+
+def test_license_full_texts(spark):
+    from lodestrand.llm.licenses import TEMPLATES
+
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    texts = [text(30) + "\n" + max(TEMPLATES[n], key=len).replace("\n\n", "\n") + "\n" + text(400) for n in names]
+    got = {r.doc_id: r.licenses.split(",") for r in license_scan(make(spark, texts, False)).collect()}
+    assert all(n in got[i] for i, n in enumerate(names)) and got[0] == ["Apache-2.0"]
