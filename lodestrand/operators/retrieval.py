@@ -180,24 +180,30 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 3, least: flo
     """Cosine top ``k`` per query with a similarity of at least ``least``: ``(query_id, chunk_id, score, rank)``.
 
     ``queries (query_id, vector)`` and ``vectors (chunk_id, vector)`` hold unit vectors; a zero query
-    has no hits. The queries go out in blocks of a bounded number; each task multiplies a block with
+    has no hits. If ``vectors`` has ``open_to``, the filter_ids that let the chunk through, only chunks
+    open to a query's ``filter_id`` count for it, before the cut at ``k``. The queries go out in blocks of a bounded number; each task multiplies a block with
     its vectors and keeps its best ``k`` per query, so no pair of all queries and chunks is stored.
     """
-    rows = queries.where(F.exists("vector", lambda x: x != 0)).select("query_id", "vector").toArrow()
+    masked = ["open_to"] if "open_to" in vectors.columns else []
+    rows = queries.where(F.exists("vector", lambda x: x != 0)).select("query_id", "vector", *(["filter_id"] if masked else [])).toArrow()
     kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
     out = None
     for start in range(0, max(rows.num_rows, 1), block):
         part = rows.slice(start, block)
-        held = queries.sparkSession.sparkContext.broadcast((part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), np.float32)))
+        held = queries.sparkSession.sparkContext.broadcast((part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), np.float32), np.array(part.column(2).to_pylist(), object) if masked else None))
 
         def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, matrix = held.value
+            ids, matrix, own_filter = held.value
             top: list[list[tuple[float, object]]] = [[] for _ in ids]
             for batch in batches:
                 if not ids or not batch.num_rows:
                     continue
                 names = batch.column(0).to_pylist()
                 scores = matrix @ np.array(batch.column(1).to_pylist(), np.float32).T
+                if own_filter is not None:
+                    open_to = [set(x) for x in batch.column(2).to_pylist()]
+                    for f in set(own_filter):
+                        scores[np.ix_(own_filter == f, [f not in x for x in open_to])] = -np.inf
                 for q, line in enumerate(scores):
                     for i in np.flatnonzero(line >= np.float32(least)):
                         top[q].append((-float(line[i]), names[i]))
@@ -206,7 +212,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 3, least: flo
             yield pa.record_batch([pa.array([r[i] for r in flat], t) for i, t in enumerate(types)], ["query_id", "chunk_id", "score"])
 
         types = [pa.from_numpy_dtype(np.int64) if t in ("bigint", "int") else pa.string() for t in (queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString())] + [pa.float64()]
-        local = vectors.select("chunk_id", "vector").mapInArrow(best, kind)
+        local = vectors.select("chunk_id", "vector", *masked).mapInArrow(best, kind)
         out = local if out is None else out.union(local)
     return top_k(out, k)
 
@@ -248,7 +254,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters
     """Hits by strategy ``bm25``, ``vector`` or ``hybrid``; without usable vectors a query falls back to BM25.
 
     ``queries`` may hold a ``vector``. One of the wrong length or with a number that is not finite
-    counts as unavailable; a zero vector only finds nothing.
+    counts as unavailable; a zero vector only finds nothing. Both channels see only chunks that the
+    query's filter lets through.
     """
     deep = max(20, 4 * k) if strategy == "hybrid" else k
     if strategy == "bm25" or vectors is None or "vector" not in queries.columns:
@@ -256,7 +263,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters
     queries = cut(queries, "queries")
     bad = F.coalesce(vector_error(F.col("vector"), dim).isin("wrong_length", "not_finite"), F.lit(False))
     good, fallback = queries.where(~bad), queries.where(bad)
-    near = vector_search(good, vectors, deep, least)
+    open_to = apply_filters(chunks, filters).groupBy("chunk_id").agg(F.collect_set("filter_id").alias("open_to"))
+    near = vector_search(good, vectors.join(open_to, "chunk_id"), deep, least)
     plain = as_hits(bm25_search(fallback, chunks, postings, filters, k), "bm25")
     if strategy == "vector":
         return as_hits(near, "vector").unionByName(plain)

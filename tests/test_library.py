@@ -159,3 +159,26 @@ def test_fingerprint_ignores_order(spark):
     one = evaluation.fingerprint(df, "id").first()
     assert one == evaluation.fingerprint(df.repartition(5).orderBy(F.desc("id")), "id").first()
     assert one.fingerprint != evaluation.fingerprint(df.withColumn("x", F.lit(1)), "id").first().fingerprint
+
+
+@pytest.mark.parametrize("strategy", ["vector", "hybrid"])
+def test_vectors_of_other_chunks_are_filtered(spark, strategy):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    metas = [None, {"visibility": "private"}, {"domain": "de"}]
+    rows = [(f"c{i:02}", "t", f"word{i}", metas[0 if i >= 50 else 1 + i % 2]) for i in range(60)]
+    c = chunks(spark, rows)
+    unit = lambda x: [float(y) for y in x / np.linalg.norm(x)]
+    # the 50 nearest are private or in another language
+    vectors = {r[0]: unit(np.array([1.0, 0.01 * i if i < 50 else 1.0]) + [0, 0.001 * rng.random()]) for i, r in enumerate(rows)}
+    v = spark.createDataFrame(list(vectors.items()), "chunk_id string, vector array<float>")
+    keys = ", ".join(f"{k} string" for k in META)
+    filters = spark.createDataFrame([("f_en", None, None, "en", None, None, None), ("f_all", None, None, None, None, None, None)], f"filter_id string, {keys}")
+    q = spark.createDataFrame([("q1", "nothing", "f_en", [1.0, 0.0]), ("q2", "nothing", "f_all", [1.0, 0.0])], "query_id string, query string, filter_id string, vector array<float>")
+    hits = retrieval.retrieve(q, c, retrieval.build_postings(c), filters, v, strategy, 3, dim=2).collect()
+    meta = {r[0]: {**META, **(r[3] or {})} for r in rows}
+    for name, domains in (("q1", {"en"}), ("q2", {"en", "de"})):
+        eligible = [x for x in vectors if meta[x]["visibility"] == "public" and meta[x]["domain"] in domains]
+        best = sorted(eligible, key=lambda x: (-np.float32(vectors[x][0]), x))[:3]
+        assert [r.chunk_id for r in sorted(hits, key=lambda r: r.rank) if r.query_id == name] == best
