@@ -24,7 +24,7 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """A bounded memo of 64-bit hashes of words (bytes)."""
 
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -62,6 +62,37 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first ``keys`` integer columns, in tables that hold each group whole."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]).astype(np.int64)
+        last = at[:, -1]
+        other = np.flatnonzero((at != last[:, None]).any(axis=0))
+        if held and (len(other) or (key != last).any()):
+            head = int(other[-1]) + 1 if len(other) else 0
+            yield pa.Table.from_batches([*held, batch.slice(0, head)])
+            held = []
+            batch = batch.slice(head)
+        elif len(other):
+            head = int(other[-1]) + 1
+            yield pa.Table.from_batches([batch.slice(0, head)])
+            batch = batch.slice(head)
+        held.append(batch)
+        key = last
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(table: pa.Table, keys: int) -> np.ndarray:
+    """Where the groups of equal first ``keys`` columns start, and the end."""
+    at = np.stack([table.column(i).to_numpy() for i in range(keys)]).astype(np.int64)
+    return np.concatenate(([0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Words between ASCII blanks, A-Z in lower case."""
     return text.lower().split() if text else []
@@ -118,6 +149,21 @@ def bitmap(values: DataFrame, column: str, most_bits: int = MOST_BITS) -> tuple[
     return bits, out.view(np.uint64)
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, text)`` of the given documents and of few others: a bitmap of bounded size spares the rest the shuffle."""
+    bits, words = bitmap(ids.select(F.xxhash64("id").alias("h")), "h")
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            on = in_bitmap(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), bits, held.value)
+            if on.any():
+                yield batch.select([0, 1]).filter(pa.array(on))
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), as_bytes().alias("text"))
+    return rows.withColumn("h", F.xxhash64("id")).mapInArrow(run, "id long, text binary")
+
+
 def in_bitmap(hashes: np.ndarray, bits: int, words: np.ndarray) -> np.ndarray:
     slot = hashes.view(np.uint64) & np.uint64(bits - 1)
     return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import WordHashes, as_bytes, bitmap, components, cut, in_bitmap, mix, shingles, words_of
+from lodestrand.llm.common import WordHashes, as_bytes, components, cut, group_starts, mix, shingles, texts_of, whole_groups, words_of
 
-SAMPLES, BANDS, ROWS, BITS = 128, 28, 3, 512
+SAMPLES, BANDS, ROWS, BITS = 128, 32, 4, 512
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -79,26 +78,95 @@ def _sketch_batches(k: int, chunk: int = 60_000):
     return run
 
 
-def _forest(k: int, threshold: int, least_estimate: float):
-    """Links inside one block of documents that span the same components as all its links.
+def odd_estimate(differ: np.ndarray) -> np.ndarray:
+    """Jaccard similarity from the number of differing bits of two odd sketches."""
+    x = np.clip(1 - 2 * np.asarray(differ, float) / BITS, 1e-9, 1)
+    return 1 + BITS / 2 * np.log(x) / (2 * SAMPLES)
+
+
+def most_differing(estimate: float) -> int:
+    """Bits in which two sketches may differ for an estimate of at least ``estimate``."""
+    return int(BITS / 2 * (1 - np.exp((estimate - 1) * 2 * SAMPLES * 2 / BITS)))
+
+
+def near_pairs(group: np.ndarray, comp: np.ndarray, minor: np.ndarray, n: np.ndarray, odd: np.ndarray, most: int, threshold: int):
+    """Pairs of one group and of different components, one of them minor, that sizes and sketches let pass.
 
-    Sketches rule out pairs; the rest is compared on whole sets, likeliest first, unless both
-    are connected already.
+    ``group`` ascends. Rows are compared at distance 1, 2, ... for all groups at once.
     """
+    out, at, step = [], np.arange(len(group)), 1
+    while True:
+        at = at[at + step < len(group)]
+        at = at[group[at + step] == group[at]]
+        if not len(at):
+            break
+        to = at + step
+        on = (comp[at] != comp[to]) & (minor[at] | minor[to]) & (100 * np.minimum(n[at], n[to]) >= threshold * np.maximum(n[at], n[to]))
+        i, j = at[on], to[on]
+        differ = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+        on = differ <= most
+        out.append((i[on], j[on], differ[on]))
+        step += 1
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _columns(table: pa.Table, names: list[str]) -> list[np.ndarray]:
+    return [table.column(x).to_numpy() for x in names]
+
+
+def _odd(table: pa.Table) -> np.ndarray:
+    return table.column("odd").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1).view(np.uint64)
+
+
+TILE = "k1 long, k2 int, k3 int, node long, comp long, minor boolean, n long, odd array<long>"
+ACTIVE = "k1 long, k2 int, k3 int, node long, root long"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        hashes = WordHashes()
-        rows = rows.sort_values("node", kind="stable")
-        nodes = rows["node"].to_numpy()
-        minor = rows["minor"].to_numpy()
-        comp = rows["comp"].to_numpy()
-        sets = [np.unique(shingles(hashes.of(words_of(t)), k)) for t in rows["text"]]
-        sizes = np.array([len(s) for s in sets])
-        odd = np.array(rows["odd"].tolist(), dtype=np.int64).reshape(len(rows), -1).view(np.uint64)
-        parent = list(range(len(rows)))
-        first = {}
-        for i, c in enumerate(comp):
-            parent[i] = first.setdefault(c, i)
+
+def _alike(most: int, threshold: int):
+    """The rows of each tile that form a passing pair, with the least row that passing pairs lead to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 3):
+            starts = group_starts(table, 3)
+            group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            comp, minor, n, node = _columns(table, ["comp", "minor", "n", "node"])
+            i, j, _ = near_pairs(group, comp, minor, n, _odd(table), most, threshold)
+            least = np.arange(len(group))
+            while True:
+                both = np.minimum(least[i], least[j])
+                new = least.copy()
+                np.minimum.at(new, i, both)
+                np.minimum.at(new, j, both)
+                new = new[new]
+                if (new == least).all():
+                    break
+                least = new
+            on = np.unique(np.concatenate((i, j)))
+            keys = [table.column(x).combine_chunks().take(pa.array(on)) for x in ("k1", "k2", "k3")]
+            yield pa.record_batch([*keys, pa.array(node[on]), pa.array(node[least[on]])], ["k1", "k2", "k3", "node", "root"])
+
+    return run
+
+
+def _linked(k: int, threshold: int, most: int):
+    """Links inside each block that span the same components as all its links.
+
+    Sketches rule out pairs; the rest is compared on whole sets, likeliest first, unless both are
+    connected already. Each linked node comes with the first of its component in the block.
+    """
+
+    def block(table: pa.Table, hashes: WordHashes) -> Iterator[tuple[int, int]]:
+        comp, minor, n, node = _columns(table, ["comp", "minor", "n", "node"])
+        left, right, differ = near_pairs(np.zeros(len(n), np.int64), comp, minor, n, _odd(table), most, threshold)
+        first: dict[int, int] = {}
+        parent = [first.setdefault(c, i) for i, c in enumerate(comp.tolist())]
+        sets: dict[int, np.ndarray] = {}
+        text = table.column("text")
+
+        def shingled(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.unique(shingles(hashes.of(words_of(text[i].as_py())), k))
+            return sets[i]
 
         def root(i: int) -> int:
             while parent[i] != i:
@@ -106,74 +174,95 @@ def _forest(k: int, threshold: int, least_estimate: float):
                 i = parent[i]
             return i
 
-        pairs = []
-        for i in range(len(rows) - 1):
-            rest = slice(i + 1, None)
-            differ = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1).astype(float)
-            near = (odd_estimate(differ) >= least_estimate) & (comp[rest] != comp[i])
-            near &= (100 * np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i]))
-            near &= minor[rest] | minor[i]
-            hit = np.flatnonzero(near)
-            pairs.append((np.full(len(hit), i), hit + i + 1, differ[hit]))
-        if pairs:
-            left, right, differ = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            for p in np.argsort(differ, kind="stable"):
-                i, j = int(left[p]), int(right[p])
-                a, b = root(i), root(j)
-                if a == b:
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both and 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both):
-                    parent[b] = a
-        # each linked node with the smallest of its component in the block: stars, which need no rounds
-        least: dict[int, int] = {}
-        for i in range(len(rows)):
-            least.setdefault(root(i), i)
-        out = [(nodes[least[root(i)]], nodes[i]) for i in range(len(rows)) if least[root(i)] != i and (nodes[least[root(i)]] != nodes[i])]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        tied = False
+        for p in np.argsort(differ, kind="stable"):
+            i, j = int(left[p]), int(right[p])
+            a, b = root(i), root(j)
+            if a == b:
+                continue
+            s, t = shingled(i), shingled(j)
+            both = len(np.intersect1d(s, t, assume_unique=True))
+            if both and 100 * both >= threshold * (len(s) + len(t) - both):
+                parent[max(a, b)] = min(a, b)
+                tied = True
+        if tied:
+            for i in range(len(n)):
+                if (r := root(i)) != i and node[r] != node[i]:
+                    yield int(node[r]), int(node[i])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for table in whole_groups(batches, 3):
+            starts = group_starts(table, 3)
+            out = [x for a, b in zip(starts, starts[1:], strict=False) if b - a > 1 for x in block(table.slice(a, b - a), hashes)]
+            yield pa.record_batch([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], ["a", "b"])
 
     return run
 
 
-def odd_estimate(differ: np.ndarray) -> np.ndarray:
-    """Jaccard similarity from the number of differing bits of two odd sketches."""
-    x = np.clip(1 - 2 * np.asarray(differ, float) / BITS, 1e-9, 1)
-    return 1 + BITS / 2 * np.log(x) / (2 * SAMPLES)
-
+def _links(blocks: DataFrame, docs: DataFrame, classes: DataFrame, k: int, threshold: int, most: int) -> DataFrame:
+    """Links inside blocks ``(k1, k2, k3, node, comp, minor)``, confirmed on whole sets."""
+    sides = classes.select("node", "n", "odd")
+    texts = texts_of(docs, blocks.select(F.col("node").alias("id"))).withColumnRenamed("id", "node")
+    return (
+        blocks.join(sides.hint("merge"), "node").join(texts.hint("merge"), "node")
+        .select(*(x.split()[0] for x in TILE.split(", ")), "text")
+        .repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "node")
+        .mapInArrow(_linked(k, threshold, most), "a long, b long").distinct()
+    )
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, text)`` of the given nodes and of few others: a bitmap of bounded size spares the rest the shuffle."""
-    bits, words = bitmap(nodes.select(F.xxhash64("node").alias("h")), "h")
-    held = docs.sparkSession.sparkContext.broadcast(words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            on = in_bitmap(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), bits, held.value)
-            if on.any():
-                yield batch.select([0, 1]).filter(pa.array(on))
+def _stars(classes: DataFrame, bands: int, star: int, threshold: int, most: int) -> DataFrame:
+    """Blocks of a hub and the classes that share one of the first ``bands`` with it and pass by size and sketch."""
+    slots = classes.select("node", F.explode(F.slice("bands", 1, bands)).alias("band"))
+    hubs = (
+        slots.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node"), "node")).alias("hub"))
+        .where("m > 1").select("band", F.col("hub.node").alias("a"))
+    )
+    met = slots.withColumnRenamed("node", "b").join(hubs.hint("merge"), "band").where("a != b").select("a", "b").distinct()
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"o{s}")).hint("merge")
+    differ = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(BITS // 64)), F.lit(0))
+    pairs = cut(
+        met.join(side("a"), "a").join(side("b"), "b")
+        .where((differ <= most) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+        .select("a", "b"),
+        "hub-pairs",
+    )
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / star).cast("int").alias("parts"))
+    spoke = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("k2"), F.col("b").alias("node"))
+    hub = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k2"), F.col("a").alias("node"))
+    return spoke.union(hub).select(
+        F.col("a").alias("k1"), "k2", F.lit(0).alias("k3"), "node", F.col("node").alias("comp"), (F.col("node") == F.col("a")).alias("minor")
+    )
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), as_bytes().alias("text"))
-    return rows.withColumn("h", F.xxhash64("node")).mapInArrow(run, "node long, text binary")
 
+def _tiles(known: DataFrame, rows: int, total: int) -> DataFrame:
+    """Tiles ``(k1 = band key, k2, k3)`` of the buckets whose classes are not one component yet.
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that are links on whole sets."""
-    texts = texts.hint("merge")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
+    The bucket's largest component is its main one. Tiles hold a part of the other classes against
+    a part of all, so each pair of different components meets in one, and a tile holds at most two
+    parts of ``rows`` rows or ``total`` shingles.
+    """
+    slots = known.select("node", "comp", "n", F.explode("bands").alias("band"))
+    mixed = slots.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
+    inside = cut(slots.join(mixed.hint("merge"), "band"), "mixed")
+    each = inside.groupBy("band", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    sizes = each.groupBy("band").agg(
+        F.max(F.struct("m", "t", "comp")).alias("main"), F.sum("m").alias("m"), F.sum("t").alias("t")
     )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.unique(shingles(hashes.of(words_of(v.as_py())), k)) for v in (x, y))
-                n = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(bool(n) and 100 * n >= threshold * (len(s) + len(t) - n))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    parts = lambda m, t: F.greatest(F.ceil(m / rows), F.ceil(t / total), F.lit(1)).cast("int")
+    dealt = sizes.select(
+        "band", F.col("main.comp").alias("main"), parts(F.col("m"), F.col("t")).alias("all"),
+        parts(F.col("m") - F.col("main.m"), F.col("t") - F.col("main.t")).alias("few"),
+    )
+    at = lambda i, j: F.struct(i.cast("int").alias("k2"), j.cast("int").alias("k3"))
+    own_all, own_few = F.pmod(F.xxhash64("node"), F.col("all")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("few"))
+    every = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: at(i, own_all))
+    other = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: at(own_few, j))
+    joined = inside.join(dealt.hint("merge"), "band").withColumn("minor", F.col("comp") != F.col("main"))
+    return joined.select(
+        F.col("band").alias("k1"), F.explode(F.when(F.col("minor"), F.array_union(every, other)).otherwise(every)).alias("at"), "node", "comp", "minor"
+    ).select("k1", "at.k2", "at.k3", "node", "comp", "minor")
 
 
 def near_duplicates(
@@ -182,7 +271,8 @@ def near_duplicates(
     threshold: int = 75,
     least_estimate: float = 0.55,
     block_docs: int = 512,
-    block_shingles: int = 2_000_000,
+    block_shingles: int = 1_000_000,
+    hub_bands: int = 8,
 ) -> DataFrame:
     """Components of documents whose word-shingle sets are similar: ``(doc_id, n_shingles, component_id, kept)``.
 
@@ -190,16 +280,19 @@ def near_duplicates(
     ``k``-word shingles (words between ASCII blanks, A-Z in lower case; a shorter text is one
     shingle). One row per input row.
 
-    1. Each text gets 128 MinHash samples. 28 keys of three samples each are its bands (a pair at
-       0.75 shares none with a chance of 2e-7); all samples fold into a 512-bit odd sketch.
-    2. Equal texts become one class, named by its smallest doc_id. In each band bucket every
-       class meets only the bucket's hub (least by a hash), so pairs grow with the rows. Odd
-       sketches drop pairs estimated below ``least_estimate``, some 4 deviations under 0.75.
-    3. The surviving pairs form clusters. A cluster of up to ``block_docs`` classes is one block,
-       in which every pair is weighed by sketch and confirmed on whole sets unless already
-       connected. In a larger one the hub pairs are confirmed first; then blocks hold a chunk of
-       the classes outside its largest component against a chunk of all, so no pair is skipped
-       and no task holds more than two chunks.
+    1. Each text gets 128 MinHash samples. 32 keys of four samples each are its bands (a pair at
+       0.75 shares none with a chance of 5e-6); all samples fold into a 512-bit odd sketch, whose
+       XOR counts drop pairs estimated below ``least_estimate``, over 4 deviations under 0.75.
+       Equal texts become one class, named by its smallest doc_id.
+    2. Contraction: in each bucket of the first ``hub_bands`` bands every class meets the bucket's
+       hub (least by a hash); what passes the sketch is compared on whole sets. This joins most of
+       a group of near copies by as many comparisons as it has rows.
+    3. The rest, in all bands: in each bucket whose classes are not one component yet, all pairs
+       of different components are weighed by sketch, in tiles of bounded size. Classes of passing
+       pairs that hang together, up to ``block_docs``, are one block of whole texts; where more
+       hang together, the tiles themselves are the blocks. In a block every passing pair is
+       compared on whole sets, likeliest first, unless it is connected already. No pair that
+       shares a band and passes the sketch is left out, and no pair is sent anywhere.
     4. The confirmed links' components are joined back to all rows.
 
     Defined cases: null or blank text has no shingles, is linked with nothing and is kept; a null
@@ -207,6 +300,7 @@ def near_duplicates(
     component; a doc_id is taken to name one text; an empty table gives no rows; other columns
     are ignored.
     """
+    most = most_differing(least_estimate)
     sketched = cut(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("text")).mapInArrow(_sketch_batches(k), SKETCHED),
         "sketches",
@@ -217,69 +311,25 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")),
         "classes",
     )
-    slots = classes.select("node", F.explode("bands").alias("band"))
-    hubs = (
-        slots.groupBy("band")
-        .agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node"), "node")).alias("hub"))
-        .where("n > 1")
-        .select("band", F.col("hub.node").alias("hub"))
-    )
-    met = (
-        slots.join(hubs.hint("merge"), "band").where("node != hub")
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    sure = cut(_links(_stars(classes, hub_bands, block_docs, threshold, most), docs, classes, k, threshold, most), "hub-links")
+    known = classes.join(components(sure), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    tiles = cut(_tiles(known, block_docs, block_shingles), "tiles")
+    alike = cut(
+        tiles.join(classes.select("node", "n", "odd").hint("merge"), "node").select(*(x.split()[0] for x in TILE.split(", ")))
+        .repartition("k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3", "node")
+        .mapInArrow(_alike(most, threshold), ACTIVE),
+        "alike",
     )
-    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"o{s}"))
-    differ = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(BITS // 64)), F.lit(0))
-    most = int(BITS / 2 * (1 - np.exp((least_estimate - 1) * 2 * SAMPLES * 2 / BITS)))
-    near = cut(
-        met.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-        .where((differ <= most) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-        .select("a", "b"),
-        "near",
-    )
-    clusters = components(near).select("node", F.col("comp").alias("cluster"))
-    members = clusters.join(classes.select("node", "n", "odd"), "node")
-    sizes = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("chunks")
-    )
-    sized = cut(members.join(sizes, "cluster"), "sized")
-
-    small = sized.where("chunks = 1").select("cluster", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("comp"), F.lit(True).alias("minor"), "odd")
-    blocks = small
-    links = None
-    large = sized.where("chunks > 1")
-    if not large.isEmpty():
-        inside = near.join(large.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-        links = cut(_verified(inside, _texts(docs, large.select("node")), k, threshold), "hub-links")
-        found = components(links) if not links.isEmpty() else None
-        known = large.join(found, "node", "left") if found is not None else large.withColumn("comp", F.lit(None).cast("long"))
-        known = known.withColumn("comp", F.coalesce("comp", "node"))
-        main = (
-            known.groupBy("cluster", "comp").agg(F.count("*").alias("m"))
-            .groupBy("cluster").agg(F.max(F.struct("m", "comp")).alias("main")).select("cluster", F.col("main.comp").alias("main"))
-        )
-        known = cut(known.join(main, "cluster").withColumn("minor", F.col("comp") != F.col("main")), "known")
-        minors = known.groupBy("cluster").agg(
-            F.ceil(F.count_if("minor") / F.count("*") * F.max("chunks")).cast("int").alias("minor_chunks")
-        )
-        known = known.join(minors.where("minor_chunks > 0"), "cluster")
-        dealt = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-        row = known.select(
-            "cluster", "node", "comp", "minor", "odd",
-            F.explode(F.sequence(F.lit(0), F.col("minor_chunks") - 1)).alias("i"), dealt.alias("j"),
-        )
-        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("minor_chunks")).cast("int")
-        column = known.where("minor").select(
-            "cluster", "node", "comp", "minor", "odd", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j")
-        )
-        order = ["cluster", "i", "j", "node", "comp", "minor", "odd"]
-        blocks = small.unionByName(row.select(order).union(column.select(order)).dropDuplicates(["cluster", "i", "j", "node"]))
-    forest = (
-        blocks.join(_texts(docs, sized.select("node")).hint("merge"), "node")
-        .groupBy("cluster", "i", "j")
-        .applyInPandas(_forest(k, threshold, least_estimate), "a long, b long")
-    )
-    found = components(forest if links is None else forest.union(links))
+    clusters = components(alike.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct())
+    sizes = clusters.join(classes.select("node", "n"), "node").groupBy("comp").agg((
+        (F.count("*") <= block_docs) & (F.sum("n") <= block_shingles)
+    ).alias("small"))
+    placed = cut(clusters.join(sizes, "comp").select("node", F.col("comp").alias("cluster"), "small"), "clusters")
+    keys = ["k1", "k2", "k3", "node"]
+    rest = tiles.join(alike.select(*keys), keys).join(placed, "node")
+    one = rest.where("small").select(F.col("cluster").alias("k1"), F.lit(-1).alias("k2"), F.lit(-1).alias("k3"), "node", "comp", F.lit(True).alias("minor")).distinct()
+    blocks = cut(one.union(rest.where("not small").select(*keys, "comp", "minor")), "blocks")
+    found = components(sure.union(_links(blocks, docs, classes, k, threshold, most)))
     named = classes.select("ckey", "node").join(found, "node", "left").select("ckey", F.coalesce("comp", "node").alias("comp"))
     shared = sketched.where("n_shingles > 0 and doc_id is not null").select("doc_id", "ckey", "n_shingles").join(named, "ckey")
     alone = sketched.where("n_shingles = 0 or doc_id is null").select(
