@@ -312,12 +312,38 @@ def test_license_scan(spark, docs, empty):
             assert m.dice == pytest.approx(max(2 * len(a & grams(t)) / (len(a) + len(grams(t))) for t in TEMPLATES[m.license]))
 
 
+def test_rolling_hash():
+    h = np.random.default_rng(3).integers(0, 2**32, 300, dtype=np.uint32)
+    h[200:240] = h[20:60]
+    got = ps.rolling(h, 7)
+    assert len(got) == 294 and (got[200:234] == got[20:54]).all() and len(set(got.tolist())) == 294 - 34
+    assert len(ps.rolling(h, 301)) == 0
+
+
 def test_chain_and_alignment():
-    a, b = np.arange(100), np.concatenate([np.arange(50), [999], np.arange(51, 100)])
-    chain = ps.chains(np.array([0, 10, 30, 60, 80]), np.array([0, 10, 30, 60, 80]), 8, 16, 0.3)
-    assert ps.align(a, b, max(chain, key=len)) == (0, 100, 0, 100, 99)
-    crossed = ps.chains(np.array([0, 50]), np.array([50, 0]), 8, 16, 0.3)
-    assert len(crossed) == 2
+    a, b = np.arange(100, dtype=np.uint32), np.concatenate([np.arange(50), [999], np.arange(51, 100)]).astype(np.uint32)
+    at = np.array([0, 10, 30, 60, 80])
+    found = ps.chains(at, at, np.full(5, 8), 16, 0.3, 5)
+    assert ps.passages(a, b, found, 50, 75) == [(0, 100, 0, 100, 99)]
+    assert len(ps.chains(np.array([0, 50]), np.array([50, 0]), np.full(2, 8), 16, 0.3, 5)) == 2
+    # words put in, and words left out
+    c = np.concatenate([a[:40], [7777, 7778], a[40:70], a[73:]]).astype(np.uint32)
+    found = ps.chains(np.array([0, 42, 72]), np.array([0, 40, 73]), np.array([40, 30, 27]), 12, 0.3, 5)
+    assert len(found) == 1 and ps.passages(c, a, found, 50, 75) == [(0, 99, 0, 100, 97)]
+
+
+def test_stretches_against_brute_force():
+    """Each stretch found is long and good enough, and each exact run of 50 is in one."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        equal = rng.random(int(rng.integers(0, 400))) < rng.choice([0.3, 0.6, 0.75, 0.85])
+        run = None
+        if len(equal) > 60 and rng.random() < 0.5:
+            run = int(rng.integers(0, len(equal) - 50))
+            equal[run : run + 50] = True
+        got = ps.stretches(equal, 50, 75)
+        assert all(j - i >= 50 and equal[i:j].mean() >= 0.75 for i, j in got)
+        assert run is None or any(i < run + 25 < j for i, j in got)
 
 
 def test_shared_passages(spark, empty):
@@ -362,10 +388,44 @@ def test_passages_of_reused_parts(spark):
     parts = [words[:40], words[29:], words, words[:45], words[25:], words]
     around = [text(20, rng) + " " + " ".join(p) + " " + text(20, rng) for p in parts]
     near_in = lambda rows: {(r.doc_id, r.source_id) for r in ps.shared_passages(make(spark, rows, False)).collect()}
-    assert near_in([*around[:3], around[5]]) == {(3, 2)}
+    assert near_in([*around[:3], around[5]]) == {(3, 2)}  # none of the parts has 50 words
     assert near_in(around) >= {(5, 2)}  # parts stand between both holders as well
-    d, s = ps.short_matches(np.array([3, 4]), np.array([1, 2]), np.array([50, 50]), 6)
-    assert ps.chains(d, s, 6, 1, 0.3) == [[(3, 1, 51)]]
+
+
+def test_passages_of_the_five_texts(spark):
+    """Two texts share 90 words; three earlier ones hold parts of them that overlap."""
+    rng = random.Random(33)
+    words = text(90, rng).split()
+    held = [words[:42], words[30:70], words[62:], words, words]
+    rows = [text(15, rng) + " " + " ".join(p) + " " + text(15, rng) for p in held]
+    got = [(r.doc_id, r.source_id, r.end - r.start) for r in ps.shared_passages(make(spark, rows, False)).collect()]
+    assert [(d, s) for d, s, _ in got] == [(4, 3)] and 90 <= got[0][2] <= 92
+
+
+def test_every_exact_passage_is_found(spark):
+    """Against brute force: each document with 50 words in a row that a smaller doc_id holds has a row over them."""
+    rng = random.Random(35)
+    pool = [text(rng.randrange(50, 90), rng).split() for _ in range(25)]
+    rows = []
+    for _ in range(160):
+        part = rng.choice(pool)
+        lo = rng.randrange(0, max(1, len(part) - 50)) if rng.random() < 0.5 else 0
+        hi = rng.randrange(lo + 20, len(part) + 1)
+        rows.append(" ".join([text(rng.randrange(1, 40), rng), *part[lo:hi], text(rng.randrange(1, 40), rng)]))
+    seen, expected = {}, {}
+    for i, row in enumerate(rows):
+        w = row.lower().split()
+        grams = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        expected[i] = [j for j, g in enumerate(grams) if g in seen]
+        for g in grams:
+            seen.setdefault(g, i)
+    got = {}
+    for r in ps.shared_passages(make(spark, rows, False), batch_words=3000).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+        assert r.source_id < r.doc_id
+    lost = [(i, j) for i, at in expected.items() for j in at if not any(a <= j and j + 50 <= b for a, b in got.get(i, []))]
+    total = sum(map(len, expected.values()))
+    assert total > 300 and len(lost) <= 0.01 * total
 
 
 def test_license_inside_longer_lines(spark):
