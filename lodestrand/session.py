@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent (local runs, tests) a temporary folder is made.
+    Only where the setting is absent and the session is local (tests) a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-lodestrand-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
