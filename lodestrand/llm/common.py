@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.session import cut, fresh_path, shared_dir  # noqa: F401
@@ -27,9 +27,11 @@ class WordHashes(dict):
     limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -55,6 +57,19 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a vocabulary file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme: one without is in the cluster's default file system, as in Spark's own readers."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, where what is made of a row is much larger than the row."""
     for batch in batches:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import as_bytes, cut
+from lodestrand.llm.common import as_bytes, cut, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pre-tokens a task counts before it hands them on.
@@ -20,12 +20,6 @@ HELD = 300_000
 FREQUENT = 1 << 18
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer

@@ -13,22 +13,18 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import as_bytes, cut, fresh_path, mix
+from lodestrand.llm.common import as_bytes, fresh_path, mix, qualified, tokenizer_path
 from lodestrand.llm.warc import open_folder
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 END = 50256  # free in the vocabulary; ends each document and fills the last sequence
 UNIT = "<u2"
-_RUN = re.compile(r" (?=\s|\Z)")
-
-
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: White space as the tokenizer's pattern has it, and with it a text's runs of other characters.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 @lru_cache(maxsize=2)
@@ -44,18 +40,20 @@ def _encoding(path: str):
 
 
 class Chunks(dict):
-    """A bounded memo of the ids (as bytes) of a blank and the word after it."""
+    """A bounded memo of the ids (as bytes) of white space and the word after it."""
 
-    limit = 500_000
+    limit = 150_000
 
     def __init__(self, path: str):
         super().__init__()
         self.path = path
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > 64:
+            return self.encode(word)
         if len(self) >= self.limit:
             self.clear()
-        self[word] = ids = self.encode(" " + word)
+        self[word] = ids = self.encode(word)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -64,15 +62,10 @@ class Chunks(dict):
     def text(self, text: str) -> bytes:
         """Ids of a whole text.
 
-        The tokenizer's pattern always starts a piece at a blank that stands before a character
-        that is none, so a text can be encoded piecewise there, and each piece only once. Texts
-        with runs of white space are encoded as a whole.
+        No piece of the tokenizer's pattern reaches from other characters into white space, so a
+        text can be encoded piecewise where white space starts, and each piece only once.
         """
-        # a piece that starts with white space (or is empty) would share a run with its neighbour
-        if _RUN.search(text):
-            return self.encode(text)
-        words = text.split(" ")
-        return self.encode(words[0]) + b"".join(map(self.__getitem__, words[1:]))
+        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
 
 @lru_cache(maxsize=2)
@@ -251,16 +244,25 @@ ROWS = "slot long, sequence long, shard int, byte_offset long, n_tokens int, crc
 
 
 class Shards:
-    """Written shards: the list of files and what is needed to read them."""
+    """Written shards: a folder that tells all that is needed to read it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        system, path = open_folder(folder)
+        with system.open_input_stream(f"{path}/index.json") as data:
+            index = json.loads(data.read())
+        self.n_sequences, self.length, self.per_shard, self.key, self.n_tokens, self.n_shards = (
+            index[x] for x in ("sequences", "length", "per_shard", "key", "tokens", "shards")
+        )
 
-    def __init__(self, folder: str, files: DataFrame, n_sequences: int, length: int, per_shard: int, key: int, n_tokens: int):
-        self.folder, self.files, self.n_sequences, self.length, self.per_shard, self.key, self.n_tokens = (
-            folder, files, n_sequences, length, per_shard, key, n_tokens,
-        )
+    @property
+    def files(self) -> DataFrame:
+        """``(shard, file, n_sequences)`` of the tasks that ended."""
+        return self.spark.read.schema("shard int, file string, n_sequences long").parquet(f"{self.folder}/manifest")
 
     def read(self, tokens: bool = True) -> DataFrame:
-        """All sequences in rows ``(slot, sequence, shard, byte_offset, n_tokens, crc32, ids)``."""
-        rows = self.files.select("shard", "file", "n_sequences").repartition("shard")
+        """All sequences in rows ``(slot, sequence, shard, byte_offset, n_tokens, crc32, ids)``, a task for each shard."""
+        rows = self.files.select("shard", "file", "n_sequences").repartitionById(max(1, self.n_shards), "shard")
         return rows.mapInArrow(_read(self.folder, self.length, self.per_shard, Feistel(max(self.n_sequences, 1), self.key), tokens), ROWS)
 
 
@@ -283,15 +285,16 @@ def write_shards(
     ``s % per_shard * length * 2`` of shard ``s // per_shard`` and a reader can resume anywhere.
 
     ``docs`` must give the same partitions when read again (tables and files do); a partition whose
-    hash differs from the first pass is an error. A repeated task writes a file of its own; the list of
-    files and ``index.json`` name those of the tasks that ended.
+    hash differs from the first pass is an error. A repeated task writes a file of its own; the table
+    ``manifest`` names those of the tasks that ended, and ``index.json`` is moved into place last, so
+    a folder that has one is whole and is read by itself (:class:`Shards`) whatever else lies in it.
 
     Defined cases: null and empty texts are an END alone; repeated rows are written again; an empty
     table writes no shard; columns other than text are ignored.
     """
     spark = docs.sparkSession
     path = tokenizer or tokenizer_path(TOKENIZER)
-    folder = folder or fresh_path(spark, "shards")
+    folder = qualified(spark, folder or fresh_path(spark, "shards"))
     system, where = open_folder(folder)
     system.create_dir(where, recursive=True)
     texts = docs.select(as_bytes().alias("text"))
@@ -300,16 +303,18 @@ def write_shards(
     total = int(counts["tokens"].sum())
     n = -(-total // length)
     per_shard = max(1, shard_bytes // (2 * length))
-    n_shards = max(1, -(-n // per_shard))
+    n_shards = -(-n // per_shard)
     feistel = Feistel(max(n, 1), key)
     pieces = texts.mapInArrow(
         _deal(path, spark.sparkContext.broadcast(starts), length, feistel, per_shard), "shard int, slot long, place int, ids binary"
     )
-    dealt = pieces.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "slot", "place")
-    files = cut(dealt.mapInArrow(_write(folder, length), "shard int, file string, n_sequences long"), "shards-list")
-    with system.open_output_stream(f"{where}/index.json") as out:
-        out.write(json.dumps({"sequences": n, "length": length, "per_shard": per_shard, "tokens": total, "key": key, "unit": UNIT, "end": END}).encode())
-    return Shards(folder, files, n, length, per_shard, key, total)
+    dealt = pieces.repartitionById(max(1, n_shards), "shard").sortWithinPartitions("shard", "slot", "place")
+    dealt.mapInArrow(_write(folder, length), "shard int, file string, n_sequences long").write.mode("overwrite").parquet(f"{folder}/manifest")
+    index = {"sequences": n, "length": length, "per_shard": per_shard, "shards": n_shards, "tokens": total, "key": key, "unit": UNIT, "end": END}
+    with system.open_output_stream(f"{where}/index.json.part") as out:
+        out.write(json.dumps(index).encode())
+    system.move(f"{where}/index.json.part", f"{where}/index.json")
+    return Shards(spark, folder)
 
 
 def token_shards(docs: DataFrame, **settings) -> DataFrame:

@@ -67,14 +67,18 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), target: str = "t
     """Weights ``(slot, weight)`` learnt from at most ``p.sample`` labelled rows outside the held-out fold.
 
     The rows are those with the least hash of doc_id, in that order, so the sample does not depend
-    on how the tables are partitioned. Rows without a label of 0 or 1 teach nothing.
+    on how the tables are partitioned; of several texts of a doc_id the least counts. Rows without a
+    label of 0 or 1 teach nothing.
     """
     chosen = (
         labels.where(F.col(target).isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
     )
-    rows = docs.select("doc_id", as_bytes().alias("text")).join(cut(chosen, "labelled"), "doc_id").dropDuplicates(["doc_id"])
+    rows = (
+        docs.select("doc_id", as_bytes().alias("text")).join(cut(chosen, "labelled"), "doc_id")
+        .groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text"))
+    )
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["rank", "doc_id"], kind="stable")

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import cut, fresh_path
+from lodestrand.llm.common import cut, fresh_path, qualified
 
 #: Skippable frame that holds the dictionary, as the WARC/Zstandard format has it.
 DICT_MAGIC = 0x184D2A5D
@@ -24,8 +24,8 @@ RECORD = "page_key string, url string, record_type string, refers_to string, pay
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI or local path."""
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    """File system and path of a URI (:func:`lodestrand.llm.common.qualified`)."""
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
 
 
 def sha1_base32(data: bytes) -> str:
@@ -36,13 +36,16 @@ def _line(value: str) -> str:
     return " ".join((value or "").split())
 
 
-def render(row: dict, payload: bytes, digest: str) -> bytes:
-    """One WARC/1.1 record; a revisit has headers only."""
+def render(row: dict, payload: bytes, digest: str, serial: str = "") -> bytes:
+    """One WARC/1.1 record; a revisit has headers only.
+
+    A response is named by its page and payload, which no other response has; a revisit by ``serial`` too.
+    """
     revisit = row["refers_to"] is not None
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{row['page_key']}>",
+        f"WARC-Record-ID: <urn:page:{row['page_key']}:{digest}{f':{serial}' if revisit else ''}>",
         f"WARC-Target-URI: {_line(row['url'])}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -50,7 +53,7 @@ def render(row: dict, payload: bytes, digest: str) -> bytes:
         "Content-Type: text/html; charset=utf-8",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{row['refers_to']}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{row['refers_to']}:{digest}>"]
     body = b"" if revisit else payload
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -68,7 +71,7 @@ def parse(record: bytes) -> dict:
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and sha1_base32(payload) != digest:
         raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-    key = lambda v: v.removeprefix("<urn:page:").removesuffix(">") if v else None
+    key = lambda v: v.removeprefix("<urn:page:").rpartition(f":{digest}")[0] if v else None
     return {
         "page_key": key(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"],
         "refers_to": key(fields.get("WARC-Refers-To")), "payload_digest": digest,
@@ -122,11 +125,12 @@ def _write(folder: str, archive_bytes: int, sample_bytes: int, dict_bytes: int,
             done.append((name, count, written))
             out, count, held_bytes = None, 0, 0
 
-        name = ""
+        name, n = "", 0
         for batch in batches:
             for row in batch.to_pylist():
                 payload = row.pop("payload") or b""
-                record = render(row, payload, sha1_base32(payload))
+                record = render(row, payload, sha1_base32(payload), f"{attempt}-{n}")
+                n += 1
                 if out is None:
                     held.append(record)
                     held_bytes += len(record)
@@ -145,6 +149,10 @@ def _write(folder: str, archive_bytes: int, sample_bytes: int, dict_bytes: int,
     return run
 
 
+#: Bytes read at once; what follows a frame is copied, so not many of them.
+STEP = 1 << 15
+
+
 def frames(data) -> Iterator[bytes]:
     """Records of an open archive, one frame at a time."""
     magic, size = struct.unpack("<II", data.read(8))
@@ -154,13 +162,13 @@ def frames(data) -> Iterator[bytes]:
     opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     rest = b""
     while True:
-        if not rest and not (rest := data.read(1 << 20)):
+        if not rest and not (rest := data.read(STEP)):
             return
         one = opener.decompressobj()
         parts = []
         while not one.eof:
             parts.append(one.decompress(rest))
-            rest = one.unused_data if one.eof else data.read(1 << 20)
+            rest = one.unused_data if one.eof else data.read(STEP)
             if not one.eof and not rest:
                 raise ValueError("archive ends inside a record")
         yield b"".join(parts)
@@ -241,10 +249,12 @@ def write_archives(
     """Write one WARC record per page below ``folder`` and return the list of archives.
 
     Each task writes archives of its own, of about ``archive_bytes``. The first ``sample_bytes`` of
-    an archive's records train its dictionary, which leads it in a skippable frame; each record is
+    an archive's records train its dictionary, which leads it in a skippable frame (it serves all
+    records; those beyond the sample only compress less well if they differ); each record is
     a frame, so a reader needs nothing but the file. The list names files of finished tasks only,
     so a repeated task leaves no records twice.
     """
+    folder = qualified(pages.sparkSession, folder)
     system, path = open_folder(folder)
     system.create_dir(path, recursive=True)
     rows = plan_records(pages, least_bytes)
@@ -252,8 +262,9 @@ def write_archives(
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """Records of the listed archives; archives are dealt over all tasks."""
-    return manifest.select("archive").repartition("archive").mapInArrow(_read(folder, payloads), RECORD)
+    """Records of the listed archives, about one archive a task."""
+    folder = qualified(manifest.sparkSession, folder)
+    return manifest.select("archive").repartition(max(1, manifest.count()), "archive").mapInArrow(_read(folder, payloads), RECORD)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
