@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,30 +19,82 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes that are no letter, digit or part of a longer character become blanks.
 ALNUM = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
+WORD_BYTE = np.array([not (c == 0x20 or 0x09 <= c <= 0x0D) for c in range(256)])
+ALNUM_BYTE = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])
+OUTSIDE_WORD, OUTSIDE_ALNUM = re.compile(rb"[\x20\x09-\x0D]"), re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """A bounded memo of 64-bit hashes of words (bytes)."""
+def mix(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit values."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    limit = 150_000
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = h
-        return h
+#: Odd multiplier of rolling hashes and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+#: Bytes hashed at once; a longer text is cut between words.
+AT_ONCE = 1 << 19
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+@lru_cache(maxsize=4)
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit values."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+
+def _hash_words(data: bytes, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of ``data``, which ends outside a word.
+
+    A word's hash is a polynomial of its bytes: prefix sums of byte * BASE**place, shifted back.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    word = inside[raw]
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if word[0]:
+        edge = np.concatenate(([0], edge))
+    start, end = edge[0::2], edge[1::2]
+    size = 1 << max(20, len(raw).bit_length())
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, size)[: len(raw)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers(BACK, size)[start]), start
+
+
+def word_hashes(texts: Iterable[bytes | None], alnum: bool = False) -> Iterator[np.ndarray]:
+    """64-bit hashes of each text's words, A-Z in lower case: many short texts, or a part of a long one, at a time.
+
+    Words lie between ASCII blanks, or are runs of ASCII letters, digits and characters beyond ASCII.
+    """
+    inside, outside = (ALNUM_BYTE, OUTSIDE_ALNUM) if alnum else (WORD_BYTE, OUTSIDE_WORD)
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[np.ndarray]:
+        ends = np.cumsum([len(x) + 1 for x in held])
+        h, start = _hash_words(b" ".join(held) + b" ", inside)
+        yield from np.split(h, np.searchsorted(start, ends[:-1]))
+
+    for text in texts:
+        text = (text or b"").lower()
+        if size and size + len(text) > AT_ONCE:
+            yield from flush()
+            held, size = [], 0
+        if len(text) > AT_ONCE:
+            parts, at = [], 0
+            while at < len(text):
+                gap = outside.search(text, at + AT_ONCE)
+                end = gap.start() if gap else len(text)
+                parts.append(_hash_words(text[at:end] + b" ", inside)[0])
+                at = end
+            yield np.concatenate(parts)
+            continue
+        held.append(text)
+        size += len(text) + 1
+    if held:
+        yield from flush()
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
@@ -118,6 +171,11 @@ def alnum_words_of(text: bytes | None) -> list[bytes]:
     return text.lower().translate(ALNUM).split() if text else []
 
 
+def text_bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """The values of a binary column, one after another."""
+    return (x.as_py() for x in column)
+
+
 def as_bytes(column: str = "text") -> Column:
     """A string column as its UTF-8 bytes, null as null."""
     return F.col(column).cast("string").cast("binary")

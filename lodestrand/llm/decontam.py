@@ -10,21 +10,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import WordHashes, alnum_words_of, as_bytes, bitmap, cut, in_bitmap, shingles, small_batches
+from lodestrand.llm.common import alnum_words_of, as_bytes, bitmap, cut, in_bitmap, shingles, small_batches, text_bytes, word_hashes
 
 
 def _windows(width: int, k: int):
     """Windows of items with the shingles that they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out: list[tuple] = []
             for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = alnum_words_of(text.as_py())
                 size = min(width, len(words))
                 own = min(k, size)
-                tokens = shingles(hashes.of(words), own).view(np.int64).tolist() if words else []
+                tokens = shingles(next(word_hashes([text.as_py()], alnum=True)), own).view(np.int64).tolist() if words else []
                 for i in range(len(words) - size + 1 if words else 0):
                     out.append((item_id, b" ".join(words[i : i + size]), size, own, tokens[i : i + size - own + 1]))
             yield pa.record_batch(
@@ -39,21 +38,20 @@ def _hits(width: int, sizes: list[int], bits: int, words_of_filter: np.ndarray):
     """Per document its words' count and the places of shingles that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in small_batches(batches, 500):
             ids, keys, counts, found = [], [], [], []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = alnum_words_of(text.as_py())
-                h = hashes.of(words)
+            for doc_id, text, h in zip(batch.column(0), batch.column(1), word_hashes(text_bytes(batch.column(1)), alnum=True), strict=True):
+                words: list[bytes] = []
                 hits = []
                 for k in sizes:
-                    if len(words) < k:
+                    if len(h) < k:
                         continue
                     s = shingles(h, k)
                     for p in np.flatnonzero(in_bitmap(s, bits, words_of_filter)).tolist():
                         start = max(0, p - width + 1)
+                        words = words or alnum_words_of(text.as_py())
                         hits.append({"k": k, "token": int(s[p : p + 1].view(np.int64)[0]), "place": p, "start": start, "around": b" ".join(words[start : p + width])})
-                ids.append(doc_id.as_py()), keys.append(xxhash.xxh3_128_digest(b" ".join(words))), counts.append(len(words)), found.append(hits)
+                ids.append(doc_id.as_py()), keys.append(xxhash.xxh3_128_digest(h.tobytes())), counts.append(len(h)), found.append(hits)
             yield pa.record_batch(
                 [pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(found, HIT)],
                 ["doc_id", "tkey", "n_words", "hits"],

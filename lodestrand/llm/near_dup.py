@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import WordHashes, as_bytes, components, cut, group_starts, mix, shingles, texts_of, whole_groups, words_of
+from lodestrand.llm.common import as_bytes, components, cut, group_starts, mix, shingles, text_bytes, texts_of, whole_groups, word_hashes
 
 SAMPLES, BANDS, ROWS, BITS = 128, 32, 4, 512
 _rng = np.random.default_rng(20240501)
@@ -39,7 +39,6 @@ def _sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch_batches(k: int, chunk: int = 60_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         ids: list = []
         keys: list = []
         sets: list[np.ndarray] = []
@@ -64,10 +63,9 @@ def _sketch_batches(k: int, chunk: int = 60_000):
 
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = words_of(text.as_py())
-                s = np.unique(shingles(hashes.of(words), k))
-                ids.append(doc_id), keys.append(xxhash.xxh3_128_digest(b" ".join(words))), sets.append(s)
+            for doc_id, h in zip(batch.column(0).to_pylist(), word_hashes(text_bytes(batch.column(1))), strict=True):
+                s = np.unique(shingles(h, k))
+                ids.append(doc_id), keys.append(xxhash.xxh3_128_digest(h.tobytes())), sets.append(s)
                 held += len(s) + 1
                 if held >= chunk:
                     yield flush()
@@ -155,7 +153,7 @@ def _linked(k: int, threshold: int, most: int):
     connected already. Each linked node comes with the first of its component in the block.
     """
 
-    def block(table: pa.Table, hashes: WordHashes) -> Iterator[tuple[int, int]]:
+    def block(table: pa.Table) -> Iterator[tuple[int, int]]:
         comp, minor, n, node = _columns(table, ["comp", "minor", "n", "node"])
         left, right, differ = near_pairs(np.zeros(len(n), np.int64), comp, minor, n, _odd(table), most, threshold)
         first: dict[int, int] = {}
@@ -165,7 +163,7 @@ def _linked(k: int, threshold: int, most: int):
 
         def shingled(i: int) -> np.ndarray:
             if i not in sets:
-                sets[i] = np.unique(shingles(hashes.of(words_of(text[i].as_py())), k))
+                sets[i] = np.unique(shingles(next(word_hashes([text[i].as_py()])), k))
             return sets[i]
 
         def root(i: int) -> int:
@@ -191,10 +189,9 @@ def _linked(k: int, threshold: int, most: int):
                     yield int(node[r]), int(node[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for table in whole_groups(batches, 3):
             starts = group_starts(table, 3)
-            out = [x for a, b in zip(starts, starts[1:], strict=False) if b - a > 1 for x in block(table.slice(a, b - a), hashes)]
+            out = [x for a, b in zip(starts, starts[1:], strict=False) if b - a > 1 for x in block(table.slice(a, b - a))]
             yield pa.record_batch([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], ["a", "b"])
 
     return run

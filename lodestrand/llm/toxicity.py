@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.common import MULT, WordHashes, alnum_words_of, as_bytes, cut, mix
+from lodestrand.llm.common import MULT, as_bytes, cut, mix, text_bytes, word_hashes
 
 FOLDS = 5
 
@@ -38,8 +38,7 @@ def features(h: np.ndarray, bits: int) -> np.ndarray:
 
 def fit_ftrl(texts: list[bytes | None], labels: np.ndarray, p: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights that differ from zero after some passes over the rows in the given order."""
-    hashes = WordHashes()
-    rows = [features(hashes.of(alnum_words_of(t)), p.bits) for t in texts]
+    rows = [features(h, p.bits) for h in word_hashes(texts, alnum=True)]
     z, n = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -90,11 +89,10 @@ def train(docs: DataFrame, labels: DataFrame, p: Ftrl = Ftrl(), target: str = "t
 
 def _score(weights, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         w = np.zeros(1 << bits)
         w[weights.value[0]] = weights.value[1]
         for batch in batches:
-            sums = [w[features(hashes.of(alnum_words_of(t.as_py())), bits)].sum() for t in batch.column(1)]
+            sums = [w[features(h, bits)].sum() for h in word_hashes(text_bytes(batch.column(1)), alnum=True)]
             scores = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -35, 35)))
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestrand.llm import passages as ps
 from lodestrand.llm import token_shards as ts
 from lodestrand.llm import warc as wz
-from lodestrand.llm.common import components
+from lodestrand.llm.common import components, word_hashes
 from lodestrand.llm.decontam import decontaminate
 from lodestrand.llm.licenses import license_matches, license_scan
 from lodestrand.llm.mixing import WEIGHTS, domain_of, mix, mixed_rows
@@ -463,3 +463,19 @@ def test_license_full_texts(spark):
     texts = [text(30) + "\n" + max(TEMPLATES[n], key=len).replace("\n\n", "\n") + "\n" + text(400) for n in names]
     got = {r.doc_id: r.licenses.split(",") for r in license_scan(make(spark, texts, False)).collect()}
     assert all(n in got[i] for i, n in enumerate(names)) and got[0] == ["Apache-2.0"]
+
+
+def test_word_hashes_of_short_and_long_texts():
+    odd = random.Random(12)
+    texts = ["".join(odd.choice(["a", "Bc", "9", "é", ".", "中", " ", "  ", "\n", "\t", "-", "\x1f"]) for _ in range(odd.randrange(40))) for _ in range(300)]
+    texts += [" ".join(odd.choice(["one", "Two", "drei,"]) for _ in range(300_000)), "x" * (1 << 20), "", None]
+    for alnum, pattern in ((False, r"[^\x20\x09-\x0D]+"), (True, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
+        seen = {}
+        got = list(word_hashes([None if t is None else t.encode() for t in texts], alnum))
+        assert len(got) == len(texts)
+        for t, h in zip(texts, got, strict=True):
+            w = re.findall(pattern, lower(t))
+            assert len(w) == len(h)
+            for x, y in zip(w, h.tolist(), strict=True):
+                assert seen.setdefault(x, y) == y
+        assert len(set(seen.values())) == len(seen) > 100
