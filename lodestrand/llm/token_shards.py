@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,9 +21,6 @@ from lodestrand.llm.warc import open_folder
 TOKENIZER = "byte_bpe_50k.tiktoken"
 END = 50256  # free in the vocabulary; ends each document and fills the last sequence
 UNIT = "<u2"
-#: White space as the tokenizer's pattern has it, and with it a text's runs of other characters.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 @lru_cache(maxsize=2)
@@ -39,38 +35,9 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Chunks(dict):
-    """A bounded memo of the ids (as bytes) of white space and the word after it."""
-
-    limit = 150_000
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.path = path
-
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > 64:
-            return self.encode(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = ids = self.encode(word)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return np.array(_encoding(self.path).encode_ordinary(text), UNIT).tobytes()
-
-    def text(self, text: str) -> bytes:
-        """Ids of a whole text.
-
-        No piece of the tokenizer's pattern reaches from other characters into white space, so a
-        text can be encoded piecewise where white space starts, and each piece only once.
-        """
-        return b"".join(map(self.__getitem__, _PIECE.findall(text)))
-
-
-@lru_cache(maxsize=2)
-def _chunks(path: str) -> Chunks:
-    return Chunks(path)  # kept by the worker from task to task
+def encoded(text: str, path: str) -> list[int]:
+    """Ids of a whole text; strings of special tokens are ordinary text."""
+    return _encoding(path).encode_ordinary(text)
 
 
 class Feistel:
@@ -114,12 +81,12 @@ class Feistel:
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, total, docs, seen = _chunks(path), 0, 0, xxhash.xxh3_64()
+        total, docs, seen = 0, 0, xxhash.xxh3_64()
         for batch in batches:
             for text in batch.column(0):
                 b = text.as_py() or b""
                 seen.update(b + b"\0")
-                total += len(chunks.text(b.decode("utf-8", "replace"))) // 2 + 1
+                total += len(encoded(b.decode("utf-8", "replace"), path)) + 1
                 docs += 1
         yield pa.record_batch(
             [pa.array([v], t) for v, t in ((TaskContext.get().partitionId(), pa.int32()), (total, pa.int64()), (docs, pa.int64()), (seen.hexdigest(), pa.string()))],
@@ -133,7 +100,7 @@ def _deal(path: str, starts, length: int, feistel: Feistel, per_shard: int):
     """Pieces of sequences: the whole ones of a partition's tokens and what it shares with its neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, seen = _chunks(path), xxhash.xxh3_64()
+        seen = xxhash.xxh3_64()
         start, tokens, expected = starts.value.get(TaskContext.get().partitionId(), (0, 0, None))
         at, end = start, np.array([END], UNIT).tobytes()
         held = bytearray()
@@ -162,7 +129,7 @@ def _deal(path: str, starts, length: int, feistel: Feistel, per_shard: int):
             for text in batch.column(0):
                 b = text.as_py() or b""
                 seen.update(b + b"\0")
-                held += chunks.text(b.decode("utf-8", "replace")) + end
+                held += np.array(encoded(b.decode("utf-8", "replace"), path), UNIT).tobytes() + end
                 if len(held) >= 1 << 21:
                     yield take(False)
         yield take(True)
