@@ -14,17 +14,22 @@ CAMPUS_CODES = ("main", "east", "west")
 
 
 def course_lookup(requests: DataFrame, courses: DataFrame) -> DataFrame:
-    """``(request_id, n, text)`` for ``(request_id, weekday, keyword)``: a count and a line for each course, in the order ``seq``."""
+    """``(request_id, n, text)`` for ``(request_id, weekday, keyword)``: a count and a line for each course, in the order ``seq``.
+
+    Courses meet each distinct weekday and keyword once; requests then take the finished text.
+    """
     asked = requests.select("request_id", normalize_weekday(F.col("weekday")).alias("day"), strip(F.coalesce("keyword", F.lit(""))).alias("word"))
     fits = (F.col("day") == F.col("weekday")) & ((F.col("word") == "") | F.lower("name").contains(F.lower("word")))
     line = F.concat(F.lit("- "), "start_time", F.lit(" "), "name", F.lit("，地点："), "location")
     found = (
-        asked.join(courses, fits, "left").groupBy("request_id", "day", "word")
+        asked.select("day", "word").distinct().join(courses, fits, "left").groupBy("day", "word")
         .agg(F.count("name").cast("long").alias("n"), F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("seq", line.alias("line"))))).alias("lines"))
     )
     none = F.concat("day", F.when(F.col("word") != "", F.concat(F.lit("，关键字“"), "word", F.lit("”"))).otherwise(""), F.lit("没有找到课程。"))
     some = F.concat("day", F.lit("共找到"), F.col("n").cast("string"), F.lit("门课程：\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
-    return found.select("request_id", "n", F.when(F.col("day").isNull(), F.lit("invalid_weekday")).when(F.col("n") == 0, none).otherwise(some).alias("text"))
+    text = F.when(F.col("day").isNull(), F.lit("invalid_weekday")).when(F.col("n") == 0, none).otherwise(some)
+    told = found.select(F.col("day").alias("_day"), F.col("word").alias("_word"), "n", text.alias("text"))
+    return asked.join(told, F.col("day").eqNullSafe(F.col("_day")) & (F.col("word") == F.col("_word"))).select("request_id", "n", "text")
 
 
 def status_text(labels: dict[str, str] = STATUS_LABELS) -> Column:
@@ -40,9 +45,14 @@ def status_text(labels: dict[str, str] = STATUS_LABELS) -> Column:
 
 
 def status_lookup(requests: DataFrame, status: DataFrame) -> DataFrame:
-    """``(request_id, error, text)`` for ``(request_id, service_code, campus)``; unknown codes are refused, the campus defaults to main."""
+    """``(request_id, error, text)`` for ``(request_id, service_code, campus)``; unknown codes are refused, the campus defaults to main.
+
+    Of several status rows of one service and campus the newest by ``updated_at`` counts.
+    """
     asked = requests.select("request_id", "service_code", F.coalesce("campus", F.lit("main")).alias("campus"))
-    joined = asked.join(status, ["service_code", "campus"], "left")
+    others = [c for c in status.columns if c not in ("service_code", "campus", "updated_at")]
+    newest = status.groupBy("service_code", "campus").agg(F.max(F.struct("updated_at", *others)).alias("s")).select("service_code", "campus", "s.*")
+    joined = asked.join(newest, ["service_code", "campus"], "left")
     bad = ~F.coalesce(F.col("service_code").isin(*SERVICE_CODES), F.lit(False)) | ~F.col("campus").isin(*CAMPUS_CODES)
     error = F.when(bad, "invalid_argument").when(F.col("service_name").isNull(), "not_found")
     return joined.select("request_id", error.alias("error"), F.when(error.isNull(), status_text()).alias("text"))

@@ -50,15 +50,26 @@ def apply_filters(chunks: DataFrame, filters: DataFrame) -> DataFrame:
     return chunks.join(with_filter_prefix(filters), matches_filter()).select("filter_id", "chunk_id")
 
 
+def _runs(tokens: Column) -> Column:
+    """``(term, tf, length)`` of each distinct token: sorted once, a run of equal ones is a count."""
+
+    def of_sorted(t: Column) -> Column:
+        at = F.slice(F.sequence(F.lit(0), F.size(t)), F.lit(1), F.size(t))
+        starts = F.filter(at, lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        row = lambda p, j, own: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(own, j + 1), F.size(t)) - p).cast("long").alias("tf"), F.size(t).alias("length"))
+        return F.flatten(F.transform(F.array(starts), lambda own: F.transform(own, lambda p, j: row(p, j, own))))
+
+    # a lambda's variable is evaluated once, a repeated expression is not
+    return F.flatten(F.transform(F.array(F.sort_array(tokens)), of_sorted))
+
+
 def build_postings(chunks: DataFrame) -> DataFrame:
     """``(chunk_id, term, tf, length)`` and the filter columns, from three times the title and the content.
 
-    Counts are taken inside the row, so a posting never crosses the network before it is one.
+    Counts are taken inside the row: there is no shuffle.
     """
     text = F.concat_ws(" ", "title", "title", "title", "content")
-    tokens = chunks.select("chunk_id", *META, tokenize(text).alias("tokens"))
-    exploded = tokens.select("chunk_id", *META, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return exploded.groupBy("chunk_id", *META, "length", "term").agg(F.count("*").alias("tf"))
+    return chunks.select("chunk_id", *META, F.inline(_runs(tokenize(text))))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -73,16 +84,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def corpus_size(chunks: DataFrame, filters: DataFrame) -> DataFrame:
-    """Per filter the number and average length of its chunks ``(chunk_id, length)``."""
-    sized = chunks.select("chunk_id", *META, F.size(tokenize(F.concat_ws(" ", "title", "title", "title", "content"))).alias("length"))
-    return sized.join(with_filter_prefix(filters), matches_filter()).groupBy("filter_id").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
+def corpus_size(chunks: DataFrame, filters: DataFrame, postings: DataFrame) -> DataFrame:
+    """Per filter the number and average length of its chunks; lengths are the postings' counts, so no text is read again."""
+    met = chunks.groupBy(*META).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("tokens")).unionByName(
+        postings.groupBy(*META).agg(F.lit(0).cast("long").alias("n"), F.sum("tf").alias("tokens"))
+    )
+    joined = met.join(with_filter_prefix(filters), matches_filter()).groupBy("filter_id").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    return joined.select("filter_id", "n", F.try_divide(F.col("tokens").cast("double"), F.col("n")).alias("average"))
+
+
+def _open_postings(postings: DataFrame, filters: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings of the terms ``(filter_id, term)`` in chunks that the filter lets through; each term once, however many queries have it."""
+    wanted = terms.select("filter_id", "term").distinct().join(with_filter_prefix(filters), "filter_id")
+    return postings.join(wanted, "term").where(matches_filter()).select("filter_id", "term", "chunk_id", "tf", "length")
 
 
 def corpus_term_stats(postings: DataFrame, filters: DataFrame, terms: DataFrame) -> DataFrame:
     """Document frequency of the terms ``(filter_id, term)`` among the chunks that the filter lets through."""
-    wanted = terms.select("filter_id", "term").distinct().join(with_filter_prefix(filters), "filter_id")
-    return postings.join(wanted, "term").where(matches_filter()).groupBy("filter_id", "term").agg(F.count("*").alias("df"))
+    return _open_postings(postings, filters, terms).groupBy("filter_id", "term").agg(F.count("*").alias("df"))
 
 
 def bm25_search(
@@ -96,16 +115,12 @@ def bm25_search(
     of summation cannot break ties between copies.
     """
     terms = query_terms(queries)
-    found = (
-        postings.join(terms, "term").join(with_filter_prefix(filters), "filter_id").where(matches_filter())
-        .select("query_id", "filter_id", "term", "qtf", "counts", "informative", "chunk_id", "tf", "length")
-    )
-    df = corpus_term_stats(postings, filters, terms)
-    size = corpus_size(chunks, filters)
+    stats = corpus_term_stats(postings, filters, terms).join(corpus_size(chunks, filters, postings), "filter_id")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
+    weighed = terms.join(stats.select("filter_id", "term", idf.alias("idf"), "average"), ["filter_id", "term"])
     scored = (
-        found.join(df, ["filter_id", "term"]).join(size, "filter_id")
+        _open_postings(postings, filters, terms).join(weighed, ["filter_id", "term"])
         .groupBy("query_id", "chunk_id", "informative")
         .agg(F.round(F.sum(part), 9).alias("score"), F.count_if("counts").alias("met"))
         .where((F.col("met") >= F.least(F.lit(least), F.col("informative"))) & (F.col("score") > 0))

@@ -75,13 +75,13 @@ FILTERS = """filters AS (SELECT 'f_' || lang AS filter_id, lang AS domain FROM d
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leading words of benchmark passages; every second one asks in English documents only."""
+    """Benchmark passages as questions; every second one asks in English documents only."""
     return table(spark, sf_dir, "benchmark").selectExpr(
-        "item_id query_id", "array_join(slice(split(trim(text), '[ \\\\n]+'), 1, 8), ' ') query", "case when item_id % 2 = 0 then 'f_en' else 'f_all' end filter_id"
+        "item_id query_id", "text query", "case when item_id % 2 = 0 then 'f_en' else 'f_all' end filter_id"
     )
 
 
-QUESTIONS = """questions AS (SELECT item_id AS query_id, array_to_string(regexp_split_to_array(trim(text), '[ \\n]+')[1:8], ' ') AS query,
+QUESTIONS = """questions AS (SELECT item_id AS query_id, text AS query,
  CASE WHEN item_id % 2 = 0 THEN 'f_en' ELSE 'f_all' END AS filter_id FROM benchmark)"""
 
 

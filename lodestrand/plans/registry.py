@@ -148,9 +148,9 @@ def b2_validate_content_type(s, d):
     return _uploads(s, d).select("arrival_seq", tx.content_type_error(tx.extension(F.col("filename")), F.col("content_type")).alias("error"))
 
 
-@query("SELECT page_id, CASE WHEN NOT regexp_full_match(url[9:60], '[A-Za-z0-9][A-Za-z0-9_.-]{0,63}') THEN 'bad_metadata' END AS error FROM pages")
+@query("SELECT page_id, CASE WHEN NOT regexp_full_match('archive_' || replace(replace(url, '://', '-'), '/', '_') || '_' || page_id, '[A-Za-z0-9][A-Za-z0-9_.-]{0,63}') THEN 'bad_metadata' END AS error FROM pages")
 def b3_validate_metadata_value(s, d):
-    return inputs.table(s, d, "pages").select("page_id", tx.metadata_value_error(F.substring("url", 9, 52)).alias("error"))
+    return inputs.table(s, d, "pages").select("page_id", tx.metadata_value_error(F.expr("concat('archive_', replace(replace(url, '://', '-'), '/', '_'), '_', page_id)")).alias("error"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_full_match(text, '\\s*') THEN 'empty_text' WHEN length(text) > 1000 THEN 'text_too_long' WHEN regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]') THEN 'control_characters' END AS error FROM documents")
@@ -264,8 +264,9 @@ def e3_build_postings(s, d):
 @query(f"WITH {BM25} SELECT filter_id, term, df, n, round(average, 6) AS average FROM (SELECT DISTINCT filter_id, term, df FROM dfs) JOIN sizes USING (filter_id)")
 def e4_corpus_term_stats(s, d):
     c, f, q = inputs.chunks(s, d), inputs.filters(s, d), inputs.questions(s, d)
-    stats = retrieval.corpus_term_stats(retrieval.build_postings(c), f, retrieval.query_terms(q))
-    return stats.join(retrieval.corpus_size(c, f), "filter_id").select("filter_id", "term", "df", "n", F.round("average", 6).alias("average"))
+    posts = cut(retrieval.build_postings(c), "postings")
+    stats = retrieval.corpus_term_stats(posts, f, retrieval.query_terms(q))
+    return stats.join(retrieval.corpus_size(c, f, posts), "filter_id").select("filter_id", "term", "df", "n", F.round("average", 6).alias("average"))
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 3")
@@ -370,14 +371,14 @@ def _cached(s, d):
 @query()
 def e15_embed_incremental(s, d):
     t, _, cache, embed = _cached(s, d)
-    rows, _, _ = retrieval.embed_incremental(t.where("key % 2 = 0"), cache, "v1", embed)
+    rows, _, _ = retrieval.embed_incremental(t, cache, "v1", embed)
     return rows.select("key", F.size("vector").alias("dim"))
 
 
-@query("WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0) SELECT count(*) AS total, count(*) FILTER (text IN (SELECT text FROM k)) AS hits, count(*) FILTER (text NOT IN (SELECT text FROM k)) AS misses FROM documents WHERE doc_id % 2 = 0")
+@query("WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0) SELECT count(*) AS total, count(*) FILTER (text IN (SELECT text FROM k)) AS hits, count(*) FILTER (text NOT IN (SELECT text FROM k)) AS misses FROM documents")
 def e16_cache_stats(s, d):
     t, known, _, _ = _cached(s, d)
-    return retrieval.cache_stats(t.where("key % 2 = 0").select(F.sha2("text", 256).alias("sha256")), known)
+    return retrieval.cache_stats(t.select(F.sha2("text", 256).alias("sha256")), known)
 
 
 @query("SELECT doc_id, length(text) % 7 + 1.0 AS first FROM documents")
@@ -549,26 +550,27 @@ def _courses(s, d):
 _DAY_TEXT = "CASE c_custkey % 4 WHEN 0 THEN '周一' WHEN 1 THEN '周三' WHEN 2 THEN '周五' END"
 
 
-@query(f"""WITH r AS (SELECT c_custkey AS request_id, {_DAY_TEXT} AS day, CASE WHEN c_custkey % 2 = 0 THEN 'green' ELSE 'zzz' END AS word FROM customer WHERE c_custkey % 20 = 0 OR c_custkey % 20 = 3 OR c_custkey % 20 = 1),
+@query(f"""WITH r AS (SELECT c_custkey AS request_id, {_DAY_TEXT} AS day, CASE WHEN c_custkey % 2 = 0 THEN 'green' ELSE 'zzz' END AS word FROM customer),
 c AS (SELECT p_partkey AS seq, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN '周一' WHEN 1 THEN '周三' ELSE '周五' END AS weekday, '0' || (p_partkey % 10) || ':00' AS start_time, p_brand AS location FROM part),
-j AS (SELECT request_id, day, word, count(name) AS n, string_agg('- ' || start_time || ' ' || name || '，地点：' || location, chr(10) ORDER BY seq) AS lines FROM r LEFT JOIN c ON day = weekday AND contains(lower(name), word) GROUP BY ALL)
-SELECT request_id, n, md5(CASE WHEN day IS NULL THEN 'invalid_weekday' WHEN n = 0 THEN day || '，关键字“' || replace(word, 'green', 'GREEN') || '”没有找到课程。' ELSE day || '共找到' || n || '门课程：' || chr(10) || lines END) AS digest FROM j""")
+j AS (SELECT day, word, count(name) AS n, string_agg('- ' || start_time || ' ' || name || '，地点：' || location, chr(10) ORDER BY seq) AS lines FROM (SELECT DISTINCT day, word FROM r) LEFT JOIN c ON day = weekday AND contains(lower(name), word) GROUP BY ALL),
+t AS (SELECT day, word, n, md5(CASE WHEN day IS NULL THEN 'invalid_weekday' WHEN n = 0 THEN day || '，关键字“' || replace(word, 'green', 'GREEN') || '”没有找到课程。' ELSE day || '共找到' || n || '门课程：' || chr(10) || lines END) AS digest FROM j)
+SELECT request_id, n, digest FROM r JOIN t ON r.day IS NOT DISTINCT FROM t.day AND r.word = t.word""")
 def h1_course_lookup(s, d):
-    r = inputs.table(s, d, "customer").where("c_custkey % 20 in (0, 1, 3)").selectExpr("c_custkey request_id", "case c_custkey % 4 when 0 then 'Monday ' when 1 then '星期三' when 2 then '周五' else 'x' end weekday", "case when c_custkey % 2 = 0 then ' GREEN' else 'zzz' end keyword")
+    r = inputs.table(s, d, "customer").selectExpr("c_custkey request_id", "case c_custkey % 4 when 0 then 'Monday ' when 1 then '星期三' when 2 then '周五' else 'x' end weekday", "case when c_custkey % 2 = 0 then ' GREEN' else 'zzz' end keyword")
     return lookup.course_lookup(r, _courses(s, d)).select("request_id", "n", F.md5("text").alias("digest"))
 
 
-_STATUS = """SELECT ['campus_card', 'registrar', 'library', 'student_affairs'][n_nationkey % 4 + 1] AS service_code, ['main', 'east', 'west'][n_nationkey % 3 + 1] AS campus, n_name AS service_name,
- n_nationkey AS queue FROM nation WHERE n_nationkey < 12"""
+_STATUS = """SELECT ['campus_card', 'registrar', 'library', 'student_affairs'][n_nationkey % 4 + 1] AS service_code, ['main', 'east', 'west'][n_nationkey % 3 + 1] AS campus, arg_max(n_name, n_nationkey) AS service_name,
+ max(n_nationkey) AS queue FROM nation GROUP BY 1, 2"""
 
 
 @query(f"""WITH st AS ({_STATUS}), r AS (SELECT c_custkey AS request_id, ['campus_card', 'registrar', 'library', 'student_affairs', 'gym'][c_custkey % 5 + 1] AS service_code, ['main', 'east', 'west'][c_custkey % 3 + 1] AS campus FROM customer)
 SELECT request_id, CASE WHEN service_code = 'gym' THEN 'invalid_argument' WHEN service_name IS NULL THEN 'not_found' END AS error,
- '[模拟数据] ' || service_name || '当前状态：开放；地点：A；今日时间：8-17；排队 ' || queue || ' 人；更新时间：t。' AS text FROM r LEFT JOIN st USING (service_code, campus)""")
+ '[模拟数据] ' || service_name || '当前状态：开放；地点：A；今日时间：8-17；排队 ' || queue || ' 人；更新时间：t' || lpad(queue::VARCHAR, 3, '0') || '。' AS text FROM r LEFT JOIN st USING (service_code, campus)""")
 def h2_status_lookup(s, d):
-    st = inputs.table(s, d, "nation").where("n_nationkey < 12").selectExpr(
+    st = inputs.table(s, d, "nation").selectExpr(
         "get(array('campus_card', 'registrar', 'library', 'student_affairs'), cast(n_nationkey % 4 as int)) service_code", "get(array('main', 'east', 'west'), cast(n_nationkey % 3 as int)) campus", "n_name service_name", "'open' status",
-        "'A' location", "'8-17' today_hours", "n_nationkey queue_count", "cast(null as int) estimated_wait_minutes", "'t' updated_at", "'mock' provider",
+        "'A' location", "'8-17' today_hours", "n_nationkey queue_count", "cast(null as int) estimated_wait_minutes", "concat('t', lpad(cast(n_nationkey as string), 3, '0')) updated_at", "'mock' provider",
     )
     r = inputs.table(s, d, "customer").selectExpr("c_custkey request_id", "get(array('campus_card', 'registrar', 'library', 'student_affairs', 'gym'), cast(c_custkey % 5 as int)) service_code", "get(array('main', 'east', 'west'), cast(c_custkey % 3 as int)) campus")
     return lookup.status_lookup(r, st)
