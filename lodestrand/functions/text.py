@@ -25,15 +25,15 @@ ALIASES = (
     ("坏了", "异常"),
 )
 FACT_RULES = (
-    ("费用或金额", r"多少钱|多少元|收费|费用|金额|罚款|价格", r"(?:[0-9]+(?:\.[0-9]+)?\s*(?:元|万元))|免费|不收费"),
-    ("开放或服务时间", r"几点|开门|关门|开放时间|营业时间|服务时间", r"(?:[01]?[0-9]|2[0-3]):[0-5][0-9]"),
-    ("联系电话", r"联系电话|电话号码|电话是多少|联系方式", r"(?:0[0-9]{2,3}[- ]?)?[0-9]{7,11}"),
-    ("办理或审核时长", r"多久|几天|多少天|几日|多少日|几个工作日|几小时|多少小时|几分钟|多少分钟|多长时间", r"[0-9]+(?:\.[0-9]+)?\s*(?:天|日|工作日|小时|分钟)"),
-    ("数量或次数", r"多少本|几本|几次|多少次|多少份|几份|最多.*(?:本|次|份)", r"[0-9]+\s*(?:本|册|次|份)"),
-    ("赔偿倍数", r"几倍|多少倍|赔偿倍数", r"[0-9]+(?:\.[0-9]+)?\s*倍"),
-    ("分数或门槛", r"绩点|多少分|最低.*分|信用分", r"[0-9]+(?:\.[0-9]+)?\s*(?:分|绩点)?"),
-    ("截止日期", r"截止日期|截止到哪|哪一天截止|什么时候截止", r"(?:[0-9]{4}[-年/.])?[0-9]{1,2}[-月/.][0-9]{1,2}日?"),
-    ("具体楼栋或房间号", r"房间号|楼栋|具体地址|哪些房间|具体有哪些房间", r"(?:[A-Za-z]?[0-9]{2,4}\s*室)|(?:[0-9]+\s*号?楼)"),
+    ("费用或金额", r"多少钱|多少元|收费|费用|金额|罚款|价格", r"(?:\d+(?:\.\d+)?\s*(?:元|万元))|免费|不收费"),
+    ("开放或服务时间", r"几点|开门|关门|开放时间|营业时间|服务时间", r"(?:[01]?\d|2[0-3]):[0-5]\d"),
+    ("联系电话", r"联系电话|电话号码|电话是多少|联系方式", r"(?:0\d{2,3}[- ]?)?\d{7,11}"),
+    ("办理或审核时长", r"多久|几天|多少天|几日|多少日|几个工作日|几小时|多少小时|几分钟|多少分钟|多长时间", r"\d+(?:\.\d+)?\s*(?:天|日|工作日|小时|分钟)"),
+    ("数量或次数", r"多少本|几本|几次|多少次|多少份|几份|最多.*(?:本|次|份)", r"\d+\s*(?:本|册|次|份)"),
+    ("赔偿倍数", r"几倍|多少倍|赔偿倍数", r"\d+(?:\.\d+)?\s*倍"),
+    ("分数或门槛", r"绩点|多少分|最低.*分|信用分", r"\d+(?:\.\d+)?\s*(?:分|绩点)?"),
+    ("截止日期", r"截止日期|截止到哪|哪一天截止|什么时候截止", r"(?:\d{4}[-年/.])?\d{1,2}[-月/.]\d{1,2}日?"),
+    ("具体楼栋或房间号", r"房间号|楼栋|具体地址|哪些房间|具体有哪些房间", r"(?:[A-Za-z]?\d{2,4}\s*室)|(?:\d+\s*号?楼)"),
 )
 WEEKDAYS = {
     "周一": ("周一", "星期一", "monday"),
@@ -67,9 +67,9 @@ CONTENT_TYPES = {
     "txt": ("text/plain", "application/octet-stream"),
     "pdf": ("application/pdf", "application/octet-stream"),
 }
-IDENTIFIER = r"(?iuU)\b(?=[A-Z0-9_-]*[A-Z])(?=[A-Z0-9_-]*[0-9])[A-Z0-9]+(?:[-_][A-Z0-9]+)*\b"
-CLOCK = r"(?U)\b(?:[01]?[0-9]|2[0-3]):[0-5][0-9]\b"
-CLAIM = r"(?U)\b[A-Z]{2,}(?:-[A-Z0-9]+)+\b|\b[0-9]{1,2}:[0-9]{2}\b|\b[0-9]+(?:\.[0-9]+)?\s*(?:元|万元|%|天|日|小时|分钟)"
+IDENTIFIER = r"(?iuU)\b(?=[A-Z0-9_-]*[A-Z])(?=[A-Z0-9_-]*\d)[A-Z0-9]+(?:[-_][A-Z0-9]+)*\b"
+CLOCK = r"(?U)\b(?:[01]?\d|2[0-3]):[0-5]\d\b"
+CLAIM = r"(?U)\b[A-Z]{2,}(?:-[A-Z0-9]+)+\b|\b\d{1,2}:\d{2}\b|\b\d+(?:\.\d+)?\s*(?:元|万元|%|天|日|小时|分钟)"
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:

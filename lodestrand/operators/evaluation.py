@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import casefold, is_safe_abstention, strip
-from lodestrand.operators.retrieval import FILTER_KEYS, matches_filter, normalize_filters
+from lodestrand.operators.retrieval import FILTER_KEYS, answer, channels, matches_filter, normalize_filters, retrieve, rrf_fuse
+from lodestrand.session import cut
 
 TASKS = ("retrieval", "metadata", "agentic")
 SPLITS = ("dev", "test")
@@ -55,11 +56,11 @@ def parse_cases(lines: DataFrame) -> DataFrame:
 
 def _issue(rows: DataFrame, message: Column | str) -> DataFrame:
     text = F.lit(message) if isinstance(message, str) else message
-    return rows.select(F.col("id").alias("case_id"), text.alias("message"))
+    return rows.select(F.col("id").alias("case_id"), text.alias("message"), "source_file", "source_line")
 
 
 def validate_cases(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Issues ``(case_id, message)`` of parsed cases against the corpus; a branch for each rule, all of joins and windows."""
+    """Issues ``(case_id, message, source_file, source_line)`` of parsed cases against the corpus; a branch for each rule, all of joins and windows."""
     none = F.array().cast("array<string>")
     e = cases.select(
         "id", "task", "query", "agentic", F.coalesce("tags", none).alias("tags"), "source_file", "source_line",
@@ -75,12 +76,13 @@ def validate_cases(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     labels = e.select("*", F.explode("chunks").alias("chunk_id")).join(chunks.select("chunk_id", "title", "content", *(F.col(k).alias(f"c_{k}") for k in FILTER_KEYS)), "chunk_id", "left")
     known = labels.where("c_document_id is not null")
     fields = known.select("*", *(F.element_at(F.coalesce("nf.filters", F.create_map().cast("map<string,string>")), k).alias(f"f_{k}") for k in FILTER_KEYS))
-    evidence = known.groupBy("id").agg(casefold(F.concat_ws("\n", F.collect_list(F.concat_ws("\n", "title", "content")))).alias("evidence"))
-    facts = e.select("id", F.explode("required").alias("fact")).join(evidence, "id", "left").where(~F.coalesce(F.col("evidence").contains(casefold(F.col("fact"))), F.lit(False)))
+    place = ["id", "source_file", "source_line"]
+    evidence = known.groupBy(*place).agg(casefold(F.concat_ws("\n", F.collect_list(F.concat_ws("\n", "title", "content")))).alias("evidence"))
+    facts = e.select(*place, F.explode("required").alias("fact")).join(evidence, place, "left").where(~F.coalesce(F.col("evidence").contains(casefold(F.col("fact"))), F.lit(False)))
     both = F.array_intersect(F.transform("required", casefold), F.transform("forbidden", casefold))
     doc_ids = chunks.select("document_id").distinct()
-    lost = e.select("id", F.explode("docs").alias("document_id")).join(doc_ids, "document_id", "left_anti")
-    outside = known.where(~F.array_contains("docs", F.col("c_document_id"))).select("id").distinct()
+    lost = e.select(*place, F.explode("docs").alias("document_id")).join(doc_ids, "document_id", "left_anti")
+    outside = known.where(~F.array_contains("docs", F.col("c_document_id"))).select(*place).distinct()
     rules = [
         _issue(numbered.withColumn("x", again("id")).where("x"), "duplicate_id"),
         _issue(numbered.withColumn("x", again("qkey", "fkey")).where("x"), "duplicate_query"),
@@ -278,10 +280,25 @@ def fingerprint(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
     return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
 
 
-def threshold_sweep(ranked: DataFrame, thresholds: list[float], k: int = 3) -> DataFrame:
-    """One vector search at the least threshold, cut anew for each: a higher threshold only shortens a ranked list."""
+def threshold_sweep(cases: DataFrame, queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame, thresholds: list[float], k: int = 3, split: str = "dev") -> DataFrame:
+    """Metrics ``(threshold, strategy, ...)`` of vector and hybrid search at every least similarity, over one split.
+
+    One BM25 search and one vector search at the lowest threshold serve all: a higher threshold only cuts
+    the end of a ranked vector list, and fusion is done anew on what is left. The threshold travels inside
+    the query id and the strategy, so all of them are one plan, whatever their number.
+    """
+    chosen = cases.where(F.col("split") == split)
+    asked = cut(queries.join(chosen.select(F.col("case_id").alias("query_id")), "query_id", "left_semi"), "asked")
+    lexical, near, pins = channels(asked, chunks, postings, filters, vectors, max(20, 4 * k), min(thresholds))
     grid = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
-    return ranked.select("*", grid).where((F.col("score") >= F.col("threshold")) & (F.col("rank") <= k))
+    spread = lambda df: df.select("*", grid).withColumn("query_id", F.struct("threshold", "query_id")).drop("threshold")
+    kept = cut(spread(near).where(F.col("score") >= F.col("query_id.threshold")), "near")
+    ranked = {"vector": kept, "hybrid": cut(rrf_fuse(spread(lexical), kept, k, pins=spread(pins)), "fused")}
+    at, case = F.col("query_id.threshold").alias("threshold"), F.col("query_id.query_id").alias("case_id")
+    own = lambda name: F.struct(at, F.lit(name).alias("strategy")).alias("strategy")
+    hits = reduce(DataFrame.unionByName, (r.select(own(n), case, "chunk_id", "rank") for n, r in ranked.items()))
+    answers = reduce(DataFrame.unionByName, (answer(spread(asked), r, chunks).select(own(n), case, "answer", F.lit(None).cast("double").alias("duration_ms")) for n, r in ranked.items()))
+    return aggregate_metrics(score_cases(chosen, hits, chunks, answers, filters, k), k, ("strategy",)).withColumnRenamed("strategy", "own").select("own.*", "*").drop("own")
 
 
 def recommend_threshold(rows: DataFrame, gate: float = 0.9) -> DataFrame:
@@ -321,8 +338,6 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
 
 def run_evaluation(cases: DataFrame, queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame | None, strategies: tuple[str, ...] = ("bm25", "vector", "hybrid"), k: int = 3, split: str | None = None, least: float = 0.22, dim: int = 512) -> DataFrame:
     """Case results of every strategy and case; the number of strategies is fixed, so each is one plan of the union."""
-    from lodestrand.operators.retrieval import answer, retrieve
-
     chosen = cases.where(F.col("split") == split) if split else cases
     asked = queries.join(chosen.select(F.col("case_id").alias("query_id")), "query_id", "left_semi")
     out = []

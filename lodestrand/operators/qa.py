@@ -123,9 +123,9 @@ def verified_answer(answers: DataFrame, verdicts: DataFrame, composed: DataFrame
 
 
 def trace_events(passes: DataFrame) -> DataFrame:
-    """``(query_id, events, retrievals)``: what each query went through, in order."""
+    """``(query_id, events, retrievals)``: retrieve, grade, then for an insufficient grade rewrite and, if the query changed, both again, and verify."""
     again = F.when(F.col("rewritten"), F.array(*map(F.lit, ("rewrite", "retrieve", "grade")))).otherwise(
         F.when(F.col("initial_status") == "insufficient", F.array(F.lit("rewrite"))).otherwise(F.array().cast("array<string>"))
     )
-    events = F.concat(F.array(*map(F.lit, ("plan", "retrieve", "grade"))), again, F.array(*map(F.lit, ("answer", "verify"))))
+    events = F.concat(F.array(*map(F.lit, ("retrieve", "grade"))), again, F.array(F.lit("verify")))
     return passes.select("query_id", events.alias("events")).withColumn("retrievals", F.size(F.filter("events", lambda e: e == "retrieve")))

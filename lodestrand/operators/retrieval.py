@@ -265,6 +265,16 @@ def as_hits(ranked: DataFrame, method: str) -> DataFrame:
     )
 
 
+def channels(queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame, deep: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """BM25 and vector hits down to ``deep`` and the pins ``(query_id, chunk_id)`` among both, of queries with usable vectors."""
+    open_to = apply_filters(chunks, filters).groupBy("chunk_id").agg(F.collect_set("filter_id").alias("open_to"))
+    near = vector_search(queries, vectors.join(open_to, "chunk_id"), deep, least)
+    lexical = bm25_search(queries, chunks, postings, filters, deep)
+    pairs = lexical.select("query_id", "chunk_id").union(near.select("query_id", "chunk_id")).distinct()
+    texts = pairs.join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "title", "content"), "chunk_id")
+    return lexical, near, pin_exact_facts(texts).where("pinned").select("query_id", "chunk_id")
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame | None = None, strategy: str = "hybrid", k: int = 3, least: float = 0.22, dim: int = 512) -> DataFrame:
     """Hits by strategy ``bm25``, ``vector`` or ``hybrid``; without usable vectors a query falls back to BM25.
 
@@ -278,15 +288,10 @@ def retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters
     queries = cut(queries, "queries")
     bad = F.coalesce(vector_error(F.col("vector"), dim).isin("wrong_length", "not_finite"), F.lit(False))
     good, fallback = queries.where(~bad), queries.where(bad)
-    open_to = apply_filters(chunks, filters).groupBy("chunk_id").agg(F.collect_set("filter_id").alias("open_to"))
-    near = vector_search(good, vectors.join(open_to, "chunk_id"), deep, least)
     plain = as_hits(bm25_search(fallback, chunks, postings, filters, k), "bm25")
+    lexical, near, pins = channels(good, chunks, postings, filters, vectors, deep, least)
     if strategy == "vector":
         return as_hits(near, "vector").unionByName(plain)
-    lexical = bm25_search(good, chunks, postings, filters, deep)
-    pairs = lexical.select("query_id", "chunk_id").union(near.select("query_id", "chunk_id")).distinct()
-    texts = pairs.join(good.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "title", "content"), "chunk_id")
-    pins = pin_exact_facts(texts).where("pinned").select("query_id", "chunk_id")
     return rrf_fuse(lexical, near, k, pins=pins).unionByName(plain)
 
 

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrand.functions import text as tx
 from lodestrand.operators import chunking, evaluation, ingest, lookup, qa, retrieval, sessions
 from lodestrand.sources import files
 
@@ -182,3 +183,56 @@ def test_vectors_of_other_chunks_are_filtered(spark, strategy):
         eligible = [x for x in vectors if meta[x]["visibility"] == "public" and meta[x]["domain"] in domains]
         best = sorted(eligible, key=lambda x: (-np.float32(vectors[x][0]), x))[:3]
         assert [r.chunk_id for r in sorted(hits, key=lambda r: r.rank) if r.query_id == name] == best
+
+
+def test_digits_of_any_script_are_facts(spark):
+    df = spark.createDataFrame([("多少钱", "工本费２０元"), ("几点开门", "早上８:３０开门"), ("多少钱", "不清楚")], "q string, e string")
+    assert [r.x for r in df.select(tx.missing_precise_fact(F.col("q"), F.col("e")).alias("x")).collect()] == [None, "开放或服务时间", "费用或金额"]
+    assert [r.x for r in df.select(tx.extract_claims(F.col("e")).alias("x")).collect()][0] == []
+    one = spark.createDataFrame([("费用 ２０ 元",)], "e string")
+    assert one.select(tx.extract_claims(F.col("e")).alias("x")).first().x == ["２０ 元"]
+
+
+def test_postings_count_inside_the_row(spark):
+    rows = [("a", "t", "x y x"), ("b", "t", ""), ("c", None, None)]
+    meta = [F.lit("m").alias(k) for k in retrieval.META]
+    got = retrieval.build_postings(spark.createDataFrame(rows, "chunk_id string, title string, content string").select("*", *meta)).select("chunk_id", "term", "tf", "length").collect()
+    assert sorted(map(tuple, got)) == [("a", "t", 3, 6), ("a", "x", 2, 6), ("a", "y", 1, 6), ("b", "t", 3, 3)]
+
+
+def test_lookups_meet_each_key_once(spark):
+    courses = spark.createDataFrame([(1, "Green", "周一", "08:00", "A"), (2, "Red", "周一", "09:00", "B")], "seq int, name string, weekday string, start_time string, location string")
+    asked = spark.createDataFrame([(1, "monday", "green"), (2, "Monday", "green"), (3, "x", None), (4, "周一", None)], "request_id int, weekday string, keyword string")
+    got = {r.request_id: r for r in lookup.course_lookup(asked, courses).collect()}
+    assert got[1].n == got[2].n == 1 and got[1].text == got[2].text and got[3].text == "invalid_weekday" and got[4].n == 2
+    fields = "service_code string, campus string, service_name string, status string, location string, today_hours string, queue_count int, estimated_wait_minutes int, updated_at string, provider string"
+    status = spark.createDataFrame([("library", "main", "old", "open", "A", "8", 1, None, "t1", "mock"), ("library", "main", "new", "open", "A", "8", 2, None, "t2", "mock")], fields)
+    told = lookup.status_lookup(spark.createDataFrame([(1, "library", None), (2, "gym", "main")], "request_id int, service_code string, campus string"), status).orderBy("request_id").collect()
+    assert "new" in told[0].text and told[1].error == "invalid_argument" and len(told) == 2
+
+
+def test_retry_and_its_events(spark):
+    chunks = spark.createDataFrame([("a", "校园卡", "校园卡遗失后请补办"), ("b", "图书馆", "借阅规则")], "chunk_id string, title string, content string")
+    asked = spark.createDataFrame([(1, "请问一卡通丢了"), (2, "图书馆借阅规则"), (3, "天气")], "query_id int, query string")
+    answers = spark.createDataFrame([("校园卡遗失", "a"), ("图书馆借阅规则", "b")], "query string, chunk_id string")
+
+    def search(q):
+        found = q.join(answers, q["query"] == answers["query"]).drop(answers["query"])
+        return found.select("query_id", "chunk_id", F.lit(1).alias("rank"), F.lit(1.0).alias("lexical_score"), F.lit(None).cast("double").alias("vector_score"))
+
+    hits, passes = qa.retrieve_with_retry(asked, chunks, search)
+    got = {r.query_id: r for r in passes.collect()}
+    assert got[1].rewritten and got[1].initial_status == "insufficient" and got[1].final_query.startswith("校园卡") and got[1].attempts == 2
+    assert got[2].status == "relevant" and got[2].attempts == 1 and not got[3].rewritten
+    events = {r.query_id: list(r.events) for r in qa.trace_events(passes).collect()}
+    assert events[1] == ["retrieve", "grade", "rewrite", "retrieve", "grade", "verify"]
+    assert events[2] == ["retrieve", "grade", "verify"] and events[3] == ["retrieve", "grade", "rewrite", "verify"]
+
+
+def test_issues_name_file_and_line(spark):
+    line = '{"id":"%s","task":"retrieval","split":"dev","query":"q%d","request":{"top_k":3,"filters":{}},"expected":{"answerable":true,"relevant_document_ids":["nope"],"relevant_chunk_ids":["c"],"domain":"","category":""},"tags":["t"],"difficulty":"easy"}'
+    cases = evaluation.parse_cases(spark.createDataFrame([("f.jsonl", 1, line % ("x", 1)), ("f.jsonl", 2, line % ("x", 2))], "source_file string, source_line int, json string"))
+    meta = [F.lit("public" if k == "visibility" else "m").alias(k) for k in retrieval.META]
+    chunks = spark.createDataFrame([("c", "t", "text")], "chunk_id string, title string, content string").select("*", *meta)
+    got = {tuple(r) for r in evaluation.validate_cases(cases, chunks).collect()}
+    assert ("x", "duplicate_id", "f.jsonl", 2) in got and ("x", "unknown_document:nope", "f.jsonl", 1) in got and ("x", "chunk_document_mismatch", "f.jsonl", 2) in got
