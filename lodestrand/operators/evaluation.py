@@ -270,14 +270,16 @@ def dataset_profile(cases: DataFrame, columns: tuple[str, ...] = ("task", "split
     return cases.select(pairs.alias("p")).groupBy("p.column", "p.value").agg(F.count("*").alias("n"))
 
 
-def fingerprint(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
+def fingerprint(df: DataFrame, key: str) -> DataFrame:
     """One row ``(n, fingerprint)`` that depends on the rows' content and not on their order.
 
-    Row hashes are sorted and hashed per bucket of the key, then the buckets' hashes in order.
+    The fingerprint is the hash of the number of rows and of four sums over 60 bits each of the rows'
+    hashes. Sums are taken before the shuffle, so a task sends one row however the keys are spread.
     """
-    rows = df.select(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).alias("bucket"), F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("h"))
-    level = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+    row = F.sha2(F.to_json(F.struct(key, *sorted(c for c in df.columns if c != key))), 256)
+    parts = [F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)").alias(f"s{i}") for i in range(4)]
+    sums = df.select(row.alias("h")).select(*parts).agg(F.count("*").alias("n"), *(F.coalesce(F.sum(f"s{i}"), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)))
+    return sums.select("n", F.sha2(F.concat_ws(",", F.col("n").cast("string"), *(f"s{i}" for i in range(4))), 256).alias("fingerprint"))
 
 
 def threshold_sweep(cases: DataFrame, queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame, thresholds: list[float], k: int = 3, split: str = "dev") -> DataFrame:

@@ -236,7 +236,16 @@ def c2_split_long(s, d):
     return t.select("doc_id", F.posexplode(chunking.split_long()("x")).alias("part", "piece")).select("doc_id", F.col("part").cast("long").alias("part"), F.md5("piece").alias("digest"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, source, lang, list_filter(list_transform(regexp_split_to_array(text, '[\\n\\r\\x0b\\x0c]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents),
+t AS (SELECT doc_id, source, source || ' - ' || lang AS title, 1 AS section, array_to_string(lines, chr(10)) AS x FROM l WHERE len(lines) > 0
+ UNION ALL SELECT doc_id, source, 'End', CASE WHEN len(lines) > 0 THEN 2 ELSE 1 END, lang FROM l),
+c AS (SELECT doc_id, section, x, 0 AS part, 0 AS first, 0 AS last FROM t WHERE length(x) > 1200
+UNION ALL SELECT doc_id, section, x, part + 1, start, CASE WHEN start + 1200 >= length(x) THEN length(x) WHEN cut > 0 THEN start + 600 + cut ELSE start + 1200 END FROM
+ (SELECT doc_id, section, x, part, start, 600 - length(regexp_extract(substr(x, start + 601, 600), '[^\\n。！？;；]*$')) AS cut FROM
+  (SELECT doc_id, section, x, part, CASE WHEN last = 0 THEN 0 ELSE greatest(first + 1, last - 120) END AS start FROM c WHERE last < length(x)))),
+p AS (SELECT doc_id, section, regexp_replace(substr(x, first + 1, last - first), '^\\s+|\\s+$', '', 'g') AS piece, part FROM c WHERE part > 0 UNION ALL SELECT doc_id, section, x, 1 FROM t WHERE length(x) <= 1200),
+n AS (SELECT doc_id, section, piece, row_number() OVER (PARTITION BY doc_id, section ORDER BY part) - 1 AS part FROM p WHERE piece <> '')
+SELECT doc_id || '-' || section || '-' || part AS chunk_id, title, source || '#' || title AS source, CAST(section * 1000 + part AS INT) AS chunk_index, md5(piece) AS digest FROM n JOIN t USING (doc_id, section)""")
 def c3_build_chunks(s, d):
     return chunking.build_chunks(_markdown(s, d)).select("chunk_id", "title", "source", "chunk_index", F.md5("content").alias("digest"))
 
@@ -762,7 +771,11 @@ def i9_dataset_profile(s, d):
     return evaluation.dataset_profile(_case_results(s, d), ("task", "split", "difficulty", "retrieval_expectation"))
 
 
-@query()
+_ROW_SUMS = ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT))" for i in range(4))
+
+
+@query(f"""SELECT n, sha256(concat_ws(',', n, s[1], s[2], s[3], s[4])) AS fingerprint FROM (SELECT count(*) AS n, [{_ROW_SUMS}] AS s
+ FROM (SELECT sha256('{{"doc_id":' || doc_id || ',"text":' || to_json(text) || '}}') AS h FROM documents))""")
 def i10_fingerprint(s, d):
     return evaluation.fingerprint(inputs.table(s, d, "documents").select("doc_id", "text"), "doc_id")
 
