@@ -351,6 +351,9 @@ def test_stretches_against_brute_force():
             run = int(rng.integers(0, len(equal) - 50))
             equal[run : run + 50] = True
         got = ps.stretches(equal, 50, 75)
+        sums = [0, *np.cumsum(equal).tolist()]
+        some = any(4 * (sums[j] - sums[i]) >= 3 * (j - i) for i in range(len(equal)) for j in range(i + 50, len(equal) + 1))
+        assert ps.any_stretch(equal, 50, 75) == some and bool(got) <= some
         assert all(j - i >= 50 and equal[i:j].mean() >= 0.75 for i, j in got)
         assert run is None or any(i < run + 25 < j for i, j in got)
 
