@@ -16,6 +16,7 @@ from lodestrand.llm.quality import quality_rules
 from lodestrand.llm.token_counts import token_counts
 from lodestrand.llm.token_shards import token_shards
 from lodestrand.llm.toxicity import toxicity
+from lodestrand.llm.vector_codes import compress
 from lodestrand.llm.warc import archive_pages
 
 
@@ -64,11 +65,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_license_scans, op5_minhash_near_dedup,
-        op6_benchmark_decontamination, op7_mixing, op8_warc, op9_token_shards, op10_toxicity,
+        op6_benchmark_decontamination, op7_mixing, op8_warc, op9_token_shards, op10_toxicity, op11_vector_code_compression,
     )
 }
 ORACLE_SQL: dict[str, str] = {name: text for name, text in sql.ORACLE.items() if name in QUERIES}

@@ -99,4 +99,31 @@ h AS (SELECT *, sha1(html) AS hex, strlen(html) AS n, row_number() OVER (PARTITI
 SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(range(0, 32), lambda i: substr('{_B32}', ((('0x' || substr(hex, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
  CASE WHEN r = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r > 1 THEN first END AS refers_to FROM h"""
 
-ORACLE: dict[str, str] = {"op3_quality_rules": OP3, "op5_minhash_near_dedup": OP5, "op6_benchmark_decontamination": OP6, "op7_mixing": OP7, "op8_warc": OP8}
+
+
+def _codebooks() -> str:
+    """Two rounds of assignment and floored means over 16 parts of four components, then codes and errors."""
+    xs, cs = ("x0", "x1", "x2", "x3"), ("c0", "c1", "c2", "c3")
+    far = " + ".join(f"({x} - {c}) ** 2" for x, c in zip(xs, cs, strict=True))
+    out = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS (SELECT vec_id, label, p, {", ".join(f"v[4 * p + {i + 1}] AS {x}" for i, x in enumerate(xs))} FROM kept, range(16) r(p)),
+b0 AS (SELECT p, e, {", ".join(f"{x} AS {c}" for x, c in zip(xs, cs, strict=True))} FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM part) WHERE e < 64),"""
+    for r in range(3):
+        out += f"""
+a{r} AS (SELECT vec_id, label, p, {", ".join(xs)}, arg_min(e, far * 64 + e) AS e, min(far) AS far FROM (SELECT *, {far} AS far FROM part JOIN b{r} USING (p)) GROUP BY ALL),"""
+        if r < 2:
+            means = ", ".join(f"coalesce(m{i}, c{i}) AS c{i}" for i in range(4))
+            sums = ", ".join(f"CAST(floor(sum(x{i}) / count(*)) AS BIGINT) AS m{i}" for i in range(4))
+            out += f"""
+b{r + 1} AS (SELECT p, e, {means} FROM b{r} LEFT JOIN (SELECT p, e, {sums} FROM a{r} GROUP BY p, e) USING (p, e)),"""
+    return out + """
+c AS (SELECT vec_id, label, string_agg(format('{:02x}', e), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(c0 || ',' || c1 || ',' || c2 || ',' || c3, ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM c"""
+
+
+OP11 = _codebooks()
+
+ORACLE: dict[str, str] = {"op3_quality_rules": OP3, "op5_minhash_near_dedup": OP5, "op6_benchmark_decontamination": OP6, "op7_mixing": OP7, "op8_warc": OP8, "op11_vector_code_compression": OP11}
