@@ -126,4 +126,18 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 OP11 = _codebooks()
 
-ORACLE: dict[str, str] = {"op3_quality_rules": OP3, "op5_minhash_near_dedup": OP5, "op6_benchmark_decontamination": OP6, "op7_mixing": OP7, "op8_warc": OP8, "op11_vector_code_compression": OP11}
+OP12 = rf"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+seq AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(md5(coalesce(role, '')) || md5(coalesce(text, '')))) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT conv_id, s, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) % 4 AS h FROM seq, tab),
+reb AS (SELECT h.conv_id, coalesce(b.s, [])[1:h.h] || h.s[h.h + 1:] AS s FROM h LEFT JOIN seq b ON b.conv_id = h.conv_id - h.conv_id % 20),
+pre AS (SELECT conv_id, d, s[1:d] AS k, d = len(s) AS ends FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM reb)),
+node AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends) AS ends FROM pre GROUP BY k, d),
+kids AS (SELECT k[1:d - 1] AS k, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY ALL),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN node.d = 0 THEN 0 ELSE (n_convs - 1) * len({_words("node.k[-1].text")}) END AS saved FROM node LEFT JOIN kids ON node.d = kids.d AND node.k = kids.k),
+total AS (SELECT k[1:a] AS k, a AS d, sum(CAST(n_children = 0 AS INT)) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS a FROM own) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM own n JOIN total t ON n.d = t.d AND n.k = t.k LEFT JOIN node p ON n.d > 0 AND p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]"""
+
+ORACLE: dict[str, str] = {"op3_quality_rules": OP3, "op5_minhash_near_dedup": OP5, "op6_benchmark_decontamination": OP6, "op7_mixing": OP7, "op8_warc": OP8, "op11_vector_code_compression": OP11, "op12_conversation_prefix_trie": OP12}
