@@ -14,6 +14,7 @@ from lodestrand.llm.near_dup import near_duplicates
 from lodestrand.llm.passages import shared_passages
 from lodestrand.llm.prefix_trie import conversation_trie
 from lodestrand.llm.quality import quality_rules
+from lodestrand.llm.quality_model import quality_scores
 from lodestrand.llm.token_counts import token_counts
 from lodestrand.llm.token_shards import token_shards
 from lodestrand.llm.toxicity import toxicity
@@ -74,12 +75,16 @@ def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_license_scans, op5_minhash_near_dedup,
         op6_benchmark_decontamination, op7_mixing, op8_warc, op9_token_shards, op10_toxicity, op11_vector_code_compression,
-        op12_conversation_prefix_trie,
+        op12_conversation_prefix_trie, op13_quality_classifier,
     )
 }
 ORACLE_SQL: dict[str, str] = {name: text for name, text in sql.ORACLE.items() if name in QUERIES}

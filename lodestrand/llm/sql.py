@@ -1,6 +1,6 @@
 """SQL for the registered corpus queries, where SQL can express them.
 
-Token counts (1), passages (2), licence templates (4), shards (9) and the classifier (10) have none:
+Token counts (1), passages (2), licence templates (4), shards (9) and the classifiers (10, 13) have none:
 they are tested against brute force, round trips and held-out accuracy.
 """
 
