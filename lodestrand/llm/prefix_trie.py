@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.llm.common import cut, powers
@@ -116,7 +116,7 @@ def _completed(carries):
     return run
 
 
-def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
+def ordered(rows: DataFrame, by: list[Column]) -> DataFrame:
     """``(conv_id, place, p1, p2, tail, t1, t2, words)`` of ``rows (conv_id, t1, t2, words, ...)`` in the order of conv_id and ``by``.
 
     Rows are dealt by ranges of the whole order, so one conversation may take many tasks. Each task counts
@@ -125,7 +125,7 @@ def ordered(rows: DataFrame, by: list[str]) -> DataFrame:
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("conv_id"), *(F.asc_nulls_first(c) for c in by)]
+    order = [F.col("conv_id"), *by]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("conv_id", "t1", "t2", "words")
     shape = "conv_id long, place long, p1 long, p2 long, tail boolean, t1 long, t2 long, words long"
     local = cut(dealt.mapInArrow(_local, f"task int, {shape}"), "ordered")
@@ -141,7 +141,7 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     h is the CRC-32 of the decimal conv_id modulo 4. Every conversation also has a root row, of part -1.
     """
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % MOST_SHARED
-    placed = cut(ordered(turns, ["turn", "t1", "t2"]), "turns")
+    placed = cut(ordered(turns, [F.asc_nulls_first("turn"), *(F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in ("t1", "t2"))]), "turns")
     convs = placed.select("conv_id").distinct()
     heads = placed.where((F.col("place") < MOST_SHARED - 1) & (F.col("conv_id") % BLOCK == 0)).withColumnRenamed("conv_id", "base")
     first = convs.withColumns({"base": F.col("conv_id") - F.col("conv_id") % BLOCK, "h": h}).join(heads, "base").where("place < h")
@@ -269,7 +269,7 @@ def conversation_trie(conversations: DataFrame, band: int = BAND) -> DataFrame:
     equal; a negative conv_id takes its block by SQL's remainder, toward zero; a conversation left without turns
     ends at the root; a table without conversations gives no rows; no other column is read.
     """
-    path = cut(ordered(rebuilt(turns_of(conversations)), ["part", "turn", "t1", "t2"]), "paths").withColumnRenamed("place", "d")
+    path = cut(ordered(rebuilt(turns_of(conversations)), [F.col("part"), F.col("turn")]), "paths").withColumnRenamed("place", "d")
     deepest = path.agg(F.max("d")).first()[0] or 0
     rows = path_rows(path.select("conv_id", "d", "p1", "p2", "words", "tail"), band)
     links = [c for c in rows.columns if c[0] in "qa"]
