@@ -1,4 +1,4 @@
-"""Indexes and batch search: BM25, vectors, rank fusion, answers and citations."""
+"""Batch retrieval: hash vectors, rank fusion, answers, citations and the vector cache."""
 
 from __future__ import annotations
 
@@ -8,132 +8,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import exact_facts, informative_terms, is_informative, missing_precise_fact, python_tokens, strip, tokenize
+from lodestrand.functions.text import exact_facts, missing_precise_fact, python_tokens
+from lodestrand.operators.filters import FILTER_KEYS, META, apply_filters, matches_filter, normalize_filters, with_filter_prefix  # noqa: F401
+from lodestrand.operators.lexical import bm25_search, build_postings, corpus_size, corpus_term_stats, query_terms, top_k  # noqa: F401
+from lodestrand.operators.nearest import vector_search
 from lodestrand.session import cut
 
-FILTER_KEYS = ("document_id", "source_name", "domain", "category", "version", "visibility")
-#: Columns of a chunk that filters compare.
-META = FILTER_KEYS
 NO_ANSWER = "知识库中暂未找到相关信息，请联系对应业务部门确认。我目前可以查询课程和已经收录的校园办事资料。"
 MISSING = ("检索到了相关主题资料，但资料中没有提供你询问的具体", "。为避免编造，请联系对应业务部门或查看当期官方通知确认。")
 NO_CONTEXT = "没有检索到可用资料。"
 
 
-def normalize_filters(filters: Column) -> Column:
-    """Struct (filters, error) of a map: known keys with stripped, non-blank values, or why not."""
-    cleaned = F.transform_values(filters, lambda k, v: strip(v))
-    unknown = F.array_except(F.map_keys(filters), F.array(*map(F.lit, FILTER_KEYS)))
-    blank = F.exists(F.map_values(cleaned), lambda v: v == "")
-    error = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.array_join(F.array_sort(unknown), ","))).when(blank, "blank")
-    return F.struct(F.when(error.isNull(), cleaned).alias("filters"), error.alias("error"))
-
-
-def matches_filter(chunk: str = "", flt: str = "f_") -> Column:
-    """Null means any value in five fields; visibility always has to be equal (default public)."""
-    out = F.coalesce(F.col(f"{flt}visibility"), F.lit("public")) == F.col(f"{chunk}visibility")
-    for key in FILTER_KEYS[:-1]:
-        out = out & (F.col(f"{flt}{key}").isNull() | (F.col(f"{flt}{key}") == F.col(f"{chunk}{key}")))
-    return out
-
-
-def with_filter_prefix(filters: DataFrame) -> DataFrame:
-    return filters.select("filter_id", *(F.col(k).alias(f"f_{k}") for k in FILTER_KEYS))
-
-
-def apply_filters(chunks: DataFrame, filters: DataFrame) -> DataFrame:
-    """``(filter_id, chunk_id)`` of chunks that each filter lets through; a theta join."""
-    return chunks.join(with_filter_prefix(filters), matches_filter()).select("filter_id", "chunk_id")
-
-
-def _runs(tokens: Column) -> Column:
-    """``(term, tf, length)`` of each distinct token: sorted once, a run of equal ones is a count."""
-
-    def of_sorted(t: Column) -> Column:
-        at = F.slice(F.sequence(F.lit(0), F.size(t)), F.lit(1), F.size(t))
-        starts = F.filter(at, lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-        row = lambda p, j, own: F.struct(F.get(t, p).alias("term"), (F.coalesce(F.get(own, j + 1), F.size(t)) - p).cast("long").alias("tf"), F.size(t).alias("length"))
-        return F.flatten(F.transform(F.array(starts), lambda own: F.transform(own, lambda p, j: row(p, j, own))))
-
-    # a lambda's variable is evaluated once, a repeated expression is not
-    return F.flatten(F.transform(F.array(F.sort_array(tokens)), of_sorted))
-
-
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """``(chunk_id, term, tf, length)`` and the filter columns, from three times the title and the content.
-
-    Counts are taken inside the row: there is no shuffle.
-    """
-    text = F.concat_ws(" ", "title", "title", "title", "content")
-    return chunks.select("chunk_id", *META, F.inline(_runs(tokenize(text))))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Distinct terms of each query ``(query_id, query, filter_id)`` with their frequency and the least matches asked for."""
-    tokens = queries.select("query_id", "filter_id", tokenize(F.col("query")).alias("tokens"))
-    need = tokens.select("*", F.size(informative_terms(F.col("tokens"))).alias("informative"))
-    return (
-        need.where("informative > 0")
-        .select("query_id", "filter_id", "informative", F.explode("tokens").alias("term"))
-        .groupBy("query_id", "filter_id", "informative", "term").agg(F.count("*").alias("qtf"))
-        .withColumn("counts", is_informative(F.col("term")))
-    )
-
-
-def corpus_size(chunks: DataFrame, filters: DataFrame, postings: DataFrame) -> DataFrame:
-    """Per filter the number and average length of its chunks; lengths are the postings' counts, so no text is read again."""
-    met = chunks.groupBy(*META).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("tokens")).unionByName(
-        postings.groupBy(*META).agg(F.lit(0).cast("long").alias("n"), F.sum("tf").alias("tokens"))
-    )
-    joined = met.join(with_filter_prefix(filters), matches_filter()).groupBy("filter_id").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
-    return joined.select("filter_id", "n", F.try_divide(F.col("tokens").cast("double"), F.col("n")).alias("average"))
-
-
-def _open_postings(postings: DataFrame, filters: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings of the terms ``(filter_id, term)`` in chunks that the filter lets through; each term once, however many queries have it."""
-    wanted = terms.select("filter_id", "term").distinct().join(with_filter_prefix(filters), "filter_id")
-    return postings.join(wanted, "term").where(matches_filter()).select("filter_id", "term", "chunk_id", "tf", "length")
-
-
-def corpus_term_stats(postings: DataFrame, filters: DataFrame, terms: DataFrame) -> DataFrame:
-    """Document frequency of the terms ``(filter_id, term)`` among the chunks that the filter lets through."""
-    return _open_postings(postings, filters, terms).groupBy("filter_id", "term").agg(F.count("*").alias("df"))
-
-
-def bm25_search(
-    queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, k: int = 3, k1: float = 1.5, b: float = 0.75, least: int = 2
-) -> DataFrame:
-    """BM25 top ``k`` per query: ``(query_id, chunk_id, score, rank)``.
-
-    Statistics come from the chunks that the query's filter lets through. A chunk needs as many
-    distinct informative terms as the query has, at most ``least``. Only postings of query terms are
-    joined; equal scores are ordered by chunk_id. Scores are compared at nine digits, so the order
-    of summation cannot break ties between copies.
-    """
-    terms = query_terms(queries)
-    stats = corpus_term_stats(postings, filters, terms).join(corpus_size(chunks, filters, postings), "filter_id")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
-    weighed = terms.join(stats.select("filter_id", "term", idf.alias("idf"), "average"), ["filter_id", "term"])
-    scored = (
-        _open_postings(postings, filters, terms).join(weighed, ["filter_id", "term"])
-        .groupBy("query_id", "chunk_id", "informative")
-        .agg(F.round(F.sum(part), 9).alias("score"), F.count_if("counts").alias("met"))
-        .where((F.col("met") >= F.least(F.lit(least), F.col("informative"))) & (F.col("score") > 0))
-    )
-    return top_k(scored.select("query_id", "chunk_id", "score"), k)
-
-
-def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """Ranks 1 to ``k`` per query by score, then chunk_id; Spark cuts each task's rows to k first."""
-    own = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
-
-
 def token_slots(token: str, dim: int) -> tuple[int, int]:
     """Slot and sign of a token: BLAKE2b of eight bytes, modulo ``dim``; plus if its first byte is odd."""
     digest = hashlib.blake2b(token.encode(), digest_size=8).digest()
@@ -191,47 +79,6 @@ def l2_normalize(vector: Column) -> Column:
     return F.when(size > 0, F.transform(vector, lambda x: (x / size).cast("float"))).otherwise(vector)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 3, least: float = 0.22, block: int = 4096) -> DataFrame:
-    """Cosine top ``k`` per query with a similarity of at least ``least``: ``(query_id, chunk_id, score, rank)``.
-
-    ``queries (query_id, vector)`` and ``vectors (chunk_id, vector)`` hold unit vectors; a zero query
-    has no hits. If ``vectors`` has ``open_to``, the filter_ids that let the chunk through, only chunks
-    open to a query's ``filter_id`` count for it, before the cut at ``k``. The queries go out in blocks of a bounded number; each task multiplies a block with
-    its vectors and keeps its best ``k`` per query, so no pair of all queries and chunks is stored.
-    """
-    masked = ["open_to"] if "open_to" in vectors.columns else []
-    rows = queries.where(F.exists("vector", lambda x: x != 0)).select("query_id", "vector", *(["filter_id"] if masked else [])).toArrow()
-    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
-    out = None
-    for start in range(0, max(rows.num_rows, 1), block):
-        part = rows.slice(start, block)
-        held = queries.sparkSession.sparkContext.broadcast((part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), np.float32), np.array(part.column(2).to_pylist(), object) if masked else None))
-
-        def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            ids, matrix, own_filter = held.value
-            top: list[list[tuple[float, object]]] = [[] for _ in ids]
-            for batch in batches:
-                if not ids or not batch.num_rows:
-                    continue
-                names = batch.column(0).to_pylist()
-                scores = matrix @ np.array(batch.column(1).to_pylist(), np.float32).T
-                if own_filter is not None:
-                    open_to = [set(x) for x in batch.column(2).to_pylist()]
-                    for f in set(own_filter):
-                        scores[np.ix_(own_filter == f, [f not in x for x in open_to])] = -np.inf
-                for q, line in enumerate(scores):
-                    for i in np.flatnonzero(line >= np.float32(least)):
-                        top[q].append((-float(line[i]), names[i]))
-                    top[q] = sorted(top[q])[:k]
-            flat = [(q, c, -s) for q, own in zip(ids, top, strict=True) for s, c in own]
-            yield pa.record_batch([pa.array([r[i] for r in flat], t) for i, t in enumerate(types)], ["query_id", "chunk_id", "score"])
-
-        types = [pa.from_numpy_dtype(np.int64) if t in ("bigint", "int") else pa.string() for t in (queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString())] + [pa.float64()]
-        local = vectors.select("chunk_id", "vector", *masked).mapInArrow(best, kind)
-        out = local if out is None else out.union(local)
-    return top_k(out, k)
-
-
 def pin_exact_facts(candidates: DataFrame) -> DataFrame:
     """``pinned`` for candidates ``(query, title, content)`` that share an exact fact."""
     facts = exact_facts(F.concat_ws("\n", "title", "content"))
