@@ -6,8 +6,7 @@ import re
 from bisect import bisect_left
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import strip
@@ -17,44 +16,50 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 BOUNDARIES = "\n。！？;；"
 
 
+def _opened_sections(blocks: Column, title: Column) -> Column:
+    """Sections ``(section, title, content)`` of a document's blocks, by a state that goes from heading to heading.
+
+    The state is the running number, the document's own title, the open title, and whether the block before has content.
+    """
+    section = "section int, title string, content string"
+    start = F.struct(
+        F.lit(0).alias("n"), F.lit(None).cast("string").alias("h1"), F.lit(None).cast("string").alias("name"), F.lit(False).alias("prior"),
+        F.array().cast(f"array<struct<{section.replace(' ', ':').replace(',:', ',')}>>").alias("out"),
+    )
+
+    def step(state: Column, x: Column) -> Column:
+        opens = (x["level"] >= 2) | ((x["level"] == 1) & state["prior"])
+        n = state["n"] + F.when(opens, 1).otherwise(0)
+        h1 = F.when(x["level"] == 1, x["heading"]).otherwise(state["h1"])
+        name = F.when(x["level"] >= 2, F.concat(F.coalesce(h1, title), F.lit(" - "), x["heading"])).when(x["level"] == 1, x["heading"]).otherwise(state["name"])
+        some = x["content"] != ""
+        new = F.struct(n.alias("section"), F.coalesce(name, title).alias("title"), x["content"].alias("content"))
+        return F.struct(n.alias("n"), h1.alias("h1"), name.alias("name"), some.alias("prior"), F.when(some, F.concat(state["out"], F.array(new))).otherwise(state["out"]).alias("out"))
+
+    return F.aggregate(blocks, start, step, lambda state: state["out"])
+
+
 def split_sections(docs: DataFrame) -> DataFrame:
     """``(document_id, section, title, content)`` of Markdown ``(document_id, text, title)``; extra columns are kept.
 
     A heading starts in the first column with one to three marks. One mark sets the document's title
     and opens a section only if the open one has content; two and three always open one, titled
-    "document - heading". Lines are numbered and running values taken in one window per document.
+    "document - heading". All of it happens inside the row: the lines between two headings are a block,
+    and a state goes over the blocks. Nothing is shuffled.
     """
     keep = [c for c in docs.columns if c not in ("text", "title")]
-    own = W.partitionBy("document_id").orderBy("line")
-    lines = docs.select(*keep, "title", F.posexplode(F.split(F.regexp_replace("text", f"(?:{LINE_END})$", ""), LINE_END)).alias("line", "raw"))
+    lines = docs.select(*keep, "title", F.split(F.regexp_replace("text", f"(?:{LINE_END})$", ""), LINE_END).alias("lines"))
     # what follows one mark or two or three in the first column, but no fourth
-    level = F.length(F.regexp_extract("raw", r"(?U)^(#{1,3})\s+(\S.*?)\s*$", 1))
-    heading = F.regexp_extract("raw", r"(?U)^(#{1,3})\s+(\S.*?)\s*$", 2)
-    marked = lines.select("*", level.alias("level"), F.when(level > 0, heading).alias("heading"))
-    text = (F.col("level") == 0) & (strip(F.col("raw")) != "")
-    # content since the last heading, as seen by the line
-    blocks = marked.withColumn("block", F.sum((F.col("level") > 0).cast("int")).over(own)).withColumn("has_text", text)
-    per_block = W.partitionBy("document_id", "block")
-    seen = blocks.withColumn("block_text", F.max("has_text").over(per_block))
-    before = seen.withColumn("prior", F.lag("block_text").over(own))
-    opens = F.when(F.col("level") >= 2, 1).when((F.col("level") == 1) & F.coalesce("prior", F.lit(False)), 1).otherwise(0)
-    titled = before.select(
-        "*",
-        F.sum(opens).over(own).alias("section"),
-        F.last(F.when(F.col("level") == 1, F.col("heading")), ignorenulls=True).over(own).alias("h1"),
-    )
-    current = F.coalesce("h1", "title")
-    named = titled.withColumn(
-        "name",
-        F.last(F.when(F.col("level") >= 2, F.concat(current, F.lit(" - "), F.col("heading"))).when(F.col("level") == 1, F.col("heading")), ignorenulls=True).over(own),
-    )
-    return (
-        named.where("level = 0")
-        .groupBy(*keep, "section", F.coalesce("name", "title").alias("title"))
-        .agg(F.array_sort(F.collect_list(F.struct("line", "raw"))).alias("rows"), F.max("has_text").alias("some"))
-        .where("some")
-        .select(*keep, "section", "title", strip(F.array_join(F.transform("rows", lambda r: r["raw"]), "\n")).alias("content"))
-    )
+    pattern = r"(?U)^(#{1,3})\s+(\S.*?)\s*$"
+    level = lambda line: F.when(line.startswith("#"), F.length(F.regexp_extract(line, pattern, 1))).otherwise(0)
+    first = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("level"), F.lit("").alias("heading"))
+    marked = F.transform("lines", lambda line, i: F.when(level(line) > 0, F.struct(i.alias("at"), level(line).alias("level"), F.regexp_extract(line, pattern, 2).alias("heading"))))
+    headed = lines.select(*keep, "title", "lines", F.concat(F.array(first), F.filter(marked, lambda x: x.isNotNull())).alias("heads"))
+    end = lambda i: F.coalesce(F.get("heads", i + 1)["at"], F.size("lines"))
+    rows = lambda x, i: F.slice("lines", x["at"] + 2, F.greatest(end(i) - x["at"] - 1, F.lit(0)))
+    block = lambda x, i: F.struct(x["level"].alias("level"), x["heading"].alias("heading"), strip(F.array_join(rows(x, i), "\n")).alias("content"))
+    blocks = headed.select(*keep, "title", F.transform("heads", block).alias("blocks"))
+    return blocks.select(*keep, F.inline(_opened_sections(F.col("blocks"), F.col("title"))))
 
 
 def split_text(text: str, most: int = 1200, overlap: int = 120) -> list[str]:

@@ -58,16 +58,23 @@ def status_lookup(requests: DataFrame, status: DataFrame) -> DataFrame:
     return joined.select("request_id", error.alias("error"), F.when(error.isNull(), status_text()).alias("text"))
 
 
-def status_asof(requests: DataFrame, feed: DataFrame, keys: list[str], value: str = "status", ttl: int = 30, stale: int = 300) -> DataFrame:
+def status_asof(requests: DataFrame, feed: DataFrame, keys: list[str], value: str = "status", ttl: int = 30, stale: int = 300, bucket: int = 3600) -> DataFrame:
     """For each request ``(request_id, *keys, ts)`` the newest row of ``feed (*keys, ts, value)`` at or before it.
 
     ``freshness``: fresh up to ``ttl`` seconds of age, stale up to ``stale``, else expired; missing without a
-    row. One shuffle: both sides are put in one line by time and each request takes the last value before.
+    row. Time is cut in buckets of ``bucket`` seconds, so that one key's line is many tasks' work: the last
+    row of each key and bucket, found before the shuffle, is carried forward to the next buckets that have
+    requests, and takes its place there as the oldest row; then each bucket is looked at by itself.
     """
-    both = requests.select(*keys, "ts", "request_id", F.lit(None).alias("_at"), F.lit(None).alias("_v"), F.lit(1).alias("_side")).unionByName(
-        feed.select(*keys, "ts", F.lit(None).alias("request_id"), F.col("ts").alias("_at"), F.col(value).alias("_v"), F.lit(0).alias("_side"))
-    )
-    own = W.partitionBy(*keys).orderBy("ts", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket).alias("_b")
+    known = feed.select(*keys, at, "ts", F.col(value).alias("_v"))
+    asked = requests.select(*keys, at, "ts", "request_id")
+    newest = known.groupBy(*keys, "_b").agg(F.max(F.struct("ts", "_v")).alias("_last")).withColumn("_asks", F.lit(False))
+    line = newest.unionByName(asked.select(*keys, "_b").distinct().withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+    earlier = W.partitionBy(*keys).orderBy("_b", F.desc("_asks")).rowsBetween(W.unboundedPreceding, -1)
+    carried = line.withColumn("_last", F.last("_last", ignorenulls=True).over(earlier)).where("_asks and _last is not null").select(*keys, "_b", "_last.ts", "_last._v")
+    both = known.unionByName(carried).withColumns({"_at": F.col("ts"), "_side": F.lit(0)}).unionByName(asked.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    own = W.partitionBy(*keys, "_b").orderBy("ts", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
     last = both.withColumn("_s", F.last(F.when(F.col("_side") == 0, F.struct("_at", "_v")), ignorenulls=True).over(own)).where("_side = 1")
     age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("_s._at").cast("timestamp"))
     kind = F.when(age.isNull(), "missing").when(age <= ttl * 1_000_000, "fresh").when(age <= stale * 1_000_000, "stale").otherwise("expired")

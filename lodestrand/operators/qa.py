@@ -51,7 +51,8 @@ def retrieve_with_retry(queries: DataFrame, chunks: DataFrame, search: Callable[
     first = cut(search(queries), "first-pass")
     graded = cut(queries.join(grade(queries, first, chunks), "query_id"), "graded")
     new = rewrite_query(F.col("query"))
-    again = graded.where("status = 'insufficient'").withColumn("new", new).where("new.changed").withColumn("query", F.col("new.query")).drop("new", "status", "reason")
+    # written first: a filter on a field of the rewriting would compute it once more for each field
+    again = cut(graded.where("status = 'insufficient'").withColumn("new", new), "rewritten").where("new.changed").withColumn("query", F.col("new.query")).drop("new", "status", "reason")
     again = cut(again, "again")
     second = cut(search(again), "second-pass")
     status = grade(again, second, chunks).select("query_id", F.col("status").alias("second"))
