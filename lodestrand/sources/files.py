@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,29 +73,77 @@ def write_eval_report(results: DataFrame, summary: DataFrame, out: str) -> None:
     summary.write.mode("overwrite").json(f"{out}/summary")
 
 
-def _versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+def _markers(spark: SparkSession, root: str) -> tuple:
+    """The file system of ``root`` and the folder of its version markers."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/published")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _claim(spark: SparkSession, root: str, version: int, text: str) -> bool:
+    """Create the marker of ``version`` with ``text``; False if another writer has it.
+
+    Creation is exclusive: by the name node or the object store, or by the operating system for local folders.
+    """
+    fs, folder = _markers(spark, root)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"v{version:09d}")
+    fs.mkdirs(folder)
+    if fs.getScheme() == "file":
+        try:
+            with open(path.toUri().getPath(), "x") as marker:
+                marker.write(text)
+        except FileExistsError:
+            return False
+        return True
     try:
-        rows = spark.read.schema("version int, folder string").json(f"{root}/published").collect()
-    except Exception as error:  # no index yet
-        if "PATH_NOT_FOUND" not in str(error):
+        stream = fs.create(path, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in error.java_exception.getClass().getName():
             raise
-        return []
-    return sorted((r["version"], r["folder"]) for r in rows)
+        return False
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers that writers have claimed, published or not."""
+    fs, folder = _markers(spark, root)
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n))
+
+
+def latest_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """The newest published version and its folder. A marker that its writer has not ended says nothing yet."""
+    fs, folder = _markers(spark, root)
+    jvm = spark.sparkContext._jvm
+    for version in reversed(versions(spark, root)):
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, f"v{version:09d}"))
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if text.endswith("\n"):
+            return version, text.strip()
+    return None
 
 
 def write_index(tables: Mapping[str, DataFrame], root: str) -> int:
-    """Write all tables of a new version, then publish it; readers see the old one until then."""
+    """Write all tables of a new version, then publish it; readers see the old one until then.
+
+    Tables go to a folder of their own name first. Publishing is one exclusive creation of the next number's
+    marker, which names the folder: of two writers at once one takes the number and the other the next one, and
+    a version is never read before its tables are whole.
+    """
     spark = next(iter(tables.values())).sparkSession
-    version = max((v for v, _ in _versions(spark, root)), default=0) + 1
-    folder = f"version={version}-{uuid.uuid4().hex[:8]}"
+    folder = f"tables-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{root}/{folder}/{name}")
-    spark.createDataFrame([(version, folder)], "version int, folder string").coalesce(1).write.mode("append").json(f"{root}/published")
+    version = max(versions(spark, root), default=0) + 1
+    while not _claim(spark, root, version, f"{folder}\n"):
+        version += 1
     return version
 
 
 def read_latest_index(spark: SparkSession, root: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    versions = _versions(spark, root)
-    if not versions:
+    found = latest_version(spark, root)
+    if found is None:
         raise FileNotFoundError(f"no index is published in {root}")
-    return {n: spark.read.parquet(f"{root}/{versions[-1][1]}/{n}") for n in names}
+    return {n: spark.read.parquet(f"{root}/{found[1]}/{n}") for n in names}

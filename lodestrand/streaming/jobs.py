@@ -5,36 +5,85 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lodestrand.operators.ingest import ingest_uploads
+from lodestrand.operators.ingest import admit, ingested, judge_uploads
+from lodestrand.session import cut
+from lodestrand.sources.files import latest_version, write_index
 
 
-def stream_ingest(uploads: DataFrame, out: str, checkpoint: str, registry_schema: str = "store string, document_id string, size_bytes long, sha256 string") -> StreamingQuery:
-    """Validate, deduplicate against the registry and chunk each micro-batch of ``uploads``.
+STORES = "store string, docs long, bytes long"
 
-    Documents, rejects and chunks of batch n are written to ``batch=n`` folders, so a repeated batch
-    replaces its own output; the registry of a batch is what earlier ones accepted.
+
+def mark_known(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """State function of one content of one store: its rows of a batch, ``known`` if a batch before offered the content."""
+    known = state.exists
+    for frame in frames:
+        if not known and not state.exists and frame["reason"].isna().any():
+            state.update((int(frame["arrival_seq"].min()),))
+        yield frame.assign(known=known)
+
+
+def stream_ingest(uploads: DataFrame, out: str, checkpoint: str, registry: DataFrame | None = None) -> StreamingQuery:
+    """Validate, deduplicate and chunk each micro-batch of ``uploads`` against all batches before it.
+
+    Rows are judged by themselves first. Contents seen before are in the stream's state store, keyed by store and
+    hash, so a batch reads no earlier document; ``out/stores`` has each store's documents and bytes after every batch
+    that touched it. A content that was refused for quota stays refused, as stores only grow, so it may count as seen.
+    Documents, rejects and chunks of batch n go to ``batch=n`` folders, which a repeated batch replaces; it starts from
+    the state and the totals of the batches before it. ``registry`` holds what stores have before the first batch.
     """
+    spark = uploads.sparkSession
+    if registry is None:
+        registry = spark.createDataFrame([], "store string, size_bytes long, sha256 string")
+    registry.groupBy("store").agg(F.count("*").alias("docs"), F.sum("size_bytes").alias("bytes")).write.mode("ignore").parquet(f"{out}/stores/batch=-1")
+    held = registry.select("store", "sha256", F.lit(True).alias("_held")).distinct()
+    judged = judge_uploads(uploads).join(held, ["store", "sha256"], "left").withColumn("_held", F.coalesce("_held", F.lit(False)))
+    # a row that is refused by itself is no content: it has a key of its own
+    content = F.when(F.col("reason").isNull(), F.col("sha256")).otherwise(F.concat(F.lit("row "), F.col("arrival_seq")))
+    keyed = judged.withColumn("content", content)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema) + ", known boolean"
+    marked = keyed.groupBy("store", "content").applyInPandasWithState(mark_known, shape, "first long", "update", "NoTimeout")
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.persist()
-        empty = spark.createDataFrame([], registry_schema)
-        try:
-            known = spark.read.parquet(f"{out}/documents").where(F.col("batch") != batch_id).select(*empty.columns)
-        except Exception as error:  # nothing accepted yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            known = empty
-        documents, rejects, chunks = ingest_uploads(rows, known)
-        for name, df in (("rejects", rejects), ("chunks", chunks), ("documents", documents)):
+        own = cut(rows.withColumn("known", F.col("known") | F.col("_held")).drop("_held", "content"), "batch")  # the state is asked once
+        stores = own.sparkSession.read.schema(f"{STORES}, batch long").parquet(f"{out}/stores").where(F.col("batch") < batch_id)
+        used = stores.groupBy("store").agg(F.max_by(F.struct("docs", "bytes"), "batch").alias("s")).select("store", "s.docs", "s.bytes")
+        quota = admit(own.where("reason is null").select("store", "arrival_seq", "size_bytes", "sha256", "known"), used)
+        late = quota.select("store", "arrival_seq", F.col("reason").alias("late"))
+        final = cut(own.join(late, ["store", "arrival_seq"], "left").withColumn("reason", F.coalesce("reason", "late")).drop("late", "known"), "batch")
+        documents, rejects, chunks = ingested(final)
+        new = documents.groupBy("store").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("more"))
+        zero = F.lit(0).cast("long")
+        totals = new.join(used, "store", "left").select("store", (F.coalesce("docs", zero) + F.col("n")).alias("docs"), (F.coalesce("bytes", zero) + F.col("more")).alias("bytes"))
+        for name, df in (("rejects", rejects), ("chunks", chunks), ("documents", documents), ("stores", totals)):
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
-        rows.unpersist()
 
-    return uploads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return marked.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+INGESTED = ("documents", "rejects", "chunks")
+
+
+def compact_ingested(spark: SparkSession, out: str, upto: int) -> int:
+    """Publish the batches up to ``upto`` as one version of large files below ``out/compacted``.
+
+    Batch folders stay until their owner removes them; :func:`read_ingested` does not look at those that a version covers.
+    """
+    tables = {n: spark.read.option("basePath", f"{out}/{n}").parquet(f"{out}/{n}").where(F.col("batch") <= upto).drop("batch") for n in INGESTED}
+    return write_index({**{n: df.repartition(max(1, df.rdd.getNumPartitions() // 8)) for n, df in tables.items()}, "upto": spark.range(1).select(F.lit(upto).alias("upto"))}, f"{out}/compacted")
+
+
+def read_ingested(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """Documents, rejects and chunks of all batches: the latest compacted version and what came after it."""
+    found = latest_version(spark, f"{out}/compacted")
+    if found is None:
+        return {n: spark.read.parquet(f"{out}/{n}").drop("batch") for n in INGESTED}
+    old = {n: spark.read.parquet(f"{out}/compacted/{found[1]}/{n}") for n in (*INGESTED, "upto")}
+    upto = old["upto"].first()["upto"]
+    return {n: old[n].unionByName(spark.read.parquet(f"{out}/{n}").where(F.col("batch") > upto).drop("batch")) for n in INGESTED}
 
 
 STATE = "turns array<bigint>, roles array<string>, texts array<string>"
