@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,15 +35,30 @@ FACT_RULES = (
     ("截止日期", r"截止日期|截止到哪|哪一天截止|什么时候截止", r"(?:\d{4}[-年/.])?\d{1,2}[-月/.]\d{1,2}日?"),
     ("具体楼栋或房间号", r"房间号|楼栋|具体地址|哪些房间|具体有哪些房间", r"(?:[A-Za-z]?\d{2,4}\s*室)|(?:\d+\s*号?楼)"),
 )
-WEEKDAYS = {
-    "周一": ("周一", "星期一", "monday"),
-    "周二": ("周二", "星期二", "tuesday"),
-    "周三": ("周三", "星期三", "wednesday"),
-    "周四": ("周四", "星期四", "thursday"),
-    "周五": ("周五", "星期五", "friday"),
-    "周六": ("周六", "星期六", "saturday"),
-    "周日": ("周日", "星期日", "星期天", "sunday"),
-}
+WEEKDAYS = (
+    ("周一", "周一"),
+    ("星期一", "周一"),
+    ("monday", "周一"),
+    ("周二", "周二"),
+    ("星期二", "周二"),
+    ("tuesday", "周二"),
+    ("周三", "周三"),
+    ("星期三", "周三"),
+    ("wednesday", "周三"),
+    ("周四", "周四"),
+    ("星期四", "周四"),
+    ("thursday", "周四"),
+    ("周五", "周五"),
+    ("星期五", "周五"),
+    ("friday", "周五"),
+    ("周六", "周六"),
+    ("星期六", "周六"),
+    ("saturday", "周六"),
+    ("周日", "周日"),
+    ("星期日", "周日"),
+    ("星期天", "周日"),
+    ("sunday", "周日"),
+)
 SERVICES = (
     ("校园卡服务中心", "campus_card"),
     ("校园卡", "campus_card"),
@@ -162,16 +177,14 @@ def extract_claims(answer: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(answer, F.lit(CLAIM), F.lit(0))))
 
 
-def normalize_weekday(text: Column, weekdays: Mapping[str, Sequence[str]] = WEEKDAYS) -> Column:
+def normalize_weekday(text: Column, weekdays: Sequence[tuple[str, str]] = WEEKDAYS) -> Column:
     """The weekday that an alias stands for; null if it is none."""
-    cleaned = F.lower(strip(text))
-    return F.coalesce(*(F.when(cleaned.isin(*names), F.lit(day)) for day, names in weekdays.items()))
+    return F.element_at(F.create_map(*(F.lit(x) for pair in weekdays for x in pair)), F.lower(strip(text)))
 
 
-def extract_weekday(text: Column, weekdays: Mapping[str, Sequence[str]] = WEEKDAYS) -> Column:
+def extract_weekday(text: Column, weekdays: Sequence[tuple[str, str]] = WEEKDAYS) -> Column:
     """The weekday whose alias a text contains; longer aliases first."""
-    pairs = [(alias, day) for day, names in weekdays.items() for alias in names]
-    return first_of(F.lower(text), sorted(pairs, key=lambda p: -len(p[0])))
+    return first_of(F.lower(text), sorted(weekdays, key=lambda pair: -len(pair[0])))
 
 
 def extract_service_code(text: Column, services: Sequence[tuple[str, str]] = SERVICES) -> Column:

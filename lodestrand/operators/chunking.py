@@ -88,17 +88,17 @@ def split_long(most: int = 1200, overlap: int = 120):
     return split
 
 
-def build_chunks(docs: DataFrame, most: int = 1200, overlap: int = 120) -> DataFrame:
+def build_chunks(docs: DataFrame, most: int = 1200, overlap: int = 120, prefix: str = "document_id") -> DataFrame:
     """Chunks of Markdown documents ``(document_id, source_name, title, text)``; other columns are kept as metadata.
 
-    ``chunk_id`` is "document-section-part", ``source`` is "name#title" and ``chunk_index`` is
-    section * 1000 + part. Lines are stripped and blank ones dropped.
+    ``chunk_id`` is "document-section-part" (of the built-in corpus "title-section-part": ``prefix`` names the column),
+    ``source`` is "name#title" and ``chunk_index`` is section * 1000 + part. Lines are stripped and blank ones dropped.
     """
-    sections = split_sections(docs)
+    sections = split_sections(docs.withColumn("_prefix", F.col(prefix)))
     clean = F.array_join(F.filter(F.transform(F.split("content", LINE_END), strip), lambda x: x != ""), "\n")
     parts = sections.withColumn("content", clean).select("*", F.posexplode(split_long(most, overlap)("content")).alias("part", "piece"))
     return parts.select(
-        F.concat_ws("-", "document_id", "section", "part").alias("chunk_id"), "title", F.col("piece").alias("content"),
+        F.concat_ws("-", "_prefix", "section", "part").alias("chunk_id"), "title", F.col("piece").alias("content"),
         F.concat("source_name", F.lit("#"), "title").alias("source"), (F.col("section") * 1000 + F.col("part")).cast("int").alias("chunk_index"),
-        *(c for c in sections.columns if c not in ("section", "title", "content")),
+        *(c for c in sections.columns if c not in ("section", "title", "content", "_prefix")),
     )

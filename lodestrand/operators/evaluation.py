@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import casefold, is_safe_abstention, strip
-from lodestrand.operators.retrieval import FILTER_KEYS, answer, channels, matches_filter, normalize_filters, retrieve, rrf_fuse
+from lodestrand.functions.text import casefold, is_safe_abstention, rewrite_query, strip
+from lodestrand.operators.filters import FILTER_KEYS, matches_filter, normalize_filters
+from lodestrand.operators.lexical import bm25_search, build_postings
+from lodestrand.operators.nearest import vector_search
+from lodestrand.operators.qa import KNOWLEDGE, grade, outcome, trace_events, verify
+from lodestrand.operators.retrieval import NO_ANSWER, answer, as_hits, channels, open_vectors, pins_of, rrf_fuse, unusable_vector
 from lodestrand.session import cut
 
 TASKS = ("retrieval", "metadata", "agentic")
@@ -54,56 +63,86 @@ def parse_cases(lines: DataFrame) -> DataFrame:
     return rows.select(*(c for c in rows.columns if c not in ("json", "keys", "retrieval_expectation")), derived.alias("retrieval_expectation"), error.alias("error"))
 
 
-def _issue(rows: DataFrame, message: Column | str) -> DataFrame:
-    text = F.lit(message) if isinstance(message, str) else message
-    return rows.select(F.col("id").alias("case_id"), text.alias("message"), "source_file", "source_line")
+#: What validation needs to know of a labelled chunk.
+_TRUTH = ("chunk_id", "title", "content", *FILTER_KEYS)
+
+
+def _labelled(cases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(id, source_file, source_line, labels)``: the chunk and document labels of each case with what the corpus has of them.
+
+    Chunks are read once; each gives its own key and its document's, and only keys that some label names go on.
+    """
+    place = ["id", "source_file", "source_line"]
+    keys = F.concat(F.transform("chunks", lambda x: F.concat(F.lit("c:"), x)), F.transform("docs", lambda x: F.concat(F.lit("d:"), x)))
+    labels = cases.select(*place, F.posexplode(keys).alias("at", "key"))
+    truth = F.struct(*_TRUTH)
+    own = F.array(F.struct(F.concat(F.lit("c:"), "chunk_id").alias("key"), truth.alias("truth")), F.struct(F.concat(F.lit("d:"), "document_id").alias("key"), F.lit(None).alias("truth")))
+    named = chunks.select(*_TRUTH).select(F.inline(own)).join(labels.select("key").distinct(), "key", "left_semi")
+    known = named.groupBy("key").agg(F.first("truth", ignorenulls=True).alias("truth"), F.lit(True).alias("found"))
+    row = F.struct("at", F.substring("key", 1, 1).alias("kind"), F.expr("substring(key, 3)").alias("name"), F.coalesce("found", F.lit(False)).alias("found"), "truth")
+    return labels.join(known, "key", "left").groupBy(*place).agg(F.array_sort(F.collect_list(row), lambda x, y: x["at"] - y["at"]).alias("labels"))
 
 
 def validate_cases(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Issues ``(case_id, message, source_file, source_line)`` of parsed cases against the corpus; a branch for each rule, all of joins and windows."""
+    """Issues ``(case_id, message, source_file, source_line)`` of parsed cases against the corpus.
+
+    Labels meet the corpus in one join; then every rule is an expression over the case's own row and gives an
+    array of messages. Cases and chunks are read once each.
+    """
     none = F.array().cast("array<string>")
+    no_filters = F.create_map().cast("map<string,string>")
     e = cases.select(
         "id", "task", "query", "agentic", F.coalesce("tags", none).alias("tags"), "source_file", "source_line",
-        F.coalesce("request.filters", F.create_map().cast("map<string,string>")).alias("filters"), "expected.answerable", "expected.domain", "expected.category",
+        F.coalesce("request.filters", no_filters).alias("filters"), "expected.answerable", "expected.domain", "expected.category",
         F.coalesce("expected.relevant_chunk_ids", none).alias("chunks"), F.coalesce("expected.relevant_document_ids", none).alias("docs"),
         F.coalesce("expected.required_facts", none).alias("required"), F.coalesce("expected.forbidden_facts", none).alias("forbidden"),
     ).withColumn("nf", normalize_filters(F.col("filters")))
-    order = ["source_file", "source_line"]
-    entries = F.to_json(F.array_sort(F.map_entries("filters")))
-    again = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(*order)) > 1
-    numbered = e.withColumn("fkey", entries).withColumn("qkey", casefold(F.col("query")))
-    modes = F.size(F.array_intersect("tags", F.array(F.lit("retrieval_no_hit"), F.lit("missing_fact"))))
-    labels = e.select("*", F.explode("chunks").alias("chunk_id")).join(chunks.select("chunk_id", "title", "content", *(F.col(k).alias(f"c_{k}") for k in FILTER_KEYS)), "chunk_id", "left")
-    known = labels.where("c_document_id is not null")
-    fields = known.select("*", *(F.element_at(F.coalesce("nf.filters", F.create_map().cast("map<string,string>")), k).alias(f"f_{k}") for k in FILTER_KEYS))
+    e = cut(e, "cases")
+    again = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("source_file", "source_line")) > 1
+    numbered = e.withColumn("fkey", F.to_json(F.array_sort(F.map_entries("filters")))).withColumn("qkey", casefold(F.col("query")))
+    marked = numbered.withColumns({"same_id": again("id"), "same_query": again("qkey", "fkey")})
     place = ["id", "source_file", "source_line"]
-    evidence = known.groupBy(*place).agg(casefold(F.concat_ws("\n", F.collect_list(F.concat_ws("\n", "title", "content")))).alias("evidence"))
-    facts = e.select(*place, F.explode("required").alias("fact")).join(evidence, place, "left").where(~F.coalesce(F.col("evidence").contains(casefold(F.col("fact"))), F.lit(False)))
+    rows = marked.join(_labelled(e, chunks), place, "left")
+    labels = F.coalesce("labels", F.filter("labels", lambda x: F.lit(False)))
+    known = F.filter(labels, lambda x: (x["kind"] == "c") & x["found"])
+    rows = rows.withColumns({"known": known, "evidence": casefold(F.array_join(F.transform(known, lambda x: F.concat_ws("\n", x["truth"]["title"], x["truth"]["content"])), "\n"))})
+    asked = F.coalesce("nf.filters", no_filters)
+
+    def passes(x: Column) -> Column:
+        own = lambda k: F.element_at(asked, k)
+        return reduce(lambda a, b: a & b, (own(k).isNull() | (own(k) == x["truth"][k]) for k in FILTER_KEYS[:-1]), F.coalesce(own("visibility"), F.lit("public")) == x["truth"]["visibility"])
+
+    def each(items: Column, name: str, value=lambda x: x) -> Column:
+        return F.coalesce(F.transform(items, lambda x: F.concat(F.lit(name), value(x))), none)
+
+    one = lambda cond, message: F.when(F.coalesce(cond, F.lit(False)), F.array(F.lit(message) if isinstance(message, str) else message)).otherwise(none)
+    name = lambda x: x["name"]
+    lost = lambda kind: F.filter(labels, lambda x: (x["kind"] == kind) & ~x["found"])
+    differs = lambda key: F.filter("known", lambda x: (F.col(key) != "") & (F.col(key) != x["truth"][key]))
+    modes = F.size(F.array_intersect("tags", F.array(F.lit("retrieval_no_hit"), F.lit("missing_fact"))))
     both = F.array_intersect(F.transform("required", casefold), F.transform("forbidden", casefold))
-    doc_ids = chunks.select("document_id").distinct()
-    lost = e.select(*place, F.explode("docs").alias("document_id")).join(doc_ids, "document_id", "left_anti")
-    outside = known.where(~F.array_contains("docs", F.col("c_document_id"))).select(*place).distinct()
+    answerable, agentic = F.col("answerable"), F.col("task") == "agentic"
     rules = [
-        _issue(numbered.withColumn("x", again("id")).where("x"), "duplicate_id"),
-        _issue(numbered.withColumn("x", again("qkey", "fkey")).where("x"), "duplicate_query"),
-        _issue(e.where("answerable and size(chunks) = 0"), "no_relevant_chunks"),
-        _issue(e.where("answerable and size(docs) = 0"), "no_relevant_documents"),
-        _issue(e.where("not answerable and (size(chunks) > 0 or size(docs) > 0)"), "labels_on_unanswerable"),
-        _issue(e.where(~F.col("answerable") & (modes != 1)), "negative_mode"),
-        _issue(labels.where("c_document_id is null"), F.concat(F.lit("unknown_chunk:"), "chunk_id")),
-        _issue(lost, F.concat(F.lit("unknown_document:"), "document_id")),
-        _issue(outside, "chunk_document_mismatch"),
-        _issue(e.where("nf.error is not null"), F.concat(F.lit("bad_filter:"), "nf.error")),
-        _issue(fields.where(~matches_filter("c_")), F.concat(F.lit("filtered_out:"), "chunk_id")),
-        _issue(known.where("domain != '' and domain != c_domain"), F.concat(F.lit("domain_mismatch:"), "chunk_id")),
-        _issue(known.where("category != '' and category != c_category"), F.concat(F.lit("category_mismatch:"), "chunk_id")),
-        _issue(facts, F.concat(F.lit("fact_not_in_truth:"), "fact")),
-        _issue(e.where(F.size(both) > 0), F.concat(F.lit("fact_conflict:"), F.array_join(F.array_sort(both), ","))),
-        _issue(e.where("size(tags) = 0"), "no_tags"),
-        _issue(e.where("task = 'agentic' and agentic.rewrite_expected = 'false' and size(agentic.rewritten_query_contains) > 0"), "rewrite_terms_unexpected"),
-        _issue(e.where("task = 'agentic' and agentic.max_retrieval_attempts > 2"), "too_many_attempts"),
+        one(F.col("same_id"), "duplicate_id"),
+        one(F.col("same_query"), "duplicate_query"),
+        one(answerable & (F.size("chunks") == 0), "no_relevant_chunks"),
+        one(answerable & (F.size("docs") == 0), "no_relevant_documents"),
+        one(~answerable & ((F.size("chunks") > 0) | (F.size("docs") > 0)), "labels_on_unanswerable"),
+        one(~answerable & (modes != 1), "negative_mode"),
+        each(lost("c"), "unknown_chunk:", name),
+        each(lost("d"), "unknown_document:", name),
+        one(F.exists("known", lambda x: ~F.array_contains("docs", x["truth"]["document_id"])), "chunk_document_mismatch"),
+        one(F.col("nf.error").isNotNull(), F.concat(F.lit("bad_filter:"), "nf.error")),
+        each(F.filter("known", lambda x: ~passes(x)), "filtered_out:", name),
+        each(differs("domain"), "domain_mismatch:", name),
+        each(differs("category"), "category_mismatch:", name),
+        each(F.filter("required", lambda f: (F.size("known") == 0) | ~F.col("evidence").contains(casefold(f))), "fact_not_in_truth:"),
+        one(F.size(both) > 0, F.concat(F.lit("fact_conflict:"), F.array_join(F.array_sort(both), ","))),
+        one(F.size("tags") == 0, "no_tags"),
+        one(agentic & (F.col("agentic.rewrite_expected") == "false") & (F.size("agentic.rewritten_query_contains") > 0), "rewrite_terms_unexpected"),
+        one(agentic & (F.col("agentic.max_retrieval_attempts") > 2), "too_many_attempts"),
     ]
-    return reduce(DataFrame.unionByName, rules)
+    return rows.select(F.col("id").alias("case_id"), F.explode(F.flatten(F.array(*rules))).alias("message"), "source_file", "source_line")
 
 
 def score_cases(cases: DataFrame, hits: DataFrame, chunks: DataFrame, answers: DataFrame, filters: DataFrame, k: int = 3) -> DataFrame:
@@ -338,14 +377,164 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
     )
 
 
-def run_evaluation(cases: DataFrame, queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame | None, strategies: tuple[str, ...] = ("bm25", "vector", "hybrid"), k: int = 3, split: str | None = None, least: float = 0.22, dim: int = 512) -> DataFrame:
-    """Case results of every strategy and case; the number of strategies is fixed, so each is one plan of the union."""
-    chosen = cases.where(F.col("split") == split) if split else cases
-    asked = queries.join(chosen.select(F.col("case_id").alias("query_id")), "query_id", "left_semi")
-    out = []
-    for name in strategies:
-        deep = retrieve(asked, chunks, postings, filters, vectors, name, 20, least, dim)
-        answers = answer(asked, deep, chunks).select(F.lit(name).alias("strategy"), F.col("query_id").alias("case_id"), "answer", F.lit(0.0).alias("duration_ms"))
-        hits = deep.select(F.lit(name).alias("strategy"), F.col("query_id").alias("case_id"), "chunk_id", "rank")
-        out.append(score_cases(chosen, hits, chunks, answers, filters, k))
-    return reduce(DataFrame.unionByName, out)
+STRATEGIES = ("bm25", "vector", "hybrid")
+
+
+def _timed(df: DataFrame, name: str) -> tuple[DataFrame, float]:
+    """``df`` written to the shared folder, and the milliseconds that took."""
+    start = time.perf_counter()
+    return cut(df, name), 1000 * (time.perf_counter() - start)
+
+
+def _asked(cases: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Queries of cases with ``fetch``, how many hits the case needs, and ``own``, how deep its ranked lists go."""
+    depth = cases.select(F.col("case_id").alias("query_id"), F.greatest("top_k", F.lit(k)).alias("fetch"))
+    return queries.join(depth, "query_id").withColumn("own", F.greatest(F.lit(20), 4 * F.col("fetch")))
+
+
+def search_strategies(asked: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame | None, strategies: tuple[str, ...], least: float, dim: int) -> tuple[DataFrame, dict[str, float]]:
+    """Hits ``(strategy, query_id, chunk_id, rank, lexical_score, vector_score)`` and the milliseconds each strategy's searches took.
+
+    Each channel is searched once, as deep as the deepest query needs, and serves all strategies; every query then takes
+    its own depth of the lists. Queries without a usable vector fall back to BM25.
+    """
+    deep = asked.agg(F.max("own")).first()[0] or 20
+    usable = ~unusable_vector(F.col("vector"), dim) if vectors is not None and "vector" in asked.columns else F.lit(False)
+    good, bad = asked.where(usable), asked.where(~usable).select("query_id")
+    within = lambda ranked, name: ranked.join(asked.select("query_id", name), "query_id").where(F.col("rank") <= F.col(name)).drop(name)
+    lexical, lexical_ms = _timed(bm25_search(asked, chunks, postings, filters, deep), "lexical")
+    plain = as_hits(within(lexical, "fetch"), "bm25")
+    fallback = plain.join(bad, "query_id", "left_semi")
+    ranked, spent = {"bm25": plain, "vector": fallback, "hybrid": fallback}, dict.fromkeys(STRATEGIES, lexical_ms)
+    if vectors is not None and {"vector", "hybrid"} & set(strategies):
+        near, near_ms = _timed(vector_search(good, open_vectors(vectors, chunks, filters), deep, least), "near")
+        ranked["vector"], spent["vector"] = as_hits(within(near, "fetch"), "vector").unionByName(fallback), near_ms
+        if "hybrid" in strategies:
+            words, alike = within(lexical, "own").join(good.select("query_id"), "query_id", "left_semi"), within(near, "own")
+            fused, fused_ms = _timed(rrf_fuse(words, alike, deep, pins=pins_of(good, chunks, words, alike)), "fused")
+            ranked["hybrid"], spent["hybrid"] = within(fused, "fetch").unionByName(fallback), lexical_ms + near_ms + fused_ms
+    columns = ("query_id", "chunk_id", "rank", "lexical_score", "vector_score")
+    return cut(reduce(DataFrame.unionByName, (ranked[s].select(F.lit(s).alias("strategy"), *columns) for s in strategies)), "hits"), spent
+
+
+def _scored(cases: DataFrame, asked: DataFrame, hits: DataFrame, final: DataFrame, spent: dict[str, float], chunks: DataFrame, filters: DataFrame, k: int) -> DataFrame:
+    """Case results of ``final`` hits; answers are those of the first search."""
+    n = max(cases.count(), 1)
+    told = lambda s: answer(asked, hits.where(F.col("strategy") == s), chunks).select(F.lit(s).alias("strategy"), F.col("query_id").alias("case_id"), "answer", F.lit(spent[s] / n).alias("duration_ms"))
+    answers = reduce(DataFrame.unionByName, map(told, spent))
+    return score_cases(cases, final.select("strategy", F.col("query_id").alias("case_id"), "chunk_id", "rank"), chunks, answers, filters, k)
+
+
+def run_evaluation(cases: DataFrame, queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame | None, strategies: tuple[str, ...] = STRATEGIES, k: int = 3, split: str | None = None, least: float = 0.22, dim: int = 512) -> DataFrame:
+    """Case results of every strategy and case.
+
+    ``duration_ms`` is the measured time of the searches that a strategy rests on, in equal shares of the cases.
+    """
+    chosen = cut(cases.where(F.col("split") == split) if split else cases, "cases")
+    asked = cut(_asked(chosen, queries, k), "asked")
+    hits, spent = search_strategies(asked, chunks, postings, filters, vectors, strategies, least, dim)
+    return _scored(chosen, asked, hits, hits, {s: spent[s] for s in strategies}, chunks, filters, k)
+
+
+def agentic_passes(asked: DataFrame, hits: DataFrame, chunks: DataFrame, strategies: tuple[str, ...], again: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Final hits of agentic cases after at most two passes of each strategy, and how they went.
+
+    Queries whose hits a strategy grades insufficient are rewritten; those that this changes are searched once more,
+    by ``again``, all at once. The passes are ``(strategy, case_id, final_query, rewritten, initial_status, status,
+    verification, attempts, events)``; the answer that is verified is the best hit's text.
+    """
+    by = lambda df: df.withColumn("query_id", F.struct("strategy", "query_id"))
+    apart = lambda df: df.withColumn("strategy", F.col("query_id.strategy")).withColumn("query_id", F.col("query_id.query_id"))
+    keyed = cut(by(asked.select("query_id", "query", F.explode(F.array(*map(F.lit, strategies))).alias("strategy"))), "agentic")
+    first = by(hits.join(asked.select("query_id"), "query_id", "left_semi"))
+    graded = cut(keyed.join(grade(keyed, first, chunks), "query_id").withColumnRenamed("status", "initial_status"), "graded")
+    tried = cut(graded.where("initial_status = 'insufficient'").withColumn("new", rewrite_query(F.col("query"))), "rewritten")
+    changed = tried.where("new.changed").select("query_id", F.col("new.query").alias("query"))
+    once = apart(changed).select("query_id", "query").distinct().join(asked.drop("query", "vector"), "query_id")
+    second = cut(by(again(once)).join(changed.select("query_id"), "query_id", "left_semi"), "second-pass")
+    final = cut(first.join(changed.select("query_id"), "query_id", "left_anti").unionByName(second), "final")
+    late = grade(changed, second, chunks).select("query_id", F.col("status").alias("second"))
+    went = graded.join(changed.withColumnRenamed("query", "final_query"), "query_id", "left").join(late, "query_id", "left").select(
+        "query_id", F.coalesce("final_query", "query").alias("final_query"), F.col("final_query").isNotNull().alias("rewritten"), "initial_status",
+        F.coalesce("second", "initial_status").alias("status"), F.when(F.col("final_query").isNotNull(), 2).otherwise(1).alias("attempts"),
+    )
+    texts = final.join(chunks.select("chunk_id", "title", "content"), "chunk_id")
+    best = texts.where("rank = 1").select("query_id", "chunk_id", F.concat("title", F.lit("："), "content").alias("answer"))
+    answers = went.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("answer", F.lit(NO_ANSWER.split("，")[0] + "。")).alias("answer"))
+    found = texts.groupBy("query_id").agg(F.collect_list(F.struct("chunk_id", "content")).alias("hits"))
+    results = answers.join(found, "query_id", "left").select("query_id", F.lit(KNOWLEDGE).alias("tool_name"), F.lit(True).alias("ok"), F.col("answer").alias("output"), "hits")
+    verdict = verify(answers, results, best.select("query_id", "chunk_id")).select("query_id", outcome(F.col("status")).alias("verification"))
+    whole = cut(went.join(verdict, "query_id").join(trace_events(went).select("query_id", "events"), "query_id"), "passes")
+    return apart(final), apart(whole).withColumnRenamed("query_id", "case_id")
+
+
+def case_rows(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases in the flat shape that scoring takes, and the distinct filters ``(filter_id, ...)`` that they ask for."""
+    none = F.array().cast("array<string>")
+    no_filters = F.create_map().cast("map<string,string>")
+    asked = F.coalesce(normalize_filters(F.coalesce("request.filters", no_filters))["filters"], no_filters)
+    rows = parsed.withColumn("_f", F.struct(*(F.element_at(asked, k).alias(k) for k in FILTER_KEYS))).withColumn("filter_id", F.sha2(F.to_json("_f"), 256))
+    flat = rows.select(
+        F.col("id").alias("case_id"), "task", "split", "query", F.coalesce("tags", none).alias("tags"), "difficulty", "request.top_k", "filter_id", "expected.answerable",
+        F.col("expected.domain").alias("expected_domain"), F.coalesce("expected.relevant_chunk_ids", none).alias("expected_chunk_ids"),
+        F.coalesce("expected.relevant_document_ids", none).alias("expected_document_ids"), F.coalesce("expected.required_facts", none).alias("required_facts"),
+        F.coalesce("expected.forbidden_facts", none).alias("forbidden_facts"),
+    )
+    return flat, rows.select("filter_id", "_f.*").distinct()
+
+
+class EvaluationRun(NamedTuple):
+    """What a run gives: case results, their summary, and the configuration with the fingerprints of what went in."""
+
+    results: DataFrame
+    summary: DataFrame
+    configuration: dict
+
+
+def evaluate(parsed: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column] | None, dim: int, model: str, strategies: tuple[str, ...] = STRATEGIES, split: str | None = None, k: int = 3, validate: bool = True, least: float = 0.22) -> EvaluationRun:
+    """Validate parsed cases, run every strategy over them and sum up; agentic cases go in two passes.
+
+    Unknown strategies, no cases, cases that break a parsing rule and, unless ``validate`` is false, cases that do not fit
+    the corpus are errors that name the first few.
+    """
+    wanted = tuple(dict.fromkeys(strategies))
+    if not wanted or set(wanted) - set(STRATEGIES):
+        raise ValueError(f"strategies are {STRATEGIES}, not {strategies}")
+    if k < 1:
+        raise ValueError("k is 1 at least")
+    chosen = cut(parsed.where(F.col("split") == split) if split else parsed, "parsed")
+    if chosen.isEmpty():
+        raise ValueError("no case is left to run")
+    broken = chosen.where("error is not null").select(F.col("id").alias("case_id"), F.col("error").alias("message"), "source_file", "source_line")
+    issues = broken.unionByName(validate_cases(chosen, chunks)) if validate else broken
+    first = issues.orderBy("source_file", "source_line", "message").limit(5).collect()
+    if first:
+        raise ValueError("; ".join(f"{r.source_file}:{r.source_line}: {r.case_id}: {r.message}" for r in first))
+    cases, filters = case_rows(chosen)
+    cases, chunks = cut(cases, "cases"), cut(chunks, "chunks")
+    with_vector = lambda df: df if embed is None else df.withColumn("vector", embed(F.col("query")))
+    vectors = None if embed is None else cut(chunks.select("chunk_id", embed(F.concat_ws("\n", "title", "title", "content")).alias("vector")), "vectors")
+    postings, filters = cut(build_postings(chunks), "postings"), cut(filters, "filters")
+    search = lambda df: search_strategies(df, chunks, postings, filters, vectors, wanted, least, dim)
+    asked = cut(with_vector(_asked(cases, cases.select(F.col("case_id").alias("query_id"), "query", "filter_id"), k)), "asked")
+    hits, spent = search(asked)
+    spent = {s: spent[s] for s in wanted}
+    own = chosen.where("task = 'agentic'").select(F.col("id").alias("case_id"), "agentic.*")
+    if own.isEmpty():
+        results = _scored(cases, asked, hits, hits, spent, chunks, filters, k)
+    else:
+        agents = own.select(F.col("case_id").alias("query_id"))
+        final, passes = agentic_passes(asked.join(agents, "query_id", "left_semi"), hits, chunks, wanted, lambda df: search(cut(with_vector(df), "again"))[0])
+        final = hits.join(agents, "query_id", "left_anti").unionByName(final)
+        results = score_agentic(_scored(cases, asked, hits, final, spent, chunks, filters, k), own, passes)
+    results = cut(results, "results")
+    mark = lambda df, key: fingerprint(df, key).first()["fingerprint"]
+    settings = {
+        "evaluation": {"metric_k": k, "strategies": list(wanted), "selected_split": split or "all", "case_top_k_values": sorted(r[0] for r in cases.select("top_k").distinct().collect()), "dataset_validation": validate},
+        "retrieval": {"vector": {"model": model if embed else None, "dim": dim, "minimum_similarity": least}},
+    }
+    configuration = {
+        "configuration": settings, "configuration_fingerprint": hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest(), "case_count": cases.count(),
+        "corpus_fingerprint": mark(chunks, "chunk_id"), "dataset_fingerprint": mark(chosen.drop("source_file", "source_line", "error"), "id"),
+    }
+    return EvaluationRun(results, summarize(results, k), configuration)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions.text import strip
 
-FILTER_KEYS = ("document_id", "source_name", "domain", "category", "version", "visibility")
+FILTER_KEYS = ("document_id", "domain", "category", "version", "origin", "visibility")
 #: Columns of a chunk that filters compare.
 META = FILTER_KEYS
 #: Bit of each field that a filter may leave open; visibility always counts.
@@ -17,9 +17,9 @@ BITS = {key: 1 << i for i, key in enumerate(FILTER_KEYS[:-1])}
 
 
 def normalize_filters(filters: Column) -> Column:
-    """Struct (filters, error) of a map: known keys with stripped, non-blank values, or why not."""
+    """Struct (filters, error) of a map: known keys with stripped, non-blank values, or why not. Visibility is no key: it is always public."""
     cleaned = F.transform_values(filters, lambda k, v: strip(v))
-    unknown = F.array_except(F.map_keys(filters), F.array(*map(F.lit, FILTER_KEYS)))
+    unknown = F.array_except(F.map_keys(filters), F.array(*map(F.lit, BITS)))
     blank = F.exists(F.map_values(cleaned), lambda v: v == "")
     error = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown:"), F.array_join(F.array_sort(unknown), ","))).when(blank, "blank")
     return F.struct(F.when(error.isNull(), cleaned).alias("filters"), error.alias("error"))

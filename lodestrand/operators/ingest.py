@@ -120,7 +120,7 @@ def ingested(judged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     rejects = judged.where("reason is not null").select("arrival_seq", "filename", "reason")
     chunks = build_chunks(accepted.select("document_id", F.col("display_name").alias("source_name"), "title", "text", "domain", "category", "version", "visibility"))
-    return accepted.drop("text", "title"), rejects, chunks.withColumn("origin", F.lit("upload"))
+    return accepted.drop("text", "title"), rejects, chunks.withColumn("origin", F.lit("uploaded"))
 
 
 def ingest_uploads(uploads: DataFrame, registry: DataFrame, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,7 +137,7 @@ def ingest_uploads(uploads: DataFrame, registry: DataFrame, most_bytes: int = MO
 
 def corpus_union(builtin: DataFrame, uploaded: DataFrame) -> DataFrame:
     """Built-in and uploaded chunks with their ``origin``."""
-    return builtin.withColumn("origin", F.lit("builtin")).unionByName(uploaded.withColumn("origin", F.lit("upload")), allowMissingColumns=True)
+    return builtin.withColumn("origin", F.lit("built_in")).unionByName(uploaded.withColumn("origin", F.lit("uploaded")), allowMissingColumns=True)
 
 
 def delete_documents(chunks: DataFrame, ids: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from lodestrand.operators.filters import FILTER_KEYS, META, apply_filters, match
 from lodestrand.operators.lexical import bm25_search, build_postings, corpus_size, corpus_term_stats, query_terms, top_k  # noqa: F401
 from lodestrand.operators.nearest import vector_search
 from lodestrand.session import cut
+from lodestrand.sources.files import latest_version, write_index
 
 NO_ANSWER = "知识库中暂未找到相关信息，请联系对应业务部门确认。我目前可以查询课程和已经收录的校园办事资料。"
 MISSING = ("检索到了相关主题资料，但资料中没有提供你询问的具体", "。为避免编造，请联系对应业务部门或查看当期官方通知确认。")
@@ -112,14 +114,31 @@ def as_hits(ranked: DataFrame, method: str) -> DataFrame:
     )
 
 
-def channels(queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame, deep: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """BM25 and vector hits down to ``deep`` and the pins ``(query_id, chunk_id)`` among both, of queries with usable vectors."""
-    open_to = apply_filters(chunks, filters).groupBy("chunk_id").agg(F.collect_set("filter_id").alias("open_to"))
-    near = vector_search(queries, vectors.join(open_to, "chunk_id"), deep, least)
-    lexical = bm25_search(queries, chunks, postings, filters, deep)
-    pairs = lexical.select("query_id", "chunk_id").union(near.select("query_id", "chunk_id")).distinct()
+def open_vectors(vectors: DataFrame, chunks: DataFrame, filters: DataFrame) -> DataFrame:
+    """``vectors`` with ``open_to``: the filter_ids that let their chunk through."""
+    return vectors.join(apply_filters(chunks, filters).groupBy("chunk_id").agg(F.collect_set("filter_id").alias("open_to")), "chunk_id")
+
+
+def pins_of(queries: DataFrame, chunks: DataFrame, *ranked: DataFrame) -> DataFrame:
+    """``(query_id, chunk_id)`` among ranked lists whose texts share an exact fact."""
+    pairs = reduce(DataFrame.union, (r.select("query_id", "chunk_id") for r in ranked)).distinct()
     texts = pairs.join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "title", "content"), "chunk_id")
-    return lexical, near, pin_exact_facts(texts).where("pinned").select("query_id", "chunk_id")
+    return pin_exact_facts(texts).where("pinned").select("query_id", "chunk_id")
+
+
+def channels(queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame, deep: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """BM25 and vector hits down to ``deep`` and the pins ``(query_id, chunk_id)`` among both, of queries with usable vectors.
+
+    Both lists are written once, as fusion and pins read them.
+    """
+    near = cut(vector_search(queries, open_vectors(vectors, chunks, filters), deep, least), "near")
+    lexical = cut(bm25_search(queries, chunks, postings, filters, deep), "lexical")
+    return lexical, near, pins_of(queries, chunks, lexical, near)
+
+
+def unusable_vector(vector: Column, dim: int) -> Column:
+    """True for a vector that cannot be searched with: missing, of the wrong length or not finite."""
+    return F.coalesce(vector_error(vector, dim).isin("wrong_length", "not_finite"), F.lit(False))
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame | None = None, strategy: str = "hybrid", k: int = 3, least: float = 0.22, dim: int = 512) -> DataFrame:
@@ -133,7 +152,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, postings: DataFrame, filters
     if strategy == "bm25" or vectors is None or "vector" not in queries.columns:
         return as_hits(bm25_search(queries, chunks, postings, filters, k), "bm25")
     queries = cut(queries, "queries")
-    bad = F.coalesce(vector_error(F.col("vector"), dim).isin("wrong_length", "not_finite"), F.lit(False))
+    bad = unusable_vector(F.col("vector"), dim)
     good, fallback = queries.where(~bad), queries.where(bad)
     plain = as_hits(bm25_search(fallback, chunks, postings, filters, k), "bm25")
     lexical, near, pins = channels(good, chunks, postings, filters, vectors, deep, least)
@@ -177,19 +196,65 @@ def citations(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def embed_incremental(texts: DataFrame, cache: DataFrame, fingerprint: str, embed: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def checked_cache(cache: DataFrame, fingerprint: str, dim: int) -> DataFrame:
+    """``(sha256, vector, fine)`` of one model's entries; ``fine`` unless an entry cannot be trusted.
+
+    That is one with a bad hash or vector, a checksum that is not its own, or a hash that has several entries.
+    """
+    own = cache.where(F.col("fingerprint") == fingerprint)
+    once = own.groupBy("sha256").agg(F.count("*").alias("n"), F.min_by(F.struct("vector", "checksum"), "checksum").alias("e")).select("sha256", "n", "e.*")
+    fine = (F.col("n") == 1) & F.col("sha256").rlike("^[0-9a-f]{64}$") & vector_error(F.col("vector"), dim).isNull() & (F.col("checksum") == cache_checksum(fingerprint))
+    return once.select("sha256", "vector", F.coalesce(fine, F.lit(False)).alias("fine"))
+
+
+def cache_checksum(fingerprint: str) -> Column:
+    """Checksum of an entry ``(sha256, vector)``."""
+    return F.xxhash64(F.lit(fingerprint), F.col("sha256"), F.col("vector"))
+
+
+def embed_incremental(texts: DataFrame, cache: DataFrame, fingerprint: str, embed: Callable[[Column], Column], dim: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vectors of ``texts (key, text)`` with each new distinct text encoded once.
 
-    Returns the rows ``(key, vector)``, the pruned cache ``(fingerprint, sha256, vector)`` that holds just
-    these texts, and the counts ``(total, hits, misses)`` per occurrence.
+    Returns the rows ``(key, vector, hit)``, the pruned cache ``(fingerprint, sha256, vector, checksum)`` that holds just
+    these texts, and the counts ``(total, hits, misses)`` per occurrence. With ``dim`` the cache's entries
+    have checksums, and those that cannot be trusted are encoded again. Distinct texts and what the cache has of
+    them are written once, and the encoder sees each missing text in one task only.
     """
-    keyed = texts.select("key", "text", F.sha2("text", 256).alias("sha256"))
-    known = cache.where(F.col("fingerprint") == fingerprint).select("sha256", "vector")
+    keyed = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha256", F.sha2("text", 256))
+    known = cache.where(F.col("fingerprint") == fingerprint).select("sha256", "vector") if dim is None else checked_cache(cache, fingerprint, dim).where("fine").select("sha256", "vector")
     distinct = keyed.groupBy("sha256").agg(F.first("text").alias("text"))
-    new = distinct.join(known, "sha256", "left_anti").select("sha256", embed(F.col("text")).alias("vector"))
-    vectors = known.join(distinct, "sha256", "left_semi").union(new)
+    held = known.join(distinct.select("sha256"), "sha256", "left_semi").withColumn("hit", F.lit(True))
+    new = distinct.join(known, "sha256", "left_anti").select("sha256", embed(F.col("text")).alias("vector"), F.lit(False).alias("hit"))
+    vectors = cut(held.union(new), "vectors")
     stats = cache_stats(keyed, known)
-    return keyed.join(vectors, "sha256").select("key", "vector"), vectors.select(F.lit(fingerprint).alias("fingerprint"), "sha256", "vector"), stats
+    rows = keyed.select("key", "sha256").join(vectors, "sha256").select("key", "vector", "hit")
+    return rows, vectors.select(F.lit(fingerprint).alias("fingerprint"), "sha256", "vector", cache_checksum(fingerprint).alias("checksum")), stats
+
+
+def embed_cached(texts: DataFrame, root: str, fingerprint: str, embed: Callable[[Column], Column], dim: int) -> tuple[DataFrame, DataFrame]:
+    """``(key, vector, hit)`` of ``texts`` through the cache below ``root``, and the counts ``(total, hits, misses, rebuilt)``.
+
+    A model has a folder of its own, by the hash of its fingerprint, with whole versions of the pruned
+    cache: a reader sees the old one until the new one is published. ``rebuilt`` is true if entries of the version read
+    are missing or cannot be trusted, be it a file that cannot be read or a value that was changed; these are encoded again.
+    """
+    spark = texts.sparkSession
+    if not fingerprint or dim < 1:
+        raise ValueError("a model needs a fingerprint and a dimension")
+    home = f"{root}/{hashlib.sha256(fingerprint.encode()).hexdigest()}"
+    schema = "fingerprint string, sha256 string, vector array<float>, checksum long"
+    found, entries = latest_version(spark, home), 0
+    cache = spark.createDataFrame([], schema)
+    if found:
+        entries = spark.read.schema("entries long").json(f"{home}/{found[1]}/size").first()["entries"]
+        cache = cut(spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(f"{home}/{found[1]}/vectors"), "cache")
+    trusted = checked_cache(cache, fingerprint, dim).where("fine").count()
+    rows, pruned, stats = embed_incremental(texts, cache, fingerprint, embed, dim)
+    whole = cut(pruned.where(vector_error(F.col("vector"), dim).isNull()), "pruned")
+    counts = cut(stats.withColumn("rebuilt", F.lit(trusted < entries)), "counts")
+    if not found or trusted < entries or whole.count() != entries or counts.first()["misses"]:
+        write_index({"vectors": whole, "size": whole.agg(F.count("*").alias("entries"))}, home, {"size": "json"})
+    return rows, counts
 
 
 def cache_stats(keyed: DataFrame, known: DataFrame) -> DataFrame:

@@ -28,6 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name == "documents" and df.rdd.getNumPartitions() < cores else df
 
 
+def as_files(rows: DataFrame, folder: str) -> str:
+    """Write ``rows (name, at, value)`` as text files of these names, lines in the order of ``at``; only files are renamed here, one by one."""
+    spark = rows.sparkSession
+    parts = f"{folder}-parts"
+    rows.repartition("name").sortWithinPartitions("name", "at").select("name", "value").write.partitionBy("name").text(parts)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for of_name in (f.getPath() for f in fs.listStatus(path(parts)) if f.isDirectory()):
+        for part in (f.getPath() for f in fs.listStatus(of_name) if f.getPath().getName().startswith("part-")):
+            fs.rename(part, path(f"{folder}/{of_name.getName().removeprefix('name=')}"))
+    return folder
+
+
 def _spark_array(values) -> str:
     return "array(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
 
@@ -56,7 +70,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(toxic, "doc_id", "left").selectExpr(
         "concat('d', doc_id) chunk_id", "source title", "text content", "concat(source, '.md#', source) source", "concat('doc-', doc_id) document_id",
         "concat(source, '.md') source_name", "lang domain", "source category", "case when toxic = 1 then 'private' else 'public' end visibility",
-        "'1' version", "'builtin' origin", "0 chunk_index",
+        "'1' version", "'built_in' origin", "0 chunk_index",
     )
 
 
@@ -67,7 +81,7 @@ CHUNKS = """chunks AS (SELECT 'd' || doc_id AS chunk_id, source AS title, text A
 
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One filter for each language and one for everything public."""
-    none = [F.lit(None).cast("string").alias(k) for k in ("document_id", "source_name", "category", "version", "visibility")]
+    none = [F.lit(None).cast("string").alias(k) for k in ("document_id", "category", "version", "origin", "visibility")]
     langs = table(spark, sf_dir, "documents").select("lang").distinct()
     own = langs.select(F.concat(F.lit("f_"), "lang").alias("filter_id"), F.col("lang").alias("domain"), *none)
     every = langs.limit(1).select(F.lit("f_all").alias("filter_id"), F.lit(None).cast("string").alias("domain"), *none)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as tx
 from lodestrand.operators import chunking, evaluation, ingest, lookup, qa, retrieval, sessions
 from lodestrand.plans import inputs
-from lodestrand.session import cut
+from lodestrand.session import cut, fresh_path
+from lodestrand.sources import files
 from lodestrand.plans.inputs import BM25, CHUNKS, FILTERS, MESSAGES, QUESTIONS, SNAPSHOTS, tok
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +43,56 @@ def _any(column: str, words) -> str:
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
+# --- files ------------------------------------------------------------------------------------------
+
+_STEMS = "['" + "', '".join(files.CLASSIFICATION) + "']"
+_FILE = f"CASE WHEN doc_id // 100 < 5 THEN {_STEMS}[doc_id // 100 + 1] ELSE 'doc' || doc_id // 100 END || '.md'"
+_FILES = f"f AS (SELECT {_FILE} AS name, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY 1)"
+
+
+def _files(s, d):
+    """A file for each hundred documents; the first five have names of the built-in corpus."""
+    stem = F.get(F.array(*map(F.lit, files.CLASSIFICATION)), F.expr("cast(doc_id div 100 as int)"))
+    name = F.concat(F.coalesce(stem, F.expr("concat('doc', doc_id div 100)")), F.lit(".md"))
+    return inputs.as_files(inputs.table(s, d, "documents").select(name.alias("name"), F.col("doc_id").alias("at"), F.col("text").alias("value")), fresh_path(s, "files"))
+
+
+_CLASSES = "(VALUES " + ", ".join(f"('{k}', '{a}', '{b}')" for k, (a, b) in files.CLASSIFICATION.items()) + ") k(title, domain, category)"
+
+
+@query(f"WITH {_FILES} SELECT 'builtin-' || t.title AS document_id, name AS source_name, coalesce(domain, 'campus_service') AS domain, coalesce(category, 'general') AS category, md5(text) AS digest FROM (SELECT *, replace(name, '.md', '') AS title FROM f) t LEFT JOIN {_CLASSES} ON k.title = t.title")
+def a1_read_markdown_corpus(s, d):
+    return files.read_markdown_corpus(s, _files(s, d)).select("document_id", "source_name", "domain", "category", F.md5("text").alias("digest"))
+
+
+@query(f"WITH {_FILES} SELECT name AS filename, strlen(text) AS size_bytes, md5(text) AS digest FROM f")
+def a2_read_upload_files(s, d):
+    return files.read_upload_files(s, _files(s, d)).select("filename", "size_bytes", F.md5("data").alias("digest"))
+
+
+@query("""WITH r AS (SELECT md5(CAST(doc_id AS VARCHAR)) AS document_id, 'n' || doc_id AS display_name, CASE WHEN doc_id % 7 = 0 THEN 'short' ELSE sha256(text) END AS sha256, CASE WHEN doc_id % 5 <> 0 THEN lang END AS domain,
+ n_chars, CASE WHEN doc_id % 11 = 0 THEN 'yesterday' ELSE strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id), '%Y-%m-%dT%H:%M:%SZ') END AS created_at FROM documents)
+SELECT document_id, display_name, sha256, coalesce(domain, 'uploaded') AS domain, 'general' AS category, n_chars AS size_bytes, replace(replace(created_at, 'T', ' '), 'Z', '') AS created_at FROM r WHERE sha256 <> 'short' AND created_at <> 'yesterday'""")
+def a3_read_registry(s, d):
+    row = inputs.table(s, d, "documents").selectExpr(
+        "doc_id div 100 at", "named_struct('document_id', md5(cast(doc_id as string)), 'display_name', concat('n', doc_id), 'extension', '.md', 'content_type', 'text/plain', 'size_bytes', n_chars, 'chunk_count', 1,"
+        " 'sha256', case when doc_id % 7 = 0 then 'short' else sha2(text, 256) end, 'domain', case when doc_id % 5 <> 0 then lang end,"
+        " 'created_at', case when doc_id % 11 = 0 then 'yesterday' else date_format(timestamp_seconds(1704067200 + doc_id * 60), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end) r",
+    )
+    lists = row.groupBy("at").agg(F.to_json(F.collect_list("r")).alias("value")).select(F.concat(F.lit("registry"), "at", F.lit(".json")).alias("name"), "at", "value")
+    out = files.read_registry(s, inputs.as_files(lists, fresh_path(s, "registry")))
+    return out.select("document_id", "display_name", "sha256", "domain", "category", "size_bytes", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+_LINE = "CASE o_orderkey % 10 WHEN 3 THEN '# note' WHEN 6 THEN '  ' ELSE '{\"id\":' || o_orderkey || ',\"x\":\"' || o_orderstatus || '\"}' END"
+
+
+@query(f"WITH l AS (SELECT 'part' || o_orderkey % 4 || '.jsonl' AS source_file, row_number() OVER (PARTITION BY o_orderkey % 4 ORDER BY o_orderkey) AS source_line, {_LINE} AS json, o_orderkey FROM orders) SELECT source_file, source_line, json FROM l WHERE o_orderkey % 10 NOT IN (3, 6)")
+def a4_read_eval_cases(s, d):
+    rows = inputs.table(s, d, "orders").selectExpr("concat('part', o_orderkey % 4, '.jsonl') name", "o_orderkey at", f"{_LINE} value")
+    return files.read_eval_cases(s, inputs.as_files(rows, fresh_path(s, "cases")))
+
+
 # --- text functions ---------------------------------------------------------------------------------
 
 
@@ -93,7 +145,7 @@ def d6_extract_claims(s, d):
     return inputs.messages(s, d).select("session_id", "turn", F.array_join(tx.extract_claims(F.col("content")), " ").alias("claims"))
 
 
-_DAYS = sorted(((a, day) for day, names in tx.WEEKDAYS.items() for a in names), key=lambda p: -len(p[0]))
+_DAYS = sorted(tx.WEEKDAYS, key=lambda pair: -len(pair[0]))
 
 
 @query(f"WITH {MESSAGES} SELECT session_id, turn, {_alts(_DAYS).replace('contains(content', 'contains(lower(content)')} AS weekday FROM messages")
@@ -200,7 +252,7 @@ def b8_ingest_uploads(s, d):
     return documents.select("arrival_seq", F.lit("accepted").alias("reason")).unionByName(rejects.select("arrival_seq", "reason"))
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN domain = 'en' THEN 'builtin' ELSE 'upload' END AS origin FROM chunks")
+@query(f"WITH {CHUNKS} SELECT chunk_id, CASE WHEN domain = 'en' THEN 'built_in' ELSE 'uploaded' END AS origin FROM chunks")
 def b9_corpus_union(s, d):
     c = inputs.chunks(s, d).drop("origin")
     return ingest.corpus_union(c.where("domain = 'en'"), c.where("domain <> 'en'")).select("chunk_id", "origin")
@@ -212,9 +264,9 @@ def b10_delete_documents(s, d):
     return ingest.delete_documents(inputs.chunks(s, d), bad).select("chunk_id")
 
 
-@query("SELECT CASE WHEN lang = 'en' THEN 'builtin' ELSE 'upload' END AS origin, count(*) AS documents, count(*) AS chunks, sum(strlen(text))::BIGINT AS size_bytes FROM documents GROUP BY 1")
+@query("SELECT CASE WHEN lang = 'en' THEN 'built_in' ELSE 'uploaded' END AS origin, count(*) AS documents, count(*) AS chunks, sum(strlen(text))::BIGINT AS size_bytes FROM documents GROUP BY 1")
 def b11_corpus_stats(s, d):
-    c = inputs.chunks(s, d).withColumn("origin", F.when(F.col("domain") == "en", "builtin").otherwise("upload"))
+    c = inputs.chunks(s, d).withColumn("origin", F.when(F.col("domain") == "en", "built_in").otherwise("uploaded"))
     return ingest.corpus_stats(c, c.select("document_id", F.octet_length("content").cast("long").alias("size_bytes")))
 
 
@@ -409,11 +461,18 @@ def _cached(s, d):
     return t, known, cache, embed
 
 
-@query()
+@query("""WITH k AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0 AND sha256(text) NOT LIKE '0%' AND regexp_matches(lower(text), '[a-z0-9_一-鿿]'))
+SELECT doc_id AS key, 64 AS dim, sha256(text) IN (SELECT h FROM k) AS hit FROM documents""")
 def e15_embed_incremental(s, d):
-    t, _, cache, embed = _cached(s, d)
-    rows, _, _ = retrieval.embed_incremental(t, cache, "v1", embed)
-    return rows.select("key", F.size("vector").alias("dim"))
+    """All documents through a cache of every third one, of which some entries were changed behind its back."""
+    t, _, _, embed = _cached(s, d)
+    root = fresh_path(s, "vector-cache")
+    retrieval.embed_cached(t.where("key % 3 = 0"), root, "v1", embed, 64)
+    home = f"{root}/{hashlib.sha256(b'v1').hexdigest()}"
+    held = files.read_latest_index(s, home, ("vectors",))["vectors"]
+    spoilt = F.when(F.col("sha256").startswith("0"), F.transform("vector", lambda x: x * F.lit(1.5).cast("float"))).otherwise(F.col("vector"))
+    files.write_index({"vectors": held.withColumn("vector", spoilt), "size": held.agg(F.count("*").alias("entries"))}, home, {"size": "json"})
+    return retrieval.embed_cached(t, root, "v1", embed, 64)[0].select("key", F.size("vector").alias("dim"), "hit")
 
 
 @query("WITH k AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0) SELECT count(*) AS total, count(*) FILTER (text IN (SELECT text FROM k)) AS hits, count(*) FILTER (text NOT IN (SELECT text FROM k)) AS misses FROM documents")
@@ -751,14 +810,26 @@ def i3_score_cases(s, d):
     return out.select("case_id", F.array_join("retrieved_chunk_ids", ",").alias("got"), "required_fact_matches", "safe_abstained")
 
 
-@query()
+#: What score_cases finds wrong in hits ``s (strategy, query_id, chunk_id, rank)`` of the cases of _eval_cases.
+_FOUND = """h AS (SELECT strategy, query_id, list(chunk_id ORDER BY rank) AS got, replace(lower(string_agg(title || chr(10) || content, chr(10) ORDER BY rank)), 'ß', 'ss') AS text, replace(lower(arg_min(title || content, rank)), 'ß', 'ss') AS best FROM s JOIN chunks USING (chunk_id) GROUP BY 1, 2)"""
+_FAILED = """CASE WHEN q.query_id % 4 <> 0 AND NOT coalesce(list_contains(got, 'd' || q.query_id), false) THEN 'not_in_top_3' END, CASE WHEN q.query_id % 4 <> 0 AND NOT coalesce(contains(text, 'the'), false) THEN 'facts_missing' END,
+ CASE WHEN q.query_id % 4 = 0 AND got IS NOT NULL THEN 'no_safe_abstention' END, CASE WHEN coalesce(contains(CASE WHEN q.query_id % 4 <> 0 THEN text ELSE best END, 'zzz'), false) THEN 'forbidden_fact' END"""
+
+
+@query(f"""{_PASSES}, s AS (SELECT 'bm25' AS strategy, p.query_id, chunk_id, rank FROM passes p JOIN ranked r ON r.query_id = p.query_id * 2 + p.rewritten::INT WHERE rank <= 3), {_FOUND}
+SELECT q.query_id AS case_id, q.query_id % 2 = 0 AND initial_status = 'insufficient' AS rewrite_expected, rewritten AS rewrite_actual, true AS trace_conformant,
+ array_to_string(list_filter([{_FAILED}, CASE WHEN rewritten <> (q.query_id % 2 = 0 AND initial_status = 'insufficient') THEN 'rewrite' END,
+ CASE WHEN q.query_id % 2 = 0 AND initial_status = 'insufficient' AND NOT contains(CASE WHEN rewritten THEN new ELSE query END, '校园卡') THEN 'rewrite_terms' END,
+ CASE WHEN CASE WHEN rewritten THEN second ELSE initial_status END <> 'relevant' THEN 'grade' END, CASE WHEN q.query_id % 7 = 0 THEN 'verification' END, CASE WHEN rewritten THEN 'attempts' END], lambda x: x IS NOT NULL), ',') AS failures
+FROM passes q LEFT JOIN h USING (query_id)""")
 def i4_score_agentic(s, d):
     asked, c, (hits, passes) = _passes(s, d)
     answers = retrieval.answer(asked, hits, c).select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "answer", F.lit(0.0).alias("duration_ms"))
     found = hits.select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "chunk_id", "rank")
     results = evaluation.score_cases(_eval_cases(s, d), found, c, answers, inputs.filters(s, d))
     expected = asked.selectExpr("query_id case_id", "case when query_id % 2 = 0 then 'if_initial_insufficient' else 'false' end rewrite_expected", "array('校园卡') rewritten_query_contains", "'relevant' grade_expected", "'grounded' verification_expected", "1 max_retrieval_attempts", "array('retrieve', 'verify') required_events")
-    went = passes.join(qa.trace_events(passes), "query_id").select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "final_query", "rewritten", "initial_status", "status", F.lit("grounded").alias("verification"), "attempts", "events")
+    verdict = F.when(F.col("query_id") % 7 == 0, "unsupported_claim").otherwise("grounded").alias("verification")
+    went = passes.join(qa.trace_events(passes), "query_id").select(F.lit("bm25").alias("strategy"), F.col("query_id").alias("case_id"), "final_query", "rewritten", "initial_status", "status", verdict, "attempts", "events")
     return evaluation.score_agentic(results, expected, went).select("case_id", "rewrite_expected", "rewrite_actual", "trace_conformant", F.array_join("failures", ",").alias("failures"))
 
 
@@ -777,11 +848,16 @@ def i7_summarize(s, d):
     return _rounded(evaluation.summarize(_case_results(s, d)), "strategy", "scope", "value")
 
 
-@query()
+@query(f"""WITH {BM25}, {_VEC}, t AS (SELECT 0.22::DOUBLE AS threshold), {_PAIRED},
+s AS (SELECT 'bm25' AS strategy, query_id, chunk_id, rank FROM ranked WHERE rank <= 3 UNION ALL SELECT 'vector', query_id, chunk_id, rank FROM near WHERE rank <= 3 AND query_id % 5 <> 0
+ UNION ALL SELECT 'hybrid', query_id, chunk_id, rank FROM fused WHERE rank <= 3 AND query_id % 5 <> 0 UNION ALL SELECT x, query_id, chunk_id, rank FROM ranked, (VALUES ('vector'), ('hybrid')) v(x) WHERE rank <= 3 AND query_id % 5 = 0), {_FOUND}
+SELECT x AS strategy, q.query_id AS case_id, array_to_string(coalesce(got, []), ',') AS got, array_to_string(list_filter([{_FAILED}], lambda x: x IS NOT NULL), ',') AS failures
+FROM questions q CROSS JOIN (VALUES ('bm25'), ('vector'), ('hybrid')) v(x) LEFT JOIN h ON h.query_id = q.query_id AND h.strategy = x""")
 def i8_run_evaluation(s, d):
-    q, c, v = _embedded(s, d)
-    q = cut(q, "queries")
-    out = evaluation.run_evaluation(_eval_cases(s, d), q, c, cut(retrieval.build_postings(c), "postings"), inputs.filters(s, d), cut(v, "vectors"), dim=256)
+    q, c, v = _paired(s, d)
+    # every fifth question has no vector and falls back to BM25
+    q = cut(q.withColumn("vector", F.when(F.col("query_id") % 5 != 0, F.col("vector"))), "queries")
+    out = evaluation.run_evaluation(_eval_cases(s, d), q, c, cut(retrieval.build_postings(c), "postings"), inputs.filters(s, d), v, dim=64)
     return out.select("strategy", "case_id", F.array_join("retrieved_chunk_ids", ",").alias("got"), F.array_join("failures", ",").alias("failures"))
 
 
@@ -840,13 +916,33 @@ def i14_usage_rollup(s, d):
     return evaluation.usage_rollup(calls)
 
 
+@query(f"""WITH {_RESULTS} SELECT 'results' AS kind, strategy, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'failures', strategy, count(*) FILTER (k % 3 = 0) FROM m GROUP BY ALL HAVING count(*) FILTER (k % 3 = 0) > 0
+UNION ALL SELECT 'baseline', strategy, count(*) FROM m GROUP BY ALL""")
+def a5_write_eval_report(s, d):
+    """Report and baseline of the case results, written and read again."""
+    out, results = fresh_path(s, "report"), _case_results(s, d)
+    files.write_eval_report(results, evaluation.summarize(results), out)
+    files.write_baseline(evaluation.aggregate_metrics(results, 3, ("strategy",)), {"k": 3}, f"{out}/baseline")
+    of = lambda kind: s.read.json(f"{out}/{kind}").groupBy("strategy").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "strategy", "n")
+    base, configuration = files.read_baseline(s, f"{out}/baseline")
+    return of("results").unionByName(of("failures")).unionByName(base.select(F.lit("baseline").alias("kind"), "strategy", F.col("cases").alias("n")).where(F.lit(configuration == {"k": 3})))
+
+
+@query("SELECT doc_id, md5(text) AS digest, 2::BIGINT AS version FROM documents WHERE lang = 'en'")
+def a6_write_index(s, d):
+    """Two versions of an index; the second one is read."""
+    root, docs = fresh_path(s, "index"), inputs.table(s, d, "documents")
+    for rows in (docs, docs.where("lang = 'en'")):
+        version = files.write_index({"texts": rows.select("doc_id", "text")}, root)
+    return files.read_latest_index(s, root, ("texts",))["texts"].select("doc_id", F.md5("text").alias("digest"), F.lit(version).cast("long").alias("version"))
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 
 @query(_INGESTED)
 def k1_stream_ingest(s, d):
     """Uploads as a file stream, ingested until it is used up; rows of what was written."""
-    from lodestrand.session import fresh_path
     from lodestrand.streaming.jobs import stream_ingest
 
     source, out = fresh_path(s, "uploads"), fresh_path(s, "ingested")
@@ -858,7 +954,6 @@ def k1_stream_ingest(s, d):
 
 @query(f"WITH {MESSAGES} SELECT session_id, array_to_string(list(turn ORDER BY turn), ',') AS turns FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS n FROM messages) WHERE n <= 3 GROUP BY 1")
 def k2_stream_session_memory(s, d):
-    from lodestrand.session import fresh_path
     from lodestrand.streaming.jobs import stream_session_memory
 
     source, out = fresh_path(s, "messages"), fresh_path(s, "memory")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Mapping
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrand.operators.chunking import LINE_END
+from lodestrand.functions.text import strip
 
 #: Domain and category of the built-in corpus by file stem (fixed values).
 CLASSIFICATION = {
@@ -36,7 +38,7 @@ def read_markdown_corpus(spark: SparkSession, folder: str, classification: Mappi
     named = spark.createDataFrame([(k, *v) for k, v in classification.items()] or [("", "", "")], "title string, domain string, category string")
     rows = files.select(F.concat(F.lit("builtin-"), stem).alias("document_id"), "source_name", stem.alias("title"), "text")
     known = rows.join(F.broadcast(named), "title", "left")  # a table of the caller's literals
-    return known.select("document_id", "source_name", "title", "text", F.coalesce("domain", F.lit(default[0])).alias("domain"), F.coalesce("category", F.lit(default[1])).alias("category"), F.lit("public").alias("visibility"), F.lit("1").alias("version"))
+    return known.select("document_id", "source_name", "title", "text", F.coalesce("domain", F.lit(default[0])).alias("domain"), F.coalesce("category", F.lit(default[1])).alias("category"), F.lit("public").alias("visibility"), F.lit("1").alias("version"), F.lit("built_in").alias("origin"))
 
 
 def read_upload_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,9 +63,19 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
-    """``(source_file, source_line, json)`` of JSONL files without blank lines and comments."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.posexplode(F.split("value", LINE_END)).alias("at", "json"))
-    return whole.where(~F.col("json").rlike(r"^\s*(#.*)?$")).select("source_file", (F.col("at") + 1).alias("source_line"), "json")
+    """``(source_file, source_line, json)`` of JSONL files without blank lines and comments.
+
+    Files are split by byte ranges like any text, and lines keep their numbers: rows of a range are numbered in
+    their task, and a range starts after the lines of the ranges before it, one row each.
+    """
+    place = {"file": F.col("_metadata.file_path"), "source_file": F.col("_metadata.file_name"), "start": F.col("_metadata.file_block_start"), "n": F.monotonically_increasing_id()}
+    rows = spark.read.text(path).select(F.col("value").alias("json"), *(c.alias(n) for n, c in place.items()))
+    ranges = rows.groupBy("file", "start").agg(F.count("*").alias("lines"), F.min("n").alias("first"))
+    before = F.sum("lines").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    placed = ranges.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    text = strip(F.col("json"))
+    some = rows.where((text != "") & ~text.startswith("#"))
+    return some.join(placed, ["file", "start"]).select("source_file", (F.col("before") + F.col("n") - F.col("first") + 1).alias("source_line"), "json")
 
 
 def write_eval_report(results: DataFrame, summary: DataFrame, out: str) -> None:
@@ -73,6 +85,17 @@ def write_eval_report(results: DataFrame, summary: DataFrame, out: str) -> None:
     summary.write.mode("overwrite").json(f"{out}/summary")
 
 
+def write_baseline(summary: DataFrame, configuration: Mapping, out: str) -> None:
+    """A run's summary and its configuration, without its cases, as what later runs are compared with."""
+    summary.write.mode("overwrite").json(f"{out}/summary")
+    text = json.dumps(configuration, ensure_ascii=False, sort_keys=True)
+    summary.sparkSession.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/configuration")
+
+
+def read_baseline(spark: SparkSession, out: str) -> tuple[DataFrame, dict]:
+    return spark.read.json(f"{out}/summary"), json.loads(spark.read.text(f"{out}/configuration").first()["value"])
+
+
 def _markers(spark: SparkSession, root: str) -> tuple:
     """The file system of ``root`` and the folder of its version markers."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/published")
@@ -125,7 +148,7 @@ def latest_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
     return None
 
 
-def write_index(tables: Mapping[str, DataFrame], root: str) -> int:
+def write_index(tables: Mapping[str, DataFrame], root: str, formats: Mapping[str, str] | None = None) -> int:
     """Write all tables of a new version, then publish it; readers see the old one until then.
 
     Tables go to a folder of their own name first. Publishing is one exclusive creation of the next number's
@@ -135,7 +158,7 @@ def write_index(tables: Mapping[str, DataFrame], root: str) -> int:
     spark = next(iter(tables.values())).sparkSession
     folder = f"tables-{uuid.uuid4().hex}"
     for name, df in tables.items():
-        df.write.parquet(f"{root}/{folder}/{name}")
+        df.write.format((formats or {}).get(name, "parquet")).save(f"{root}/{folder}/{name}")
     version = max(versions(spark, root), default=0) + 1
     while not _claim(spark, root, version, f"{folder}\n"):
         version += 1
