@@ -7,6 +7,21 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 
+def pytest_addoption(parser):
+    parser.addoption("--slow", action="store_true", help="run every query against its SQL")
+
+
+def pytest_configure(config):
+    config.addinivalue_line("markers", "slow: runs only with --slow")
+
+
+def pytest_collection_modifyitems(config, items):
+    if not config.getoption("--slow"):
+        for item in items:
+            if "slow" in item.keywords:
+                item.add_marker(pytest.mark.skip(reason="needs --slow"))
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (
