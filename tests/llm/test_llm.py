@@ -86,6 +86,19 @@ def test_token_counts(docs, empty):
     assert token_counts(empty).count() == 0
 
 
+def test_token_counts_of_long_words(spark):
+    """Many distinct long words: none of them is broadcast, and counts are those of the tokenizer."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdefg") for _ in range(rng.choice([3, 40, 300]))) for _ in range(30)) for _ in range(40)] + ["z" * 50_000, text(50)]
+    t = Tokenizer.from_file(tokenizer_path(TOKENIZER))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (0, 20, 64):
+        got = {r.doc_id: r.n_tokens for r in token_counts(df, word_bytes=size).collect()}
+        assert got == {i: len(t.encode(x, add_special_tokens=False)) for i, x in enumerate(texts)}
+
+
 def test_quality(docs, empty):
     expected = collections.Counter()
     for r in docs.collect():
@@ -394,6 +407,35 @@ def test_passages_at_low_identity(spark):
         assert len(got & pairs) >= share * 40, (identity, len(got & pairs))
 
 
+@pytest.mark.parametrize("identity, share", [(95, 1.0), (87, 1.0), (80, 0.8)])
+def test_changed_passages_among_many_parts_of_them(spark, identity, share):
+    """Texts with 20 to 35 words of a passage stand on both sides of the one that holds it whole; a changed one still finds that."""
+    rng, rows, pairs = random.Random(identity), [], []
+    some = lambda n: " ".join(f"v{rng.randrange(3000)}" for _ in range(n))
+    for _ in range(15):
+        words = some(60).split()
+        changed = list(words)
+        for i in rng.sample(range(60), round(60 * (100 - identity) / 100)):
+            changed[i] = f"x{rng.randrange(10**6)}"
+        parts = []
+        for _ in range(40):
+            lo = rng.randrange(40)
+            parts.append(words[lo : lo + rng.randrange(20, 36)])
+        for part in [*parts[:20], words, *parts[20:], changed]:
+            rows.append(" ".join([some(15), *part, some(15)]))
+        pairs.append((len(rows) - 1, len(rows) - 22))
+    got = [(r.doc_id, r.source_id) for r in ps.shared_passages(make(spark, rows, False)).collect()]
+    assert len(set(got) & set(pairs)) >= share * len(pairs)
+
+
+def test_copies_have_one_row_each(spark):
+    """Three copies of many texts, some of which pass the bitmap of class representatives by chance."""
+    rng = random.Random(2)
+    rows = [t for t in (text(rng.randrange(60, 80), rng) for _ in range(200)) for _ in range(3)]
+    got = [(r.doc_id, r.source_id) for r in ps.shared_passages(make(spark, rows, False)).collect()]
+    assert len([x for x in got if x[0] // 3 == x[1] // 3]) == 400 and len(got) == len(set(got))
+
+
 def test_passages_of_reused_parts(spark):
     rng = random.Random(31)
     words = text(70, rng).split()
