@@ -16,8 +16,12 @@ from lodestrand.llm.common import as_bytes, cut, tokenizer_path
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct pre-tokens a task counts before it hands them on.
 HELD = 300_000
+#: Text read before the distinct words so far are sent on: they hold no more bytes than it.
+HELD_BYTES = 1 << 26
 #: Pre-tokens whose counts every task gets: the most frequent, at most this many (some 20 MB).
 FREQUENT = 1 << 18
+#: A longer pre-token is never broadcast, so that the table is bounded by bytes: at most FREQUENT times so many.
+WORD_BYTES = 64
 
 
 @lru_cache(maxsize=2)
@@ -44,12 +48,15 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return out
 
+    size = 0
     for batch in batches:
         for text in batch.column(0):
             if b := text.as_py():
                 seen.update(pre_tokens(b))
-                if len(seen) >= HELD:
+                size += len(b)
+                if len(seen) >= HELD or size >= HELD_BYTES:
                     yield flush()
+                    size = 0
     if seen:
         yield flush()
 
@@ -91,13 +98,14 @@ def _frequencies(frequent):
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str | None = None, context: int = 2048, frequent: int = FREQUENT) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str | None = None, context: int = 2048, frequent: int = FREQUENT, word_bytes: int = WORD_BYTES) -> DataFrame:
     """Tokens of every whole text: ``(doc_id, n_bytes, n_tokens, over_limit)``, one row per input row.
 
     Pre-tokens are counted over the corpus (in bounded counters, summed by Spark), and each
     distinct one is encoded once; token ids are never kept. Per-document pre-token frequencies
     then meet these sizes in a join: the ``frequent`` most frequent pre-tokens, of a bounded
-    number, as a broadcast table; all the others in a shuffle join. Sums go back to the rows.
+    number and of at most ``word_bytes`` bytes each, as a broadcast table; all the others in a shuffle
+    join. Sums go back to the rows.
 
     ``tokenizer`` is the path of a tokenizer file that drops blanks and never merges across one
     (default: the public word BPE of 49k). Nothing is added, truncated or padded; special strings
@@ -121,7 +129,8 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, context: int = 2
         if held + words > frequent:
             break
         least, held = at, held + words
-    top = sizes.where(step >= least).select("word", "size").toArrow()  # at most ``frequent`` rows
+    told = (step >= least) & (F.octet_length("word") <= word_bytes)
+    top = sizes.where(told).select("word", "size").toArrow()  # at most ``frequent`` rows of ``word_bytes`` bytes
     table = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     counts = cut(
         rows.mapInArrow(
@@ -133,7 +142,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, context: int = 2
     rare = (
         counts.where("size(rare) > 0").select("tkey", "rare").dropDuplicates(["tkey"])
         .select("tkey", F.explode("rare").alias("r")).select("tkey", "r.word", "r.n")
-        .join(sizes.where(step < least).select("word", "size"), "word")
+        .join(sizes.where(~told).select("word", "size"), "word")
         .groupBy("tkey").agg(F.sum(F.col("n") * F.col("size")).alias("more"))
     )
     total = F.col("n_tokens") + F.coalesce("more", F.lit(0).cast("long"))
