@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from importlib.resources import files
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +62,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software "
         "to the public domain worldwide. This software is distributed without any warranty.",
     ),
-    "GPL-2.0-or-later": (_GPL_NOTICE.format(name="GNU General Public License", version="2"), "Licensed under the GNU General Public License, version 2."),
-    "GPL-3.0-or-later": (_GPL_NOTICE.format(name="GNU General Public License", version="3"), "This work is licensed under the GNU General Public License, version 3."),
+    "GPL-2.0-only": ("Licensed under the GNU General Public License, version 2.",),
+    "GPL-2.0-or-later": (_GPL_NOTICE.format(name="GNU General Public License", version="2"),),
+    "GPL-3.0-only": ("This work is licensed under the GNU General Public License, version 3.",),
+    "GPL-3.0-or-later": (_GPL_NOTICE.format(name="GNU General Public License", version="3"),),
     "LGPL-3.0-or-later": (_GPL_NOTICE.format(name="GNU Lesser General Public License", version="3"),),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
@@ -122,7 +126,8 @@ class Matcher:
                 self.names.append(name), self.sizes.append(len(grams)), self.grams.append(grams)
         # 2 * min(a, b) / (a + b) >= t bounds the sizes' ratio
         self.ratio = threshold / (2 - threshold)
-        self.least, self.most = min(self.sizes) * self.ratio, max(self.sizes) / self.ratio
+        # with room for rounding: Dice itself decides
+        self.least, self.most = min(self.sizes) * self.ratio - 1e-9, max(self.sizes) / self.ratio + 1e-9
 
     def match(self, segment: bytes) -> Iterator[tuple[str, float]]:
         """Templates that reach the threshold, each licence by its best."""
@@ -135,7 +140,7 @@ class Matcher:
         n = len(set(zip(words, words[1:])))
         if n > self.most:
             return
-        common = Counter(t for g in hits for t in self.holders[g] if self.ratio * n <= self.sizes[t] <= n / self.ratio)
+        common = Counter(t for g in hits for t in self.holders[g] if self.ratio * n - 1e-9 <= self.sizes[t] <= n / self.ratio + 1e-9)
         best: dict[str, float] = {}
         for t, c in common.items():
             dice = 2 * c / (n + self.sizes[t])
@@ -156,39 +161,69 @@ class Matcher:
             return
         own = Counter(t for g in {grams[i] for i in hits} for t in self.holders[g])
         found: dict[str, list[tuple[float, int, int]]] = {}
+        before, after = _neighbours(grams)
         for t, c in own.items():
             size, template = self.sizes[t], self.grams[t]
-            if c < self.ratio * size:
+            if c < self.ratio * size - 1e-9:
                 continue
-            most = size / self.ratio
-            starts = [i for i in hits if grams[i] in template]
-            for i in starts[: len(starts) + 1 - math.ceil(self.ratio * size)]:
-                seen, common, best = set(), 0, (0.0, i)
-                for j in range(i, len(grams)):
-                    g = grams[j]
-                    if g in seen:
-                        if g == grams[i]:
-                            break
-                        continue
-                    seen.add(g)
-                    if len(seen) > most:
-                        break
-                    if g in template:
-                        common += 1
-                        best = max(best, (2 * common / (len(seen) + size), j))
-                if best[0] >= self.threshold:
-                    found.setdefault(self.names[t], []).append((best[0], i, best[1]))
+            held = np.zeros(len(grams), bool)
+            held[[i for i in hits if grams[i] in template]] = True
+            for dice, i, j in best_windows(held, before, after, size, self.threshold, self.ratio):
+                found.setdefault(self.names[t], []).append((dice, i, j))
         if not found:
             return
         spans = [m.span() for m in re.finditer(rb"\S+", text.translate(ALNUM))]
         for name, all_of in found.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # in order, apart from each other
             for _, i, j in sorted(all_of, key=lambda x: (-x[0], x[1] - x[2], x[1])):
-                if all(j + 1 < a or i > b for a, b in taken):
-                    taken.append((i, j + 1))
+                at = bisect_left(taken, (i, j + 1))
+                if (at == 0 or taken[at - 1][1] < i) and (at == len(taken) or j + 1 < taken[at][0]):
+                    taken.insert(at, (i, j + 1))
                     yield name, spans[i][0], spans[j + 1][1]
 
 
+def _neighbours(grams: list) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bigram stood before (-1: nowhere) and stands next (the end: nowhere)."""
+    before, last = np.full(len(grams), -1), {}
+    after = np.full(len(grams), len(grams))
+    for i, g in enumerate(grams):
+        if g in last:
+            before[i] = last[g]
+            after[last[g]] = i
+        last[g] = i
+    return before, after
+
+
+def best_windows(held: np.ndarray, before: np.ndarray, after: np.ndarray, size: int, threshold: float, ratio: float) -> Iterator[tuple[float, int, int]]:
+    """``(dice, i, j)`` of the best window from each bigram of the template that reaches the threshold, the longer of equal ones.
+
+    A window's distinct bigrams are those that did not stand before within it: two running counts for each start. A start is
+    passed over if what stands of the template within its reach, repeats and all, is too little.
+    """
+    most, need = size / ratio + 1e-9, math.ceil(ratio * size - 1e-9)  # sizes at the very bound may match
+    sums = np.concatenate(([0], np.cumsum(held)))
+    for i in np.flatnonzero(held).tolist():
+        end, width, best = int(after[i]), int(most) + 1, (0.0, i)
+        if sums[end] - sums[i] < need:
+            continue
+        n = common = 0
+        at = i
+        while at < end:  # one step, unless bigrams come again within the window
+            stop = min(end, at + width)
+            new = before[at:stop] < i
+            counts, shared = n + np.cumsum(new), common + np.cumsum(new & held[at:stop])
+            over = int(np.searchsorted(counts, most, side="right"))
+            dice = np.where(held[at : at + over] & new[:over], 2 * shared[:over] / (counts[:over] + size), 0)
+            if over and dice.max() >= best[0]:
+                top = over - 1 - int(dice[::-1].argmax())
+                best = max(best, (float(dice[top]), at + top))
+            if over < stop - at or not len(counts):
+                break
+            n, common, at = int(counts[-1]), int(shared[-1]), stop
+        if best[0] >= threshold:
+            yield best[0], i, best[1]
+
+
 def matches_of(matcher: Matcher, text: bytes) -> list[dict]:
     """Segments that match, and windows that overlap none of their licence or are better than those they overlap."""
     found = [

@@ -4,17 +4,19 @@ import collections
 import hashlib
 import random
 import re
+from importlib.resources import files
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrand.llm import licenses
 from lodestrand.llm import passages as ps
 from lodestrand.llm import token_shards as ts
 from lodestrand.llm import warc as wz
 from lodestrand.llm.common import components, word_hashes
 from lodestrand.llm.decontam import decontaminate
-from lodestrand.llm.licenses import license_matches, license_scan
+from lodestrand.llm.licenses import TEMPLATES, license_matches, license_scan
 from lodestrand.llm.mixing import WEIGHTS, domain_of, mix, mixed_rows
 from lodestrand.llm.near_dup import near_duplicates, odd_estimate
 from lodestrand.llm.quality import quality_filter, quality_rules
@@ -501,6 +503,34 @@ def test_license_inside_longer_lines(spark):
             assert m.dice >= 0.8 and len(texts[r.doc_id][m.start : m.end].split()) < 50
 
 
+def test_license_windows_against_all_windows():
+    """Every window of small texts: the best of each start that reaches the threshold, and no match is missed."""
+    rng = random.Random(14)
+    for _ in range(300):
+        size = rng.randrange(2, 14)
+        grams = [(rng.choice("abcdefgh"), "x") for _ in range(rng.randrange(1, 40))]
+        template = {(c, "x") for c in "abcdefgh"[: rng.randrange(1, 8)]}
+        held = np.array([g in template for g in grams])
+        got = {i: (round(d, 9), j) for d, i, j in licenses.best_windows(held, *licenses._neighbours(grams), size, 0.8, 0.8 / 1.2)}
+        want = {}
+        for i in np.flatnonzero(held).tolist():
+            end = next((j for j in range(i + 1, len(grams)) if grams[j] == grams[i]), len(grams))
+            scored = [(round(2 * len(set(grams[i : j + 1]) & template) / (len(set(grams[i : j + 1])) + size), 9), j) for j in range(i, end) if grams[j] in template and grams[j] not in grams[i:j]]
+            # what a window has of the template is no more than the template is large
+            scored = [x for x in scored if len(set(grams[i : x[1] + 1])) <= size * 1.5 + 1e-9]
+            if scored and max(scored)[0] >= 0.8:
+                want[i] = max(scored)
+        assert got == want
+
+
+def test_license_dump_of_many_texts():
+    """Joined licence texts of a megabyte are scanned in some seconds, not hours, and each of them is found."""
+    folder = files("lodestrand.llm") / "license_texts"
+    texts = [(folder / f"{n}.txt").read_bytes() for n in ("GPL-3.0", "GPL-2.0", "MPL-2.0")]
+    found = licenses.matches_of(licenses.Matcher(TEMPLATES, 0.8), b"\n\n".join(texts))
+    assert {"GPL-3.0", "GPL-2.0", "MPL-2.0"} <= {m["license"] for m in found}
+
+
 def test_license_full_texts(spark):
     from lodestrand.llm.licenses import TEMPLATES
 
