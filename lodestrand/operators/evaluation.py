@@ -392,8 +392,8 @@ def _asked(cases: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return queries.join(depth, "query_id").withColumn("own", F.greatest(F.lit(20), 4 * F.col("fetch")))
 
 
-def search_strategies(asked: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame | None, strategies: tuple[str, ...], least: float, dim: int) -> tuple[DataFrame, dict[str, float]]:
-    """Hits ``(strategy, query_id, chunk_id, rank, lexical_score, vector_score)`` and the milliseconds each strategy's searches took.
+def search_strategies(asked: DataFrame, chunks: DataFrame, postings: DataFrame, filters: DataFrame, vectors: DataFrame | None, strategies: tuple[str, ...], least: float, dim: int) -> tuple[DataFrame, dict[str, float], DataFrame]:
+    """Hits ``(strategy, query_id, chunk_id, rank, lexical_score, vector_score)``, the milliseconds each strategy's searches took, and the chunks that were found.
 
     Each channel is searched once, as deep as the deepest query needs, and serves all strategies; every query then takes
     its own depth of the lists. Queries without a usable vector fall back to BM25.
@@ -405,16 +405,21 @@ def search_strategies(asked: DataFrame, chunks: DataFrame, postings: DataFrame,
     lexical, lexical_ms = _timed(bm25_search(asked, chunks, postings, filters, deep), "lexical")
     plain = as_hits(within(lexical, "fetch"), "bm25")
     fallback = plain.join(bad, "query_id", "left_semi")
-    ranked, spent = {"bm25": plain, "vector": fallback, "hybrid": fallback}, dict.fromkeys(STRATEGIES, lexical_ms)
+    found, near = [lexical.select("chunk_id")], None
     if vectors is not None and {"vector", "hybrid"} & set(strategies):
         near, near_ms = _timed(vector_search(good, open_vectors(vectors, chunks, filters), deep, least), "near")
+        found.append(near.select("chunk_id"))
+    # texts are looked up once; whatever reads them later reads few
+    texts = cut(chunks.join(reduce(DataFrame.union, found).distinct(), "chunk_id", "left_semi"), "found")
+    ranked, spent = {"bm25": plain, "vector": fallback, "hybrid": fallback}, dict.fromkeys(STRATEGIES, lexical_ms)
+    if near is not None:
         ranked["vector"], spent["vector"] = as_hits(within(near, "fetch"), "vector").unionByName(fallback), near_ms
         if "hybrid" in strategies:
             words, alike = within(lexical, "own").join(good.select("query_id"), "query_id", "left_semi"), within(near, "own")
-            fused, fused_ms = _timed(rrf_fuse(words, alike, deep, pins=pins_of(good, chunks, words, alike)), "fused")
+            fused, fused_ms = _timed(rrf_fuse(words, alike, deep, pins=pins_of(good, texts, words, alike)), "fused")
             ranked["hybrid"], spent["hybrid"] = within(fused, "fetch").unionByName(fallback), lexical_ms + near_ms + fused_ms
     columns = ("query_id", "chunk_id", "rank", "lexical_score", "vector_score")
-    return cut(reduce(DataFrame.unionByName, (ranked[s].select(F.lit(s).alias("strategy"), *columns) for s in strategies)), "hits"), spent
+    return cut(reduce(DataFrame.unionByName, (ranked[s].select(F.lit(s).alias("strategy"), *columns) for s in strategies)), "hits"), spent, texts
 
 
 def _scored(cases: DataFrame, asked: DataFrame, hits: DataFrame, final: DataFrame, spent: dict[str, float], chunks: DataFrame, filters: DataFrame, k: int) -> DataFrame:
@@ -432,8 +437,8 @@ def run_evaluation(cases: DataFrame, queries: DataFrame, chunks: DataFrame, post
     """
     chosen = cut(cases.where(F.col("split") == split) if split else cases, "cases")
     asked = cut(_asked(chosen, queries, k), "asked")
-    hits, spent = search_strategies(asked, chunks, postings, filters, vectors, strategies, least, dim)
-    return _scored(chosen, asked, hits, hits, {s: spent[s] for s in strategies}, chunks, filters, k)
+    hits, spent, texts = search_strategies(asked, chunks, postings, filters, vectors, strategies, least, dim)
+    return _scored(chosen, asked, hits, hits, {s: spent[s] for s in strategies}, texts, filters, k)
 
 
 def agentic_passes(asked: DataFrame, hits: DataFrame, chunks: DataFrame, strategies: tuple[str, ...], again: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -517,7 +522,7 @@ def evaluate(parsed: DataFrame, chunks: DataFrame, embed: Callable[[Column], Col
     postings, filters = cut(build_postings(chunks), "postings"), cut(filters, "filters")
     search = lambda df: search_strategies(df, chunks, postings, filters, vectors, wanted, least, dim)
     asked = cut(with_vector(_asked(cases, cases.select(F.col("case_id").alias("query_id"), "query", "filter_id"), k)), "asked")
-    hits, spent = search(asked)
+    hits, spent, _ = search(asked)
     spent = {s: spent[s] for s in wanted}
     own = chosen.where("task = 'agentic'").select(F.col("id").alias("case_id"), "agentic.*")
     if own.isEmpty():
