@@ -146,7 +146,7 @@ def test_hash_vectors_are_what_they_were(spark):
     texts = ["sports hall sports", "校园卡 补办 20元", "a b c"]
     got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(retrieval.hash_embed(16)("t").alias("v")).collect()]
     assert np.allclose(got, [entry(t) for t in texts], atol=1e-6)
-    assert hashlib.sha256(json.dumps([[round(float(x), 4) + 0.0 for x in v] for v in got]).encode()).hexdigest()[:16] == "DIGEST"
+    assert hashlib.sha256(json.dumps([[round(float(x), 4) + 0.0 for x in v] for v in got]).encode()).hexdigest()[:16] == "c5a99c1fdda0ed44"
 
 
 def test_cache_encodes_again_what_cannot_be_trusted(spark, tmp_path):
