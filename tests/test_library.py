@@ -7,7 +7,7 @@ from lodestrand.functions import text as tx
 from lodestrand.operators import chunking, evaluation, ingest, lookup, qa, retrieval, sessions
 from lodestrand.sources import files
 
-META = {"document_id": "d", "source_name": "s.md", "domain": "en", "category": "c", "version": "1", "visibility": "public"}
+META = {"document_id": "d", "source_name": "s.md", "domain": "en", "category": "c", "version": "1", "origin": "built_in", "visibility": "public"}
 
 
 def chunks(spark, rows):
@@ -16,7 +16,7 @@ def chunks(spark, rows):
 
 
 def no_filter(spark):
-    return spark.createDataFrame([("f", None, None, None, None, None, None)], "filter_id string, " + ", ".join(f"{k} string" for k in META))
+    return spark.createDataFrame([("f", None, None, None, None, None, None)], "filter_id string, " + ", ".join(f"{k} string" for k in retrieval.FILTER_KEYS))
 
 
 def test_sections_and_chunks(spark):
@@ -73,7 +73,7 @@ def test_embedding_is_unit_and_cached(spark):
     empty = spark.createDataFrame([], "fingerprint string, sha256 string, vector array<float>")
     rows, cache, stats = retrieval.embed_incremental(texts, empty, "v", embed)
     assert rows.count() == 3 and cache.count() == 2 and tuple(stats.first()) == (3, 0, 3)
-    cache = spark.createDataFrame(cache.collect(), empty.schema)
+    cache = spark.createDataFrame(cache.drop("checksum").collect(), empty.schema)
     _, pruned, stats = retrieval.embed_incremental(texts.where("key = '3'"), cache, "v", embed)
     assert pruned.count() == 1 and tuple(stats.first()) == (1, 1, 0)
     assert retrieval.embed_incremental(texts, cache, "other", embed)[2].first().misses == 3
@@ -174,8 +174,8 @@ def test_vectors_of_other_chunks_are_filtered(spark, strategy):
     # the 50 nearest are private or in another language
     vectors = {r[0]: unit(np.array([1.0, 0.01 * i if i < 50 else 1.0]) + [0, 0.001 * rng.random()]) for i, r in enumerate(rows)}
     v = spark.createDataFrame(list(vectors.items()), "chunk_id string, vector array<float>")
-    keys = ", ".join(f"{k} string" for k in META)
-    filters = spark.createDataFrame([("f_en", None, None, "en", None, None, None), ("f_all", None, None, None, None, None, None)], f"filter_id string, {keys}")
+    keys = ", ".join(f"{k} string" for k in retrieval.FILTER_KEYS)
+    filters = spark.createDataFrame([("f_en", None, "en", None, None, None, None), ("f_all", None, None, None, None, None, None)], f"filter_id string, {keys}")
     q = spark.createDataFrame([("q1", "nothing", "f_en", [1.0, 0.0]), ("q2", "nothing", "f_all", [1.0, 0.0])], "query_id string, query string, filter_id string, vector array<float>")
     hits = retrieval.retrieve(q, c, retrieval.build_postings(c), filters, v, strategy, 3, dim=2).collect()
     meta = {r[0]: {**META, **(r[3] or {})} for r in rows}
