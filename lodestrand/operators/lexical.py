@@ -102,11 +102,12 @@ def bounded_blocks(weighed: DataFrame, blocks: DataFrame, least: int) -> DataFra
 def _scores(some: DataFrame, weighed: DataFrame, opened: DataFrame, least: int) -> DataFrame:
     """``(query_id, chunk_id, score)`` of the chunks in ``some (query_id, block)`` that pass the match gate.
 
-    Both sides are dealt by block alone, and stay where they are for the sums: only postings and the
-    queries' terms of reached blocks are shuffled, no row for each query, chunk and term.
+    Both sides are dealt by block alone, and stay where they are for the sums: only the queries'
+    terms of reached blocks and these blocks' postings are shuffled, no row for each query, chunk and term.
     """
     asked = some.select("query_id", "block").join(weighed, "query_id").repartition("block")
-    rows = asked.join(opened.repartition("block").hint("merge"), ["block", "t"])
+    reached = opened.join(some.select("block").distinct(), "block", "left_semi")
+    rows = asked.join(reached.repartition("block").hint("merge"), ["block", "t"])
     return (
         rows.groupBy("block", "query_id", "chunk_id")
         .agg(F.round(F.sum(F.col("weight") * F.col("part")), 9).alias("score"), F.count_if("counts").alias("met"), F.max("informative").alias("informative"))
@@ -142,11 +143,11 @@ def bm25_search(
     weighed = cut(terms.join(known, ["filter_id", "term"]).select("query_id", "t", "counts", "informative", (F.col("qtf") * idf).alias("weight")), "weights")
     reach = cut(bounded_blocks(weighed, blocks, least), "bounds")
     by_bound = W.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    first = reach.withColumn("at", F.row_number().over(by_bound)).where(F.col("at") <= 4 + k // 8)
+    first = cut(reach.withColumn("at", F.row_number().over(by_bound)).where(F.col("at") <= 4 + k // 8), "first-blocks")
     # a join on block and term may use rows that are dealt by block
     with setting(queries.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
         best = cut(top_k(_scores(first, weighed, opened, least), k), "first")
     floor = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
-    rest = reach.join(floor.select("query_id", "floor"), "query_id", "left").where(F.col("bound") + 1e-6 >= F.coalesce("floor", F.lit(0.0)))
+    rest = cut(reach.join(floor.select("query_id", "floor"), "query_id", "left").where(F.col("bound") + 1e-6 >= F.coalesce("floor", F.lit(0.0))), "blocks")
     with setting(queries.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
         return cut(top_k(_scores(rest, weighed, opened, least), k), "ranked")
