@@ -458,6 +458,36 @@ def test_passages_of_the_five_texts(spark):
     assert [(d, s) for d, s, _ in got] == [(4, 3)] and 90 <= got[0][2] <= 92
 
 
+def test_holders_between_the_first_and_the_previous_one(spark):
+    """Texts with 45 words of a passage are the first and the previous holders of all its seeds, but no sources of a changed one."""
+    rng, rows, pairs = random.Random(41), [], []
+    some = lambda n: " ".join(f"v{rng.randrange(30000)}" for _ in range(n))
+    for _ in range(8):
+        words = some(70).split()
+        changed = list(words)
+        for i in range(0, 70, 5):
+            changed[i + rng.randrange(5)] = f"x{rng.randrange(10**6)}"
+        parts = [words[lo : lo + 45] for lo in range(26)]
+        rows += [" ".join([some(30), *part, some(30)]) for part in [*parts, words, *parts, changed]]
+        pairs.append((len(rows) - 1, len(rows) - 2 - len(parts)))
+    got = {(r.doc_id, r.source_id) for r in ps.shared_passages(make(spark, rows, False)).collect()}
+    assert got >= set(pairs)
+
+
+def test_common_pairs_of_neighbouring_words():
+    """Texts with a passage share as many pairs of words as any has to, and the sets count no fewer."""
+    rng = np.random.default_rng(5)
+    assert ps.least_pairs(50, 75) == 25
+    for bits in (12, 14):
+        for _ in range(200):
+            n = int(rng.integers(50, 100))
+            a = rng.integers(0, int(rng.choice([3, 300, 65536])), n).astype(np.uint16)
+            b = a.copy()
+            b[rng.choice(n, n // 4, replace=False)] += 1
+            sets, lack = ps.pair_bits(np.concatenate((a, b)), np.array([0, n]), np.array([n, n]), bits)
+            assert np.bitwise_count(sets[0] & sets[1]).sum() + lack.min() >= 25
+
+
 def test_every_exact_passage_is_found(spark):
     """Against brute force: each document with 50 words in a row that a smaller doc_id holds has a row over them."""
     rng = random.Random(35)
