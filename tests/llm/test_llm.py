@@ -7,6 +7,7 @@ import re
 from importlib.resources import files
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -458,6 +459,34 @@ def test_passages_of_the_five_texts(spark):
     assert [(d, s) for d, s, _ in got] == [(4, 3)] and 90 <= got[0][2] <= 92
 
 
+def test_families_of_a_frequent_seed_do_not_meet_pair_by_pair():
+    """Sixty texts around one seed give a match for each further text, all 1,770 only where linking is off."""
+    rng, n = np.random.default_rng(3), 60
+    own = [rng.integers(0, 1 << 16, 230).astype(np.uint16)] * n + [rng.integers(0, 1 << 16, 230).astype(np.uint16) for _ in range(n)]
+    ids = np.arange(1, 2 * n + 1)
+    label = ps.mix(ids.astype(np.uint64)) ^ np.uint64(ps.BASE)
+    zero = np.zeros(2 * n, np.int32)
+    cols = (zero.astype(np.int64), zero, zero, zero, ids, zero + 2 * 300, zero, zero, label.view(np.int64), ids)
+    batch = pa.record_batch([*map(pa.array, cols), pa.array([x.tobytes() for x in own], pa.binary())], ["seed", "i", "j", "side", "doc_id", "place", "nth", "last", "label", "tag", "own"])
+    for link, count in ((True, n - 1), (False, n * (n - 1) // 2)):
+        got = pa.Table.from_batches(ps._tiles(5, 40, 50, 75, link)(iter([batch])))
+        assert got.num_rows == count and all(got["sure"].to_pylist())
+        assert set(got["doc_id"].to_pylist()) == set(range(2, n + 1))  # a text that has the seed only meets none
+
+
+def test_places_behind_others():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        place = np.cumsum(rng.integers(0, 6, 80))
+        gap = np.concatenate(([True], np.diff(place) > ps.END)) | (rng.random(80) < 0.05)
+        far = np.zeros(80, np.int64)
+        for j in range(1, 80):
+            step = place[j] - place[j - 1]
+            if not gap[j] and far[j - 1] + step <= ps.BEHIND:
+                far[j] = far[j - 1] + step
+        assert (ps.behind(place, gap) == far).all()
+
+
 def test_holders_between_the_first_and_the_previous_one(spark):
     """Texts with 45 words of a passage are the first and the previous holders of all its seeds, but no sources of a changed one."""
     rng, rows, pairs = random.Random(41), [], []
