@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -78,11 +78,17 @@ def read_eval_cases(spark: SparkSession, path: str) -> DataFrame:
     return some.join(placed, ["file", "start"]).select("source_file", (F.col("before") + F.col("n") - F.col("first") + 1).alias("source_line"), "json")
 
 
-def write_eval_report(results: DataFrame, summary: DataFrame, out: str) -> None:
-    """All results, the failed ones and the summary as JSON below ``out``."""
-    results.write.mode("overwrite").json(f"{out}/results")
-    results.where(F.size("failures") > 0).write.mode("overwrite").json(f"{out}/failures")
-    summary.write.mode("overwrite").json(f"{out}/summary")
+def write_eval_report(results: DataFrame, summary: DataFrame | Callable[[DataFrame], DataFrame], out: str) -> DataFrame:
+    """All results, the failed ones and the summary as compressed JSON below ``out``; gives the results as written.
+
+    ``results`` are computed once, however they were made: failures, and ``summary`` where it is a function of
+    results, come from what was written.
+    """
+    results.write.mode("overwrite").option("compression", "gzip").json(f"{out}/results")
+    written = results.sparkSession.read.schema(results.schema).json(f"{out}/results")
+    written.where(F.size("failures") > 0).write.mode("overwrite").option("compression", "gzip").json(f"{out}/failures")
+    (summary(written) if callable(summary) else summary).write.mode("overwrite").option("compression", "gzip").json(f"{out}/summary")
+    return written
 
 
 def write_baseline(summary: DataFrame, configuration: Mapping, out: str) -> None:

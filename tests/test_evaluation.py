@@ -205,3 +205,24 @@ def test_labelled_cases(spark):
     assert got == GOLDEN
     test = {r.strategy: (*(round(r[c], 4) for c in ("hit_at_1", "hit_at_3", "mrr_at_3")), r.failed_cases) for r in summary if (r.scope, r.value) == ("by_split", "test")}
     assert test == GOLDEN_TEST
+
+
+def test_report_computes_results_once_and_compresses_them(spark, tmp_path):
+    import uuid
+
+    made = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()  # other rows each time they are computed
+    results = spark.range(60, numPartitions=2).select(made().alias("case_id"), F.expr("case when id % 3 = 0 then array('leakage') else cast(array() as array<string>) end").alias("failures"))
+    written = files.write_eval_report(results, lambda rows: rows.agg(F.max("case_id").alias("last"), F.count("*").alias("cases")), str(tmp_path))
+    read = {kind: spark.read.json(f"{tmp_path}/{kind}") for kind in ("results", "failures", "summary")}
+    ids = {kind: {r.case_id for r in read[kind].collect()} for kind in ("results", "failures")}
+    assert len(ids["results"]) == 60 and len(ids["failures"]) == 20 and ids["failures"] <= ids["results"]
+    assert written.dtypes == results.dtypes and {r.case_id for r in written.collect()} == ids["results"]
+    assert tuple(read["summary"].first()) == (60, max(ids["results"]))
+    parts = [p.name for p in tmp_path.glob("*/part-*")]
+    assert parts and all(p.endswith(".json.gz") for p in parts)
+
+
+def test_report_takes_a_summary_as_it_is(spark, tmp_path):
+    results = spark.createDataFrame([("a", []), ("b", ["x"])], "case_id string, failures array<string>")
+    files.write_eval_report(results, results.agg(F.count("*").alias("cases")), str(tmp_path))
+    assert [spark.read.json(f"{tmp_path}/{kind}").count() for kind in ("results", "failures")] == [2, 1] and spark.read.json(f"{tmp_path}/summary").first().cases == 2
