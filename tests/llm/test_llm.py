@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 from importlib.resources import files
 
 import numpy as np
@@ -505,6 +506,43 @@ def test_holders_between_the_first_and_the_previous_one(spark):
     assert got >= set(pairs)
 
 
+def test_jobs_of_frequent_seeds_follow_each_other_and_leave_no_shuffle(spark, monkeypatch):
+    """Places and matches in several parts give the rows of one, and no job's shuffle files stay."""
+    rng, rows = random.Random(43), []
+    some = lambda n: " ".join(f"v{rng.randrange(30000)}" for _ in range(n))
+    for _ in range(2):
+        words = some(70).split()
+        parts = [words[lo : lo + 45] for lo in range(26)]
+        rows += [" ".join([some(30), *part, some(30)]) for part in [*parts, words, *parts, near(" ".join(words), 10, rng).split()]]
+    df, made, in_parts, halves = make(spark, rows, False), [], ps.in_parts, False
+
+    def counted(rows, most, key, one):
+        made.append(0)
+        most = rows // 2 + 1 if halves else most
+
+        def counting(at):
+            made[-1] += 1
+            return one(at)
+
+        return in_parts(rows, most, key, counting)
+
+    shuffles = lambda: sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    monkeypatch.setattr(ps, "in_parts", counted)
+    before = shuffles()
+    whole = sorted(map(tuple, ps.shared_passages(df).collect()))
+    for _ in range(20):  # files are removed behind the job's back
+        if shuffles() <= before:
+            break
+        time.sleep(0.5)
+    assert shuffles() <= before
+    assert whole and set(made) == {1}
+    made.clear()
+    monkeypatch.setattr(ps, "LEAST_A_JOB", 1)
+    halves = True
+    assert sorted(map(tuple, ps.shared_passages(df).collect())) == whole
+    assert made[0] == made[1] == 2
+
+
 def test_common_pairs_of_neighbouring_words():
     """Texts with a passage share as many pairs of words as any has to, and the sets count no fewer."""
     rng = np.random.default_rng(5)
